@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, licences, packing, quality, secrets, token_counts
+from . import decontamination, licences, packing, quality, repeats, secrets, similarity, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_license_scan": licences.query,
     "op3_decontamination": decontamination.query,
     "op4_token_counts": token_counts.query,
+    "op5_jaccard_join": similarity.query,
     "op7_secret_scan": secrets.query,
+    "op9_suffix_dedup": repeats.query,
     "op10_quality_rules": quality.query,
 }
 
