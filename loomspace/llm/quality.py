@@ -80,7 +80,9 @@ def buckets_of(words: Column, buckets: int) -> Column:
 def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """ln p_target - ln p_raw of each bucket, counted over all documents."""
     trusted = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(1))
-    grams = docs.join(trusted, "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("t"), F.explode(buckets_of(split_words(F.coalesce("text", F.lit(""))), buckets)).alias("b"))
+    # labels grow with the documents, so they are merged in at every size and never broadcast
+    words = docs.join(trusted.hint("merge"), "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("t"), split_words(F.coalesce("text", F.lit(""))).alias("words"))
+    grams = words.select("t", buckets_of(F.col("words"), buckets).alias("grams")).select("t", F.explode("grams").alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()  # at most ``buckets`` rows
     raw, target = [1.0] * buckets, [1.0] * buckets
     for r in rows:
