@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licences, packing, quality, repeats, secrets, similarity, token_counts
+from . import decontamination, lattice, licences, packing, quality, repeats, secrets, similarity, token_counts, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_decontamination": decontamination.query,
     "op4_token_counts": token_counts.query,
     "op5_jaccard_join": similarity.query,
+    "op6_warc_revisits": warc.query,
     "op7_secret_scan": secrets.query,
+    "op8_lm_scores": lattice.query,
     "op9_suffix_dedup": repeats.query,
     "op10_quality_rules": quality.query,
 }
