@@ -107,9 +107,9 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return LOWER[data]
 
 
-def _scan(index: Index, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, set[str]]]:
+def _scan(index: Index, batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, np.ndarray, set[str]]]:
     """Row of the batch, words, hit spans (start << 32 | end, words of the document) and items, for each document."""
-    for block in blocks(batch.column(1)):
+    for block in blocks(batch.column(column)):
         s, e, first = block.words(ALNUM, True)
         h = RangeHash(_lower(block.data))(s, e)
         start, w = index.hits(h, first)
@@ -132,18 +132,23 @@ def _summary(n_words: int, spans: np.ndarray, items: set[str]) -> tuple:
     return n_words, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    docs = id_text(docs)
+def _indexes(spark, benchmark: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int):
+    """Broadcast indexes of blocks of items, each of about ``block_bytes`` of text, and their number."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna()
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0
     parts = int(total // block_bytes) + 1
     made = []
     for k in range(parts):
         own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        index = spark.sparkContext.broadcast(Index(sorted((r.item, r.text) for r in own.collect()), size))
-        made.append(_hits(docs, index, parts == 1))
+        made.append(spark.sparkContext.broadcast(Index(sorted((r.item, r.text) for r in own.collect()), size)))
+    return made, parts
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    indexes, parts = _indexes(docs.sparkSession, benchmark, item_col, text_col, size, block_bytes)
+    docs = id_text(docs)
+    made = [_hits(docs, index, parts == 1) for index in indexes]
     if parts == 1:
         return made[0]
     union = made[0]
@@ -158,6 +163,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_i
     return merged.mapInArrow(finish, RESULT)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, with all their columns; one scan for each block of items."""
+    at = docs.columns.index("text")
+    for index in _indexes(docs.sparkSession, benchmark, "item_id", "text", size, block_bytes)[0]:
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = [len(spans) for _, _, spans, _ in _scan(index.value, batch, at)]
+                yield batch.filter(pa.array([x == 0 for x in n], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def _result(rows) -> pa.RecordBatch:
     columns = list(zip(*((d, *x) for d, x in rows))) or [()] * 6
     types = [pa.int64()] * 4 + [pa.string(), pa.bool_()]

@@ -94,16 +94,28 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[f
     return [round((math.log(t) - a) - (math.log(r) - b), 6) for t, r in zip(target, raw)]
 
 
-def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: the counts, ``base_failed``, ``llr`` and ``kept``."""
-    docs = id_text(docs)
+def judged(docs: DataFrame, labels: DataFrame, buckets: int, threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
     weights = F.lit(ratios(docs, labels, buckets))
-    d = counts(docs)
+    d = counts(docs, keep)
     grams = buckets_of(F.col("words"), buckets)
     d = d.withColumn("llr", F.round(F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(weights, b.cast("int"))) / F.nullif(F.lit(2) * F.col("n_words") - 1, F.lit(0)), 9))
     failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    d = d.withColumn("base_failed", failed)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~failed & (F.coalesce("llr", F.lit(0.0)) >= threshold)).alias("kept"), "llr")
+    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce("llr", F.lit(0.0)) >= threshold))
+
+
+def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """Per document: the counts, ``base_failed``, ``kept`` and ``llr``."""
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return judged(id_text(docs), labels, buckets, threshold).select(*names)
+
+
+def keep(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    rest = F.struct(*[c for c in docs.columns if c != "text"] or [F.lit(1).alias("_")]).alias("_rest")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("text").isNull().alias("_null"), rest)
+    kept = judged(own, labels, buckets, threshold, ("_null", "_rest")).filter("kept")
+    text = F.when(F.col("_null"), F.lit(None)).otherwise(F.col("text"))
+    return kept.select(*(text.alias("text") if c == "text" else F.col(f"_rest.`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

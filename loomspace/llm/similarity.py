@@ -36,6 +36,7 @@ from ._text import LOWER, SPACED, RangeHash, blocks, mix
 _U = np.uint64
 CHUNK = 400_000  #: shingles of the sets in one tree
 LEAF = 16
+BUCKET = 500_000  #: shingles of the sets whose parts a bucket gathers a share of
 
 
 def sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -215,18 +216,57 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
-def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, signatures) of each document's parts."""
+def signed(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
+    """The parts of all documents, as (bucket, base, offsets, parts): of each batch and bucket the signatures of parts, and
+    doc_id - base beside each. Of equal sets in a batch only the first document is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(percent)
         for batch in batches:
-            s = [parts.signatures(t) for t in sets(batch.column(1), size)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int32)
-            values = np.concatenate(s) if s else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["doc_id", "signatures"])
+            ids = np.array(batch.column(0).to_numpy(), np.int64)
+            first: dict[tuple[int, int, int], int] = {}
+            found = []
+            for k, t in enumerate(sets(batch.column(1), size)):
+                key = len(t), int(t.sum(dtype=np.uint64)), int(mix(t).sum(dtype=np.uint64))
+                if len(t) and ids[first.setdefault(key, k)] >= ids[k]:
+                    first[key] = k
+                    found.append((k, parts.signatures(t)))
+            chosen = set(first.values())
+            found = [(k, x) for k, x in found if k in chosen]
+            if not found:
+                continue
+            part = np.concatenate([x for _, x in found])
+            doc = np.repeat(ids[[k for k, _ in found]], [len(x) for _, x in found])
+            bucket = (mix(part.view(np.uint64)) % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for a, b in zip(bounds, np.append(bounds[1:], len(order))):
+                at = order[a:b]
+                base = int(doc[at].min())
+                wide = np.int64 if doc[at].max() - base >= 1 << 32 else np.uint32
+                cells = [[int(bucket[at[0]])], [base], [(doc[at] - base).astype(wide).tobytes()], [part[at].tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "base", "offsets", "parts"])
+
+    return docs.mapInArrow(run, "bucket long, base long, offsets binary, parts binary")
+
+
+def met(packed: DataFrame) -> DataFrame:
+    """(part, doc_id) of parts that more than one document has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, doc = [], []
+        for base, offsets, parts in zip(*(table.column(c).to_pylist() for c in ("base", "offsets", "parts"))):
+            p = np.frombuffer(parts, np.int64)
+            part.append(p)
+            doc.append(np.frombuffer(offsets, np.uint32 if len(offsets) < len(parts) else np.int64).astype(np.int64) + base)
+        p, d = np.concatenate(part), np.concatenate(doc)
+        order = np.argsort(p, kind="stable")
+        p, d = p[order], d[order]
+        same = p[1:] == p[:-1]
+        held = np.append(same, False) | np.insert(same, 0, False)
+        return pa.table({"part": pa.array(p[held]), "doc_id": pa.array(d[held])})
 
-    return docs.mapInArrow(run, "doc_id long, signatures array<long>")
+    return packed.groupBy("bucket").applyInArrow(run, "part long, doc_id long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -236,8 +276,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     key = ["n_shingles", "s1", "s2"]
     nodes = materialise(described.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node")))
     own = docs.filter("doc_id is not null")
-    rows = signed(own, size, percent).join(nodes.select(F.col("node").alias("doc_id"), "n_shingles").distinct(), "doc_id").dropDuplicates(["doc_id"])
-    rows = rows.select("doc_id", "n_shingles", F.explode("signatures").alias("part"))
+    total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
+    rows = met(signed(own, size, percent, int(total // BUCKET) + 1))
+    rows = rows.join(nodes.groupBy(F.col("node").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
     group = W.partitionBy("part")
     rows = rows.withColumn("leader", F.min("doc_id").over(group)).withColumn("last", F.max("doc_id").over(group))
     shared = materialise(rows.filter("leader <> last").drop("last"))
