@@ -10,7 +10,7 @@ and the AND of its token bitmaps and its range of set sizes. Dual traversal drop
 possible overlap cannot reach the threshold; pairs of sets that are left are compared exactly, unless they are connected
 already. First each set is traversed with the leader it shares most groups with, which joins up nearly all of a group
 of near copies by work in proportion to it; then only the groups are traversed that still hold sets of different
-components.
+components. There only bitmaps travel, and the pairs that they allow are compared by their texts.
 
 Defined results: null or empty text, and text without words, is an empty set that links with nothing; fewer words than a
 shingle make one; repeated rows each get their row and the same component; rows without an id get the component
@@ -111,23 +111,37 @@ class Node:
         self.kids = [] if len(rows) <= LEAF else [Node(r, size, bits) for r in (rows[:half], rows[half:])]
 
 
+def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
+    own = np.zeros(width, np.uint8)
+    own[(mix(tokens) & _U(width - 1)).astype(np.int64)] = 1
+    return np.packbits(own, bitorder="little").view(_U)
+
+
+def width_for(n: int, bits: int) -> int:
+    """The power of two from 512 to 65536 that has ``bits`` bits a token, if any has."""
+    return min(1 << 16, max(512, 1 << max(0, int(n) * bits - 1).bit_length()))
+
+
 class Tree:
-    """Links within one group of sets."""
-
-    def __init__(self, tokens: list[np.ndarray], percent: int):
-        self.tokens, self.percent = tokens, percent
-        self.size = np.array([len(t) for t in tokens], np.int64)
-        width = 512
-        while width < min(2 * self.size.max(initial=1), 1 << 16):
-            width *= 2
-        self.bits = np.zeros((len(tokens), width // 64), _U)
-        for k, t in enumerate(tokens):
-            at = (mix(t) & _U(width - 1)).astype(np.int64)
-            own = np.zeros(width, np.uint8)
-            own[at] = 1
-            self.bits[k] = np.packbits(own).view(_U)
+    """A signature tree over one group of sets; ``tokens`` may be missing where only bitmaps are known."""
+
+    def __init__(self, size: np.ndarray, bits: np.ndarray, percent: int, head: np.ndarray, tokens: list[np.ndarray] | None = None):
+        self.size, self.bits, self.percent, self.tokens = size, bits, percent, tokens
+        self.root = Node(np.lexsort((size, head)), size, bits)
+
+    @classmethod
+    def of(cls, tokens: list[np.ndarray], percent: int) -> Tree:
+        size = np.array([len(t) for t in tokens], np.int64)
+        width = width_for(size.max(initial=1), 2)
         head = np.array([t[0] if len(t) else 0 for t in tokens], _U)
-        self.root = Node(np.lexsort((self.size, head)), self.size, self.bits)
+        return cls(size, np.stack([bitmap(t, width) for t in tokens]), percent, head, tokens)
+
+    @classmethod
+    def of_bitmaps(cls, size: np.ndarray, packed: list[bytes], percent: int) -> Tree:
+        """Bitmaps of several widths are folded to the least of them."""
+        least = min(map(len, packed)) // 8
+        bits = np.stack([np.bitwise_or.reduce(np.frombuffer(x, _U).reshape(-1, least)) for x in packed])
+        return cls(size, bits, percent, np.bitwise_count(bits[:, : least // 4]).sum(1, dtype=np.uint64))
 
     def may(self, a: Node, b: Node) -> bool:
         """Whether any set of a and any of b can reach the threshold."""
@@ -152,8 +166,9 @@ class Tree:
         both = len(np.intersect1d(self.tokens[i], self.tokens[j], assume_unique=True))
         return 100 * both >= self.percent * (len(self.tokens[i]) + len(self.tokens[j]) - both)
 
-    def join(self, component: list[int]) -> list[int]:
-        """Components after all links are joined; ``component`` are those known before."""
+    def join(self, component: list[int], candidates: list[tuple[int, int]] | None = None) -> list[int]:
+        """Components after all links are joined; ``component`` are those known before. With ``candidates``, pairs that
+        may link are put there and not compared."""
         up = list(range(len(component)))
 
         def find(k: int) -> int:
@@ -172,7 +187,9 @@ class Tree:
                 continue
             if not a.kids and not b.kids:
                 for i, j in self.pairs(a, b, find):
-                    if find(i) != find(j) and self.linked(i, j):
+                    if candidates is not None:
+                        candidates.append((i, j))
+                    elif find(i) != find(j) and self.linked(i, j):
                         up[find(i)] = find(j)
             elif a is b:
                 todo += [(a.kids[0], a.kids[1]), (a.kids[1], a.kids[1]), (a.kids[0], a.kids[0])]
@@ -191,7 +208,7 @@ def links(groups: DataFrame, size: int, percent: int) -> DataFrame:
         comp = table.column("comp").to_pylist()
         text = table.column("text")
         tokens = [t for c in (text.chunks if isinstance(text, pa.ChunkedArray) else [text]) for t in sets(c, size)]
-        roots = np.array(Tree(tokens, percent).join(comp), np.int64)
+        roots = np.array(Tree.of(tokens, percent).join(comp), np.int64)
         first = {}
         a, b = [], []
         for doc, c, r in sorted(zip(docs.tolist(), comp, roots.tolist())):
@@ -202,6 +219,45 @@ def links(groups: DataFrame, size: int, percent: int) -> DataFrame:
     return groups.select("part", "chunk", "doc_id", "comp", "text").groupBy("part", "chunk").applyInArrow(run, "a long, b long")
 
 
+def sketched(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, bits): bitmaps of four bits a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [bitmap(t, width_for(len(t), 4)).tobytes() for t in sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["doc_id", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, bits binary")
+
+
+def candidates(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): documents and components of pairs in each group (part, chunk; doc_id, comp, n_shingles, bits) that
+    their bitmaps allow to link, across components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, comp, size = (np.array(table.column(c).to_numpy(), np.int64) for c in ("doc_id", "comp", "n_shingles"))
+        found: list[tuple[int, int]] = []
+        Tree.of_bitmaps(size, table.column("bits").to_pylist(), percent).join(comp.tolist(), found)
+        i, j = (np.array(x, np.int64) for x in (zip(*found) if found else ((), ())))
+        i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
+        return pa.table({"a": doc[i], "b": doc[j], "ca": comp[i], "cb": comp[j]})
+
+    columns = ("part", "chunk", "doc_id", "comp", "n_shingles", "bits")
+    return groups.select(*columns).groupBy("part", "chunk").applyInArrow(run, "a long, b long, ca long, cb long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) between the components of pairs whose sets link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [100 * (n := len(np.intersect1d(x, y, assume_unique=True))) >= percent * (len(x) + len(y) - n) for x, y in zip(sets(batch.column(2), size), sets(batch.column(3), size))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(both, pa.bool_()))
+
+    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("ca", "cb", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
 def describe(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, s1, s2): the size and a 128-bit hash of each document's set."""
 
@@ -305,7 +361,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     # every two chunks of a large group meet
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     held = held.withColumn("other", other).withColumn("chunk", F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"))
-    more = components(links(held.join(texts, "doc_id"), size, percent)).withColumnRenamed("root", "top").withColumnRenamed("node", "root")
+    pairs = materialise(candidates(held.join(sketched(texts, size), "doc_id"), percent))
+    more = components(verified(pairs, texts, size, percent)).withColumnRenamed("root", "top").withColumnRenamed("node", "root")
     roots = first.join(more, "root", "full").select(F.coalesce("node", "root").alias("node"), F.coalesce("top", "root").alias("root"))
     roots = materialise(roots)
     found = described.join(nodes, key, "left").join(roots, "node", "left")
