@@ -13,6 +13,7 @@ rows each get their own result; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -47,6 +48,8 @@ class Counter:
                 self.matches.add_word(p, (len(p), score, i == unknown))
         self.matches.make_automaton()
         self.names = {p for p, _ in pieces}
+        self.singles = {p for p in self.names if len(p) == 1}
+        self.unknown = pieces[unknown][0]
         self.penalty = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in self.names for b in range(256))
         self.known: dict[str, int] = {}
@@ -59,6 +62,14 @@ class Counter:
     def count(self, text: str) -> int:
         """Tokens of one pre-token."""
         n = len(text)
+        if self.singles.issuperset(text) and self.unknown not in text:  # nothing unknown; an end's longest match comes first
+            best, pieces = [0.0] + [-math.inf] * n, [0] * (n + 1)
+            for end, (size, s, _) in self.matches.iter(text):
+                at = end + 1 - size
+                new = best[at] + s
+                if new > best[end + 1]:
+                    best[end + 1], pieces[end + 1] = new, pieces[at] + 1
+            return pieces[n]
         score, closed, run = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # best score; pieces; start of an open unknown run
         set_ = [True] + [False] * n
         by_end: list[list] = [[] for _ in range(n + 1)]
