@@ -1,3 +1,3 @@
 """All queries of the library and their SQL."""
 
-from .queries import ORACLE_SQL, QUERIES, causal, entities, graphs, search, sessions, sparse, temporal, topics, upkeep, vectors  # noqa: F401
+from .queries import ORACLE_SQL, QUERIES, causal, entities, graphs, metrics, search, sessions, sparse, streams, temporal, topics, upkeep, vectors  # noqa: F401
