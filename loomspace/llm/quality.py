@@ -2,7 +2,7 @@
 
 Two multinomials over hashed word uni- and bigrams are counted in one pass over all documents: the trusted target (rows
 of ``labels`` with quality 1 and toxic 0) and the raw corpus (every document). A document's ratio is the mean over its
-n-grams of ln p_target - ln p_raw, both with add-one smoothing; it is kept if the mean is at least ``threshold`` and no
+n-grams of ln p_target - ln p_raw, the raw counts with add-one smoothing, the target's with ``PRIOR`` raw n-grams; it is kept if the mean is at least ``threshold`` and no
 base rule fails. The rule is deterministic; n-grams that only junk has pull the mean down, and those of clean text stay near 0.
 
 Only the two counts of ``buckets`` buckets reach the driver, and their weights go into the plan as one constant array.
@@ -25,6 +25,7 @@ SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 SPACES = (" ", "\t", "\n", "\x0b", "\f", "\r")
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 8192  #: of hashed n-grams; bounds what the driver gets
+PRIOR = 100_000.0  #: n-grams of the raw corpus that the target starts with; few labels then say little
 THRESHOLD = -0.04  #: least mean log ratio per n-gram, in nats
 
 
@@ -38,21 +39,31 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def hashed(d: DataFrame) -> DataFrame:
+    """Adds h1 and h2, the hashes of words and of word pairs, to documents with ``words``; pairs hash the words' hashes."""
+    d = d.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
+    return d.withColumn("h2", pairwise("h1", "h1", 2))
+
+
+def pairwise(a: str, b: str, at: int) -> Column:
+    """Hashes of each element of ``a`` with the one of ``b`` that starts ``at`` - 1 later, as far as both go."""
+    n = F.greatest(F.lit(0), F.size(b) - (at - 1))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, at, n), lambda x, y: F.xxhash64(x, y))
+
+
 def counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The base counts of documents (doc_id, text): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and
-    ``words``; columns of ``keep`` stay."""
+    """The base counts of documents (doc_id, text): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, with the
+    hashes of words and pairs; columns of ``keep`` stay."""
     d = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("words", split_words(F.col("text")))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
+    d = hashed(d.withColumn("words", split_words(F.col("text"))))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t\\x0B\\f\\r]"))
     d = d.select(
-        "doc_id", *keep, "text", "words",
+        "doc_id", *keep, "text", "h1", "h2",
         F.size("words").cast("long").alias("n_words"),
         (F.length("text") - occurrences(F.col("text"), SPACES)).cast("long").alias("word_chars"),
         occurrences(F.col("text"), SYMBOLS).alias("n_symbols"),
         lines.alias("lines"),
-        F.when(F.size("words") < 3, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 2)), lambda i: F.xxhash64(F.get("words", i - 1), F.get("words", i), F.get("words", i + 1)))
-        ).alias("windows"),
+        pairwise("h2", "h1", 3).alias("windows"),
     )
     d = d.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     return d.withColumn("n_repeat_words", repeated_words()).drop("windows")
@@ -70,35 +81,27 @@ def repeated_words() -> Column:
     return F.when(some, F.coalesce(places, F.lit(0))).otherwise(F.lit(0)).cast("long")
 
 
-def buckets_of(words: Column, buckets: int) -> Column:
-    """Buckets of all uni- and bigrams."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)))
-    two = F.zip_with(words, F.slice(words, 2, F.greatest(F.lit(1), F.size(words))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)))
-    return F.concat(one, F.slice(two, 1, F.greatest(F.lit(0), F.size(words) - 1)))
-
-
 def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """ln p_target - ln p_raw of each bucket, counted over all documents."""
     trusted = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(1))
     # labels grow with the documents, so they are merged in at every size and never broadcast
     words = docs.join(trusted.hint("merge"), "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("t"), split_words(F.coalesce("text", F.lit(""))).alias("words"))
-    grams = words.select("t", buckets_of(F.col("words"), buckets).alias("grams")).select("t", F.explode("grams").alias("b"))
+    grams = hashed(words).select("t", F.explode(F.concat("h1", "h2")).alias("h")).select("t", F.pmod("h", F.lit(buckets)).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()  # at most ``buckets`` rows
-    raw, target = [1.0] * buckets, [1.0] * buckets
+    raw, target = [1.0] * buckets, [0.0] * buckets
     for r in rows:
         raw[r.b] += r.raw
         target[r.b] += r.target
-    if sum(target) == buckets:
-        return [0.0] * buckets
-    a, b = math.log(sum(target)), math.log(sum(raw))
-    return [round((math.log(t) - a) - (math.log(r) - b), 6) for t, r in zip(target, raw)]
+    n, m = sum(raw), sum(target)
+    return [round(math.log((t + PRIOR * r / n) / (m + PRIOR)) - math.log(r / n), 6) for t, r in zip(target, raw)]
 
 
 def judged(docs: DataFrame, labels: DataFrame, buckets: int, threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
     weights = F.lit(ratios(docs, labels, buckets))
     d = counts(docs, keep)
-    grams = buckets_of(F.col("words"), buckets)
-    d = d.withColumn("llr", F.round(F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(weights, b.cast("int"))) / F.nullif(F.lit(2) * F.col("n_words") - 1, F.lit(0)), 9))
+    add = lambda a, h: a + F.get(weights, F.pmod(h, F.lit(buckets)).cast("int"))
+    total = F.aggregate("h2", F.aggregate("h1", F.lit(0.0), add), add)
+    d = d.withColumn("llr", F.round(total / F.nullif(F.lit(2) * F.col("n_words") - 1, F.lit(0)), 9))
     failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce("llr", F.lit(0.0)) >= threshold))
 
