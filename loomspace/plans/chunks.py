@@ -37,10 +37,10 @@ def code_chunks(source: str, target: int = 500, least: int = 100, most: int = 10
         if held >= most or (outer and held >= target):
             out.append((start, k + 1))
             start, held = k + 1, 0
-    if held:
+    if start < len(lines):
         if out and held < least:
             out[-1] = (out[-1][0], len(lines))
-        else:
+        elif held:
             out.append((start, len(lines)))
     return out
 

@@ -7,14 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import curation
 
-MEMORIES = T.StructType.fromDDL("memory_id long, content string, content_hash string, E1 array<double>, importance double, session_id long, seq long, file_path string, created_at timestamp, version long")
-TOMBSTONES = T.StructType.fromDDL("memory_id long, deleted_at timestamp, hard boolean")
-AUDIT = T.StructType.fromDDL("memory_id long, operation string, ts timestamp, parameters string")
-EDGES = T.StructType.fromDDL("source long, target long, sim double, space string")
+MEMORIES = "memory_id long, content string, content_hash string, E1 array<double>, importance double, session_id long, seq long, file_path string, created_at timestamp, version long"
+TOMBSTONES = "memory_id long, deleted_at timestamp, hard boolean"
+AUDIT = "memory_id long, operation string, ts timestamp, parameters string"
+EDGES = "source long, target long, sim double, space string"
 SCHEMAS = {"memories": MEMORIES, "tombstones": TOMBSTONES, "audit": AUDIT, "knn_edges": EDGES}
 
 
@@ -33,7 +32,8 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
 
     def append(self, name: str, rows: DataFrame, partition: str | None = None) -> None:
-        fields = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
+        wanted = (f.split(" ", 1) for f in SCHEMAS[name].split(", "))
+        fields = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in wanted]
         w = rows.select(*fields).write.mode("append")
         (w.partitionBy(partition) if partition else w).parquet(f"{self.path}/{name}")
 
