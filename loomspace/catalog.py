@@ -1,3 +1,3 @@
 """All queries of the library and their SQL."""
 
-from .queries import ORACLE_SQL, QUERIES, causal, discovery, entities, graphs, metrics, profiles, search, sessions, sparse, streams, temporal, topics, upkeep, vectors  # noqa: F401
+from .queries import ORACLE_SQL, QUERIES, causal, discovery, entities, graphs, lookups, metrics, profiles, search, sessions, sparse, streams, temporal, topics, upkeep, vectors  # noqa: F401
