@@ -1,7 +1,7 @@
 """N-gram Jaccard join with signature trees.
 
 A document's set is the distinct hashes of its word shingles. Equal sets are one node at once. The others are grouped so
-that every pair that may link meets in a group: tokens are dealt by hash into one part more than two linked sets can
+that every pair that may link meets in a group: tokens are dealt by hash into more parts than two linked sets can
 differ in, so linked sets agree in a whole part, and a group is the sets that agree in a part. Groups are exact, they
 lose no link, and have no parameter that cuts them.
 
@@ -61,22 +61,31 @@ def sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 class Parts:
-    """Classes of set sizes, and of each the number of parts its tokens are dealt into. Sets link if
-    100 * overlap >= percent * union, so sets of at most u tokens differ in at most 2u (100 - percent) / (100 + percent)."""
+    """Classes of set sizes, and of each the number of parts its tokens are dealt into.
+
+    Sets of a and b tokens that link (100 * overlap >= percent * union) differ in at most (a + b) (100 - percent) / (100 + percent)
+    tokens, and each of these spoils one part. A set is grouped by its largest parts, one more than can be spoiled, and all
+    as large: of those one at least is the same in any set that it links with. Of two sets, the one whose least part is larger
+    so meets the other. There are a quarter more parts than that, so that parts of few tokens, which sets share by chance, are left out.
+    """
 
     def __init__(self, percent: int):
         self.percent, self.bounds = percent, [1]
         self.ratio = max(1.25, 100 / percent)
 
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(class, parts) that a set of n tokens is in: its own, and those above with sets it may link with."""
+    def differ(self, a: int, b: int) -> int:
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
+
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, parts, parts that can be spoiled) for a set of n tokens: its own class, and those above with sets it may link with."""
         most = n * 100 // self.percent
         while self.bounds[-1] <= most:
             self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * self.ratio)))
         out, k = [], bisect_right(self.bounds, n) - 1
         while self.bounds[k] <= most:
             largest = self.bounds[k + 1] - 1
-            out.append((k, 2 * largest * (100 - self.percent) // (100 + self.percent) + 1))
+            spoiled = self.differ(largest, largest)
+            out.append((k, spoiled + 1 + spoiled // 4, self.differ(n, min(largest, most))))
             k += 1
         return out
 
@@ -86,15 +95,16 @@ class Parts:
             return np.zeros(0, np.int64)
         found = []
         a = mix(tokens ^ _U(0xA5A5A5A55A5A5A5A))
-        for k, parts in self.of(len(tokens)):
+        for k, parts, spoiled in self.of(len(tokens)):
             part = (a % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             c = np.zeros(len(tokens) + 1, _U)
             np.cumsum(tokens[order], out=c[1:])
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+            size = np.bincount(part, minlength=parts)
+            bounds = np.concatenate([[0], np.cumsum(size)])
             total = c[bounds[1:]] - c[bounds[:-1]]
-            number = np.arange(parts, dtype=np.uint64)
-            found.append(mix(total + mix(number * _U(0xD1B54A32D192ED03) + _U(k + 1))))
+            number = np.flatnonzero(size >= np.partition(size, parts - 1 - spoiled)[parts - 1 - spoiled])
+            found.append(mix(total[number] + mix(number.astype(np.uint64) * _U(0xD1B54A32D192ED03) + _U(k + 1))))
         return np.concatenate(found).view(np.int64)
 
 
