@@ -117,7 +117,7 @@ def keep(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
     rest = F.struct(*[c for c in docs.columns if c != "text"] or [F.lit(1).alias("_")]).alias("_rest")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("text").isNull().alias("_null"), rest)
     # a row number keeps the filter above the projections: pushed below, it would compute each of them many times over
-    kept = judged(own, labels, buckets, threshold, ("_null", "_rest")).withColumn("_n", F.monotonically_increasing_id()).filter("kept")
+    kept = judged(own, labels, buckets, threshold, ("_null", "_rest")).withColumn("_n", F.monotonically_increasing_id()).filter("kept and _n >= 0")
     text = F.when(F.col("_null"), F.lit(None)).otherwise(F.col("text"))
     return kept.select(*(text.alias("text") if c == "text" else F.col(f"_rest.`{c}`") for c in docs.columns))
 
