@@ -21,4 +21,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.SQL,
     "op5_jaccard_join": similarity.SQL,
     "op6_warc_revisits": warc.SQL,
+    "op9_suffix_dedup": repeats.SQL,
 }
