@@ -59,6 +59,12 @@ class Lattice:
         self.bytes = [weights[f"<0x{b:02X}>"] for b in range(256)]
         self.weights = {p: w for p, w in weights.items() if not (len(p) == 6 and p.startswith("<0x"))}
         self.longest = max(map(len, self.weights), default=1)
+        self.trie: dict = {}  # by character; under "" a piece's ln p, p and name
+        for p, w in self.weights.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = (w, math.exp(w), p)
 
     def arcs(self, text: str, end: int) -> list[tuple[int, float, str | None]]:
         """(start, ln p, piece) of all arcs that end at ``end``; a character without a piece is its bytes (piece None)."""
@@ -73,26 +79,38 @@ class Lattice:
 
     def forward(self, text: str) -> float:
         """ln of the sum over all segmentations."""
-        alpha, get, longest = [0.0], self.weights.get, self.longest
-        for end in range(1, len(text) + 1):
-            terms, single = [], False
-            for s in range(max(0, end - longest), end):
-                w = get(text[s:end])
-                if w is not None:
-                    terms.append(alpha[s] + w)
-                    single = s == end - 1
+        n, trie = len(text), self.trie
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        a = 0.0
+        for s in range(n + 1):
+            if s:
+                own = terms[s]
+                a = own[0]
+                if len(own) > 1:
+                    a = max(own)
+                    a += math.log(sum([math.exp(t - a) for t in own]))
+                if s == n:
+                    break
+            node, e, single = trie, s, False
+            for c in text[s : s + self.longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                e += 1
+                piece = node.get("")
+                if piece is not None:
+                    terms[e].append(a + piece[0])
+                    single |= e == s + 1
             if not single:
-                terms.append(alpha[end - 1] + sum(self.bytes[b] for b in text[end - 1].encode()))
-            if len(terms) == 1:
-                alpha.append(terms[0])
-            else:
-                m = max(terms)
-                alpha.append(m + math.log(sum([math.exp(t - m) for t in terms])))
-        return alpha[-1]
+                terms[s + 1].append(a + sum([self.bytes[b] for b in text[s].encode()]))
+        return a
 
     def expect(self, text: str, count: float, into: dict[str, float]) -> None:
-        """Adds the expected uses of each piece in ``count`` copies of a word."""
+        """Adds the expected uses of each piece in ``count`` copies of a word. Words of up to 40 characters are far
+        from underflow and need no logarithms."""
         n = len(text)
+        if n <= 40 and self._expect_plain(text, n, count, into):
+            return
         alpha, arcs = [0.0], [[]]
         for end in range(1, n + 1):
             found = self.arcs(text, end)
@@ -116,6 +134,34 @@ class Lattice:
                         k = f"<0x{c:02X}>"
                         into[k] = into.get(k, 0.0) + uses
 
+    def _expect_plain(self, text: str, n: int, count: float, into: dict[str, float]) -> bool:
+        alpha, arcs, trie = [1.0] + [0.0] * n, [], self.trie
+        for s in range(n):
+            a, node, e = alpha[s], trie, s
+            if "" not in trie.get(text[s], trie):
+                codes = text[s].encode()
+                p = math.exp(sum([self.bytes[b] for b in codes]))
+                alpha[s + 1] += a * p
+                arcs.append((s, s + 1, (0.0, p, codes)))
+            for c in text[s : s + self.longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                e += 1
+                piece = node.get("")
+                if piece is not None:
+                    alpha[e] += a * piece[1]
+                    arcs.append((s, e, piece))
+        if alpha[n] < 1e-280:
+            return False
+        beta = [0.0] * n + [count / alpha[n]]
+        for s, e, (_, p, name) in reversed(arcs):
+            x = p * beta[e]
+            beta[s] += x
+            for k in [name] if isinstance(name, str) else [f"<0x{b:02X}>" for b in name]:
+                into[k] = into.get(k, 0.0) + alpha[s] * x
+        return True
+
 
 def with_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, text, block): documents of one stretch of a file share a block; other inputs are written first."""

@@ -41,6 +41,15 @@ def test_expected_counts_cover_the_word():
     assert math.isclose(size, 3.0 * len("▁another梦"), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("word", ["▁thereof", "▁a", "▁éaux", "▁" + "internationalisation" * 2])
+def test_both_ways_of_expecting_agree(word, monkeypatch):
+    x, plain, logs = lattice.Lattice(lattice.start_weights(lattice.vocabulary(MODEL))), {}, {}
+    x.expect(word, 2.0, plain)
+    monkeypatch.setattr(x, "_expect_plain", lambda *_: False)
+    x.expect(word, 2.0, logs)
+    assert plain.keys() == logs.keys() and all(math.isclose(plain[p], logs[p], rel_tol=1e-9) for p in plain)
+
+
 def test_scores(spark):
     docs = [(k, f"the cat {k % 3} sat on The mat\n{'dog ' * (k % 4)}") for k in range(60)] + [(100, None), (101, ""), (102, "Unseenword 梦 zzz"), (103, "x" * 3000), (None, "the"), (7, "the cat 1 sat on The mat\ndog dog dog ")]
     rows = lattice.score(spark.createDataFrame(docs, "doc_id long, text string"), MODEL).collect()
