@@ -201,8 +201,8 @@ def scan(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(run, RESULT)
 
 
-def redact(texts: pa.Array, mark: str = "[SECRET]") -> list[str]:
-    """Texts with every span replaced; overlapping spans are one."""
+def redact(texts: pa.Array, mark: str = "[SECRET]") -> list[str | None]:
+    """Texts with every span replaced; overlapping spans are one, null stays null."""
     out = []
     for i, base, more in scan_column(texts):
         text, parts, at = texts[i].as_py(), [], 0
