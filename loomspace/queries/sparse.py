@@ -17,7 +17,7 @@ P = "WITH d AS (SELECT doc_id AS memory_id, text FROM documents), tk AS (SELECT
 
 
 def docs(spark, d):
-    return t.read(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"))
+    return t.spread(t.read(spark, d, "documents")).select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"))
 
 
 def parts(spark, d):

@@ -20,9 +20,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if the files give fewer tasks, as one row group does; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(memory_id, label, E1): one row per memory."""
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), "label", doubles(F.col("embedding")).alias("E1"))
+    return spread(read(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("memory_id"), "label", doubles(F.col("embedding")).alias("E1"))
 
 
 def part(name: str, column: str = "E1"):
