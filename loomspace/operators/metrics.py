@@ -70,6 +70,28 @@ def ordered(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("p", prev).filter("p is not null").groupBy(by).agg(F.avg((F.col(value) >= F.col("p")).cast("double")).alias("share"))
 
 
+def decay_accuracy(rows: DataFrame, by: str, age: str, value: str) -> DataFrame:
+    """(by, accuracy): over all pairs of a group of unequal age, how often the newer has a value no smaller; null where no pair has
+    both values. No pair is made: two ages part at just one highest bit, so at each bit the rows that share all higher bits of
+    their age are counted by value, in bins of value first so that no group is one task."""
+    rows = rows.select(by, F.col(age).cast("long").alias("age"), F.col(value).cast("double").alias("value")).filter(F.col(by).isNotNull() & F.col("age").isNotNull())
+    known = rows.filter("value is not null")
+    bits = max(1, int(known.agg(F.max("age")).first()[0] or 0).bit_length())
+    cuts = sorted(set(known.stat.approxQuantile("value", [k / 64 for k in range(1, 64)], 0.001)))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("value"))) if cuts else F.lit(0)
+    x = known.withColumn("bin", place).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    key = [by, "bit", "above"]
+    x = x.withColumn("above", F.expr("shiftright(age, bit + 1)")).withColumn("older", F.expr("shiftright(age, bit) & 1"))
+    cells = x.groupBy(*key, "bin", "value").agg(F.sum(1 - F.col("older")).alias("newer"), F.sum("older").alias("older"))
+    up = W.partitionBy(*key, "bin").orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, 0)
+    bins = cells.withColumn("met", F.col("older") * F.sum("newer").over(up)).groupBy(*key, "bin").agg(*(F.sum(c).alias(c) for c in ("met", "newer", "older")))
+    over, whole = W.partitionBy(*key).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*key)
+    met = F.col("met") + F.col("older") * F.coalesce(F.sum("newer").over(over), F.lit(0))
+    pairs = bins.withColumn("all", F.col("older") * F.sum("newer").over(whole)).withColumn("met", met).groupBy(by).agg(F.sum("met").alias("met"), F.sum("all").alias("all"))
+    parted = rows.groupBy(by).agg((F.min("age") < F.max("age")).alias("parted")).filter("parted")
+    return parted.join(pairs, by, "left").select(by, F.when(F.col("all") > 0, F.col("met") / F.col("all")).alias("accuracy"))
+
+
 def f1(found: Column, true: Column) -> Column:
     """F1 of two boolean columns, as an aggregate."""
     tp, fp, fn = (F.sum(c.cast("int")) for c in (found & true, found & ~true, ~found & true))

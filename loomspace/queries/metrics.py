@@ -76,9 +76,7 @@ def temporal(spark, d):
 
 @register("decay_accuracy", "WITH a AS (SELECT max(ts) AS as_of FROM events), g AS (SELECT user_id, epoch(date_trunc('second', as_of))::BIGINT - epoch(date_trunc('second', ts))::BIGINT AS age, value FROM events, a WHERE event_id % 10 = 0) SELECT x.user_id, round(avg((y.value <= x.value)::INT), 6) AS accuracy FROM g x JOIN g y ON x.user_id = y.user_id AND x.age < y.age GROUP BY x.user_id")
 def decay(spark, d):
-    """How often the newer of two events of a user has the larger value, over a stated tenth of them."""
+    """How often the newer of two events of a user has a value no smaller, over all of the user's events."""
     ev = t.events(spark, d)
-    g = ev.crossJoin(F.broadcast(ev.agg(F.max("ts").alias("as_of")))).filter("event_id % 10 = 0").select("user_id", tf.age(F.col("as_of"), F.col("ts")).alias("age"), "value")
-    a, b = (g.select("user_id", F.col("age").alias(f"a{s}"), F.col("value").alias(f"v{s}")) for s in "xy")
-    return a.join(b, "user_id").filter("ax < ay").groupBy("user_id").agg(F.round(F.avg((F.col("vy") <= F.col("vx")).cast("double")), 6).alias("accuracy"))
-
+    g = ev.crossJoin(F.broadcast(ev.agg(F.max("ts").alias("as_of")))).select("user_id", tf.age(F.col("as_of"), F.col("ts")).alias("age"), "value")
+    return metrics.decay_accuracy(g, "user_id", "age", "value").withColumn("accuracy", F.round("accuracy", 6))
