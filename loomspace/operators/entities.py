@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +24,19 @@ def extract(docs: DataFrame, text: str = "content") -> DataFrame:
     return out.select("memory_id", "entity", F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"), F.when(F.col("entity_type").isNotNull(), 1.0).otherwise(0.5).alias("confidence"))
 
 
-def cooccurrence(found: DataFrame, scanned: int, at_least: int = 2, most_common: float = 0.2) -> DataFrame:
-    """(a, b, n, weight): entities that share memories. Names in more than a share of all memories say little and would pair with
-    everything, so they are counted but not paired; weight is n over memories scanned."""
-    df = found.groupBy("entity").agg(F.count_distinct("memory_id").alias("df")).filter((F.col("df") >= at_least) & (F.col("df") <= most_common * scanned))
-    own = found.select("memory_id", "entity").distinct().join(df.select("entity"), "entity")
-    a, b = (own.select("memory_id", F.col("entity").alias(x)) for x in "ab")
-    pairs = a.join(b, "memory_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return pairs.filter(F.col("n") >= at_least).withColumn("weight", F.col("n") / scanned)
+def cooccurrence(found: DataFrame, scanned: int, at_least: int = 1, most_common: float = 1.0, min_relation_score: float = 0.0) -> DataFrame:
+    """(a, b, n, weight): entities that share memories; weight is n over memories scanned. All names are paired unless a caller asks
+    for ``most_common``, and only edges below ``min_relation_score`` are left out. Pairs are made from each memory's own set, equal
+    sets once with their number, so a name in all memories joins nothing; names in too few memories for any edge are dropped first."""
+    least = max(at_least, math.ceil(min_relation_score * scanned - 1e-9))
+    own = found.filter("memory_id is not null and entity is not null").select("memory_id", "entity")
+    if least > 1 or most_common < 1:
+        df = own.groupBy("entity").agg(F.count_distinct("memory_id").alias("df"))
+        own = own.join(df.filter((F.col("df") >= least) & (F.col("df") <= most_common * scanned)).select("entity"), "entity")
+    sets = own.groupBy("memory_id").agg(F.array_sort(F.collect_set("entity")).alias("es")).groupBy("es").agg(F.count("*").alias("k"))
+    first = sets.select("es", "k", F.posexplode("es").alias("at", "a"))
+    pairs = first.select("a", "k", F.explode(F.slice("es", F.col("at") + 2, F.size("es"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.sum("k").alias("n")).filter(F.col("n") >= least).withColumn("weight", F.col("n") / scanned)
 
 
 def match(asked: Column, own: Column, mode: str = "any") -> Column:
@@ -57,8 +64,6 @@ def verdict(score: Column) -> Column:
 
 def relation_vector(name: str, dim: int) -> list[float]:
     """A fixed vector of a relation; a relation and its inverse point opposite ways."""
-    import math
-
     forward = name in RELATIONS
     base = name if forward else next(k for k, x in RELATIONS.items() if x == name)
     k = list(RELATIONS).index(base) + 1

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomspace.operators import metrics
+from loomspace.operators import entities, metrics
 from tests.test_entry import DATA, QUERIES, SQL, duck, plain  # noqa: F401
 
 
@@ -35,3 +35,16 @@ def test_decay_accuracy_counts_every_pair(spark):
 def test_decay_accuracy_over_all_events(spark, duck):  # noqa: F811
     want = duck.sql(uncut("decay_accuracy", (" WHERE event_id % 10 = 0", ""))).df()
     assert plain(QUERIES["decay_accuracy"](spark, DATA).toPandas()) == plain(want)
+
+
+def test_cooccurrence_keeps_frequent_names(spark):
+    rows = [(m, "all") for m in range(10)] + [(m, "most") for m in range(8)] + [(0, "one"), (0, "one"), (None, "all"), (1, None)]
+    found = spark.createDataFrame(rows, "memory_id long, entity string")
+    got = {(x.a, x.b): (x.n, x.weight) for x in entities.cooccurrence(found, 10).collect()}
+    assert got == {("all", "most"): (8, 0.8), ("all", "one"): (1, 0.1), ("most", "one"): (1, 0.1)}
+    assert [(x.a, x.b) for x in entities.cooccurrence(found, 10, min_relation_score=0.3).collect()] == [("all", "most")]
+
+
+def test_entity_graph_pairs_all_entities(spark, duck):  # noqa: F811
+    want = duck.sql(uncut("entity_graph", (" HAVING count(*) >= 2 AND count(*) <= 0.2 * max(n)", ""), (" HAVING count(*) >= 4", ""))).df()
+    assert plain(QUERIES["entity_graph"](spark, DATA).toPandas()) == plain(want)
