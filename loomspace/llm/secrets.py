@@ -35,7 +35,7 @@ KINDS = ("assign", "access", "hex")
 # Candidates of the structural kinds.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/=])(?:M[A-P][A-Za-z0-9+/]|b3B|AAA)[A-Za-z0-9+/]{37,}={0,2}")
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P][A-Za-z0-9+/]|b3B|AAA)[A-Za-z0-9+/]{37,}={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 #: kind -> what a text must hold, as one RE2 pattern each
 MAY = {

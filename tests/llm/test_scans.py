@@ -255,3 +255,21 @@ def test_ratio_is_the_one_of_the_counts(spark):
     assert {x.doc_id for x in rows if x.llr > 0} == set(range(20))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {x.llr for x in quality.quality(frame(spark, docs), none).collect()} == {0.0}
+
+
+def test_keys_straight_after_an_equals_sign():
+    """The env-file form of a base64 key, of each kind, is found and redacted; so is one after another's padding."""
+    import base64
+    import struct
+
+    field = lambda x: struct.pack(">I", len(x)) + x
+    pkcs8 = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))
+    public = field(b"ssh-ed25519") + field(bytes(range(32)))
+    openssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + struct.pack(">I", 1) + field(public) + field(b"x" * 40)
+    for data, kind in ((pkcs8, "base64_der"), (openssh, "base64_openssh"), (public, "base64_ssh")):
+        key = base64.b64encode(data).decode()
+        for before in ("PRIVATE_KEY=", "export K=", "A=QUJDRA=="):
+            text = f"{before}{key}\nX=1"
+            assert (len(before), len(before) + len(key), kind) in secrets.structures(text, set(secrets.MAY))
+            assert key not in secrets.redact(__import__("pyarrow").array([text]))[0]
+    assert list(secrets.structures("K=" + "M" * 60 + " K=" + "AAA" * 20, set(secrets.MAY))) == []
