@@ -86,8 +86,8 @@ def shortest(spark, d):
 
 @register("fingerprint_pairs", S + " SELECT query_id, memory_id, round(avg(sim), 6) AS mean, round(max(sim), 6) AS high, round(min(sim), 6) AS low, round(product(greatest(sim, 0.01)), 6) AS product, round(sum(weight * sim) / sum(weight), 6) AS weighted FROM s JOIN c USING (space) WHERE memory_id % 100 = 0 GROUP BY query_id, memory_id")
 def pairs(spark, d):
-    """The stated set among itself, over all spaces."""
-    s = scores(spark, d).filter("memory_id % 100 = 0")
+    """The stated set against all memories, over all spaces."""
+    s = scores(spark, d)
     w = ws.looked_up(F.col("space"), ws.PROFILES["default"])
     product = F.aggregate(F.collect_list(F.greatest("sim", F.lit(0.01))), F.lit(1.0), lambda a, x: a * x)
     g = s.groupBy("query_id", "memory_id").agg(F.avg("sim").alias("mean"), F.max("sim").alias("high"), F.min("sim").alias("low"), product.alias("product"), (F.sum(w * F.col("sim")) / F.sum(w)).alias("weighted"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import temporal as tf
 from ..functions import text as tx
 from ..functions import vectors as v
-from ..operators import curation, retrieval
+from ..operators import curation, graph, retrieval
 from ..plans import weights as ws
 from ..sources import tables as t
 from . import register
@@ -101,9 +101,8 @@ def status(spark, d):
 
 @register("merge_compatibility", M + ", x AS (SELECT label, memory_id, e, CASE WHEN list_var_pop(e[1:16]) > 1.05 * list_var_pop(e[17:32]) THEN 'cause' WHEN list_var_pop(e[17:32]) > 1.05 * list_var_pop(e[1:16]) THEN 'effect' ELSE 'unknown' END AS dir FROM m WHERE memory_id % 10 = 0), p AS (SELECT a.label, min(list_cosine_similarity(a.e, b.e)) AS low FROM x a JOIN x b ON a.label = b.label AND a.memory_id < b.memory_id GROUP BY a.label) SELECT x.label, bool_or(dir = 'cause') AND bool_or(dir = 'effect') AS rejected, any_value(low) < 0.3 AS warns FROM x JOIN p USING (label) GROUP BY x.label")
 def compatibility(spark, d):
-    m = t.vectors(spark, d).filter("memory_id % 10 = 0").withColumn("dir", retrieval.direction(F.col("E1")))
-    a, b = (m.select("label", F.col("memory_id").alias(x), F.col("E1").alias(f"v{x}")) for x in "ab")
-    low = a.join(b, "label").filter("a < b").groupBy("label").agg((F.min(v.cosine_raw(F.col("va"), F.col("vb"))) < 0.3).alias("warns"))
+    m = t.vectors(spark, d).withColumn("dir", retrieval.direction(F.col("E1")))
+    low = graph.least_cosine(m, "label", F.col("E1")).select("label", (F.col("low") < 0.3).alias("warns"))
     both = m.groupBy("label").agg((F.bool_or(F.col("dir") == "cause") & F.bool_or(F.col("dir") == "effect")).alias("rejected"))
     return both.join(low, "label")
 

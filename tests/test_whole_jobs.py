@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomspace.operators import entities, metrics
+from loomspace.operators import entities, graph, metrics
 from tests.test_entry import DATA, QUERIES, SQL, duck, plain  # noqa: F401
 
 
@@ -48,3 +50,24 @@ def test_cooccurrence_keeps_frequent_names(spark):
 def test_entity_graph_pairs_all_entities(spark, duck):  # noqa: F811
     want = duck.sql(uncut("entity_graph", (" HAVING count(*) >= 2 AND count(*) <= 0.2 * max(n)", ""), (" HAVING count(*) >= 4", ""))).df()
     assert plain(QUERIES["entity_graph"](spark, DATA).toPandas()) == plain(want)
+
+
+@pytest.mark.parametrize("block", [1, 7, 2048])
+def test_least_cosine_of_all_pairs(spark, block):
+    r = np.random.default_rng(block)
+    rows = [(int(k % 3), int(k), r.normal(size=4).tolist()) for k in range(60)] + [(3, 1, [1.0] * 4), (None, 2, [1.0] * 4), (4, 3, [0.0] * 4), (4, 4, [1.0] * 4)]
+    frame = spark.createDataFrame(rows, "label long, memory_id long, v array<double>")
+    got = {x.label: x.low for x in graph.least_cosine(frame, "label", F.col("v"), block).collect()}
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) if np.any(a) and np.any(b) else 0.0
+    assert got == pytest.approx({g: min(cos(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] == g and a[1] < b[1]) for g in (0, 1, 2, 4)})
+
+
+def test_merge_compatibility_over_all_memories(spark, duck):  # noqa: F811
+    want = duck.sql(uncut("merge_compatibility", (" WHERE memory_id % 10 = 0", ""))).df()
+    assert plain(QUERIES["merge_compatibility"](spark, DATA).toPandas()) == plain(want)
+
+
+def test_fingerprint_pairs_against_all_memories(spark, duck):  # noqa: F811
+    want = duck.sql(uncut("fingerprint_pairs", (" WHERE memory_id % 100 = 0 GROUP BY", " GROUP BY"))).df()
+    got = QUERIES["fingerprint_pairs"](spark, DATA).toPandas()
+    assert len(got) == 5 * 499 and plain(got) == plain(want)
