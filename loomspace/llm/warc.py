@@ -92,7 +92,7 @@ def resolve_revisits(records: DataFrame, keep_body: bool = True) -> DataFrame:
 
 def captures(pages: DataFrame) -> DataFrame:
     """WARC records of a crawl of ``pages``: each page is fetched at first, its validators kept, and fetched again after an
-    hour for every third page, which answers 304 for unchanged pages; every ninth has only a date, others an ETag."""
+    hour, which answers 304 for unchanged pages; every ninth has only a date, others an ETag."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     digest, sent = F.md5("html"), F.col("page_id") % 9 == 0
     when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))
@@ -102,7 +102,7 @@ def captures(pages: DataFrame) -> DataFrame:
         F.when(~sent, F.concat(F.lit('W/"'), digest, F.lit('"'))).alias("etag"), F.when(sent, text(when)).alias("last_modified"), digest.alias("digest"),
         F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), text(when)).alias("headers"), F.col("html").alias("body"),
     )
-    again = pages.filter("page_id % 3 = 0").select(
+    again = pages.select(
         (F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.concat("url", F.lit("#again")).alias("url"), F.timestamp_seconds(F.unix_seconds(when) + 3600).alias("ts"), F.lit(304).alias("status"),
         F.when(~sent, F.concat(F.lit('"'), digest, F.lit('"'))).alias("etag"), F.when(sent, text(when)).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
         F.create_map(F.lit("date"), text(F.timestamp_seconds(F.unix_seconds(when) + 3600)), F.lit("server"), F.lit("x")).alias("headers"), F.lit(None).cast("string").alias("body"),

@@ -71,3 +71,9 @@ def test_fingerprint_pairs_against_all_memories(spark, duck):  # noqa: F811
     want = duck.sql(uncut("fingerprint_pairs", (" WHERE memory_id % 100 = 0 GROUP BY", " GROUP BY"))).df()
     got = QUERIES["fingerprint_pairs"](spark, DATA).toPandas()
     assert len(got) == 5 * 499 and plain(got) == plain(want)
+
+
+def test_every_page_has_its_revisit(spark, duck):  # noqa: F811
+    got = QUERIES["op6_warc_revisits"](spark, DATA).toPandas()
+    assert len(got) == duck.sql("SELECT count(*) FROM pages").fetchall()[0][0]
+    assert plain(got) == plain(duck.sql(uncut("op6_warc_revisits", (" WHERE r.page_id % 3 = 0", ""))).df())
