@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspace.operators import entities, graph, metrics
+from loomspace.operators import clustering, entities, graph, metrics
 from tests.test_entry import DATA, QUERIES, SQL, duck, plain  # noqa: F401
 
 
@@ -77,3 +77,17 @@ def test_every_page_has_its_revisit(spark, duck):  # noqa: F811
     got = QUERIES["op6_warc_revisits"](spark, DATA).toPandas()
     assert len(got) == duck.sql("SELECT count(*) FROM pages").fetchall()[0][0]
     assert plain(got) == plain(duck.sql(uncut("op6_warc_revisits", (" WHERE r.page_id % 3 = 0", ""))).df())
+
+
+def test_density_is_the_same_at_either_size(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(6, 8))
+    x = {"spread": r.normal(size=(60, 8)), "close": np.concatenate([centres[k % 6] + r.normal(size=8) * 0.02 * (1 + k % 5) for k in range(80)]).reshape(80, 8)}
+    rows = [(s, k * 7 % 101, v.tolist()) for s, m in x.items() for k, v in enumerate(m)] + [("close", 200, [0.0] * 8)]
+    frame = spark.createDataFrame(rows, "space string, memory_id long, v array<double>").cache()
+    seen = lambda: {(y.space, y.memory_id): (y.cluster, y.probability, y.core) for y in clustering.density(frame).collect()}
+    small = seen()
+    assert len(set(small.values())) > 4
+    monkeypatch.setattr(clustering, "EXACT", 5)
+    monkeypatch.setattr(clustering, "BLOCK", 30)
+    assert seen() == small
