@@ -22,9 +22,11 @@ ALNUM = ((_byte >= 0x30) & (_byte <= 0x39)) | ((_byte >= 0x61) & (_byte <= 0x7A)
 LOWER = np.where((_byte >= 0x41) & (_byte <= 0x5A), _byte + 32, _byte).astype(np.uint8)
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_PRIME = (1 << 61) - 1
+_BASE = 0x1B1CE4E5B9133111 % _PRIME
+_INV = pow(_BASE, -1, _PRIME)
+_P, _LOW31, _LOW30 = _U(_PRIME), _U((1 << 31) - 1), _U((1 << 30) - 1)
+_CARRY = 1 << 20  #: bytes whose products are summed before they are reduced
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -37,27 +39,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1, by halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduce(_U(2) * a1 * b1 + (middle >> _U(30)) + ((middle & _LOW30) << _U(31)) + a0 * b0)
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INV)):
-            a = np.full(size, _U(base & ((1 << 64) - 1)))
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
+    for k, base in enumerate((_BASE, _INV)):
+        while len(_powers[k]) < n:
+            size = len(_powers[k])
+            _powers[k] = np.concatenate([_powers[k], _times(_powers[k], np.full(1, _U(pow(base, size, _PRIME))))])
     return _powers[0][:n], _powers[1][:n]
 
 
 class RangeHash:
-    """64-bit hashes of any byte ranges of one block."""
+    """Hashes of any byte ranges of one block: polynomials modulo the prime 2^61 - 1.
+
+    Different strings of n bytes collide for at most n of the 2^61 bases; unlike modulo 2^64, no structure of a text
+    (such as a Thue-Morse word and its complement) collides whatever the base.
+    """
 
     def __init__(self, data: np.ndarray):
         up, _ = _power(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=self.sums[1:])
+        for k in range(0, len(data), _CARRY):
+            value, own = data[k : k + _CARRY].astype(np.uint64) + _U(1), up[k : min(k + _CARRY, len(data))]
+            low, high = np.cumsum(value * (own & _LOW31)), np.cumsum(value * (own >> _U(31)))
+            # high * 2^31: its upper bits wrap around at 2^61
+            whole = (high >> _U(30)) + ((high & _LOW30) << _U(31)) + low + self.sums[k]
+            self.sums[k + 1 : k + 1 + len(value)] = _reduce(whole)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         _, down = _power(len(self.sums))
-        return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
+        own = self.sums[end] + (_P - self.sums[start])
+        return mix(_times(_reduce(own), down[start]) + (np.asarray(end) - np.asarray(start)).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 class Block:

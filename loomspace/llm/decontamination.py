@@ -2,21 +2,23 @@
 
 A window is ``size`` consecutive words of an item (all its words, if it has fewer). For exact containment the necessary
 prefix of a window is one shingle, so each window is indexed under its rarest one: rarity is the number of windows with
-the shingle over the whole benchmark, then how common its words are there. Document shingles are joined with the
+the shingle over a block of items, then how common its words are there. Document shingles are joined with the
 index; a hit gives the only place where the window can lie (positional bound), which must fit into the document (length
-bound); then all its words are compared.
+bound); then the hashes of all its words are compared, and at last their bytes.
 
-The index is broadcast in blocks of items of at most ``block_bytes`` of text, so it stays bounded for any benchmark; the
-documents are scanned once per block, and blocks are merged by document.
+Items are dealt into blocks of about ``block_bytes`` of text, each with its own index. Up to ``GROUP`` blocks are broadcast at
+a time and met in one scan of the documents, so a broadcast has at most about GROUP * block_bytes of items in it whatever
+the benchmark's size. A larger benchmark takes a scan a group; the documents are then written once with a row number, by
+which the groups' hits are merged. Every row of documents has one row in the result at any size.
 
-Defined results: null or empty texts have no words and nothing is hit; items without an id or words have no window;
-repeated rows of documents each get their own result (more than one block: equal rows are one); equal items all count.
+Defined results: null or empty texts have no words and nothing is hit; texts of any length are scanned whole; items without
+an id or words have no window; repeated rows of documents each get their own result; equal items all count; an empty table
+of documents gives no rows and an empty benchmark no hits; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import id_text
-from ._text import ALNUM, RangeHash, blocks, mix, sums
+from ._shared import id_text, materialise
+from ._text import ALNUM, LOWER, RangeHash, blocks, mix
 
 _U = np.uint64
+_I = np.int64
+GROUP = 16  #: blocks of items that are broadcast together
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-PARTS = "doc_id long, text_hash long, n_words long, spans array<long>, items array<string>"
+PARTS = "row long, doc_id long, n_words long, spans array<long>, items array<string>"
 
 
 def shingles(words: np.ndarray, q: int) -> np.ndarray:
@@ -41,49 +45,73 @@ def shingles(words: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of ``a`` from ``at`` are those of ``b`` from ``bt``."""
+    same, left, k = np.ones(len(size), bool), np.flatnonzero(size > 0), 0
+    while len(left):
+        equal = a[at[left] + k] == b[bt[left] + k]
+        same[left[~equal]] = False
+        k += 1
+        left = left[equal & (size[left] > k)]
+    return same
+
+
+class Words:
+    """The words of one block of texts: its lower-case bytes, where each word starts and ends, and their hashes."""
+
+    def __init__(self, block):
+        self.start, self.end, self.first = block.words(ALNUM, True)
+        self.data = LOWER[block.data]
+        self.hash = RangeHash(self.data)(self.start, self.end)
+
+
 class Index:
-    """Windows under their rarest shingles."""
+    """Windows under their rarest shingles. A window is its first word's place among the items' words, and its length."""
 
     def __init__(self, items: list[tuple[str, str]], size: int = 10, width: int = 3):
         self.items = [i for i, _ in items]
-        per_item = []
-        for block in blocks(pa.array([t for _, t in items], pa.string())):
-            s, e, first = block.words(ALNUM, True)
-            h = RangeHash(_lower(block.data))(s, e)
-            per_item += [h[a:b] for a, b in zip(first[:-1], first[1:])]
-        common = Counter(w for h in per_item for w in h.tolist())
-        windows: dict[tuple[int, ...], set[int]] = {}
-        for k, h in enumerate(per_item):
-            step = min(size, len(h))
-            for s in range(len(h) - step + 1) if step else ():
-                windows.setdefault(tuple(h[s : s + step].tolist()), set()).add(k)
-        self.texts = list(windows)
-        self.owners = [sorted(windows[w]) for w in self.texts]
-        tokens = [(q := min(width, len(w)), shingles(np.array(w, _U), q).tolist()) for w in self.texts]
-        rare = Counter(x for _, t in tokens for x in set(t))
-        entries: dict[int, list[tuple[int, int, int]]] = {q: [] for q in range(1, width + 1)}
-        for w, (q, t) in enumerate(tokens):
-            at = min(range(len(t)), key=lambda k: (rare[t[k]], sum(common[x] for x in self.texts[w][k : k + q]), t[k]))
-            entries[q].append((t[at], w, at))
+        texts = pa.array([t for _, t in items], pa.string())
+        self.words = w = Words(next(blocks(texts, 1 << 62))) if items else None
+        owners: dict[bytes, tuple[int, int, set[int]]] = {}
+        for k in range(len(items)):
+            a, b = int(w.first[k]), int(w.first[k + 1])
+            n = min(size, b - a)
+            own = [w.data[s:e].tobytes() for s, e in zip(w.start[a:b].tolist(), w.end[a:b].tolist())]
+            for p in range(b - a - n + 1) if n else ():
+                owners.setdefault(b" ".join(own[p : p + n]), (a + p, n, set()))[2].add(k)
+        self.place, self.length = (np.array([x[k] for x in owners.values()], _I) for k in (0, 1))
+        self.owners = [sorted(x[2]) for x in owners.values()]
         self.tables = {}
-        for q, rows in entries.items():
-            if rows:
-                rows.sort()
-                keys = np.array([r[0] for r in rows], _U)
-                quick = np.zeros(1 << 20, bool)
-                quick[(keys & _U((1 << 20) - 1)).astype(np.int64)] = True
-                self.tables[q] = (keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), quick)
-        self.lengths = np.array([len(w) for w in self.texts], np.int64)
-        self.matrix = np.zeros((len(self.texts), size), _U)
-        for k, w in enumerate(self.texts):
-            self.matrix[k, : len(w)] = w
-
-    def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word starts and window numbers of all windows that occur within documents; first: each document's first word."""
-        found = [(np.zeros(0, np.int64),) * 2]
+        for n in np.unique(self.length).tolist():
+            self._enter(np.flatnonzero(self.length == n), n, min(width, n))
+        self.tables = {q: self._table(*(np.concatenate(x) for x in zip(*rows))) for q, rows in self.tables.items()}
+
+    def _enter(self, windows: np.ndarray, n: int, q: int) -> None:
+        """Choose the shingle of each of the windows of n words."""
+        h = self.words.hash
+        _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+        each = self.place[windows][:, None] + np.arange(n - q + 1)
+        keys = shingles(h, q)[each]
+        _, which, rare = np.unique(keys, return_inverse=True, return_counts=True)
+        rare = rare[which].reshape(keys.shape)
+        common = np.convolve(times[inverse], np.ones(q, _I))[q - 1 :][each]
+        at = np.lexsort((keys, common, rare), axis=-1)[:, 0]
+        self.tables.setdefault(q, []).append((keys[np.arange(len(windows)), at], windows, at))
+
+    @staticmethod
+    def _table(keys: np.ndarray, window: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((offset, window, keys))
+        quick = np.zeros(1 << 20, bool)
+        quick[(keys & _U((1 << 20) - 1)).astype(_I)] = True
+        return keys[order], window[order], offset[order], quick
+
+    def hits(self, d: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Word starts and window numbers of all windows that occur within documents."""
+        found = [(np.zeros(0, _I),) * 2]
+        h, first = d.hash, d.first
         for q, (keys, window, offset, quick) in self.tables.items():
             t = shingles(h, q)
-            at = np.flatnonzero(quick[(t & _U((1 << 20) - 1)).astype(np.int64)])
+            at = np.flatnonzero(quick[(t & _U((1 << 20) - 1)).astype(_I)])
             lo, hi = np.searchsorted(keys, t[at], "left"), np.searchsorted(keys, t[at], "right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
             if not len(at):
@@ -92,35 +120,54 @@ class Index:
             pos = np.repeat(at, n)
             w, start = window[k], pos - offset[k]
             doc = np.searchsorted(first, pos, "right") - 1
-            fits = (start >= first[doc]) & (start + self.lengths[w] <= first[np.minimum(doc + 1, len(first) - 1)])
+            fits = (start >= first[doc]) & (start + self.length[w] <= first[np.minimum(doc + 1, len(first) - 1)])
             start, w = start[fits], w[fits]
-            for j in range(self.matrix.shape[1]):
-                same = (j >= self.lengths[w]) | (h[np.minimum(start + j, len(h) - 1)] == self.matrix[w, j])
+            for j in range(int(self.length.max())):
+                same = j >= self.length[w]
+                on = np.flatnonzero(~same)
+                same[on] = h[start[on] + j] == self.words.hash[self.place[w[on]] + j]
                 start, w = start[same], w[same]
             found.append((start, w))
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def _lower(data: np.ndarray) -> np.ndarray:
-    from ._text import LOWER
-
-    return LOWER[data]
-
-
-def _scan(index: Index, batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, np.ndarray, set[str]]]:
+        return self._exact(d, *(np.concatenate(x) for x in zip(*found)))
+
+    def _exact(self, d: Words, start: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the hits whose words are the window's byte for byte; each pair of words is compared once."""
+        if not len(start):
+            return start, window
+        n = self.length[window]
+        hit = np.repeat(np.arange(len(start)), n)
+        j = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.stack([start[hit] + j, self.place[window[hit]] + j], 1)
+        pair, which = np.unique(pair, axis=0, return_inverse=True)
+        x, y = pair[:, 0], pair[:, 1]
+        size = d.end[x] - d.start[x]
+        same = size == self.words.end[y] - self.words.start[y]
+        on = np.flatnonzero(same)
+        same[on] = same_bytes(d.data, d.start[x[on]], self.words.data, self.words.start[y[on]], size[on])
+        good = np.bincount(hit, weights=~same[which.ravel()], minlength=len(start)) == 0
+        return start[good], window[good]
+
+
+def _scan(indexes: list[Index], batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, np.ndarray, set[str]]]:
     """Row of the batch, words, hit spans (start << 32 | end, words of the document) and items, for each document."""
     for block in blocks(batch.column(column)):
-        s, e, first = block.words(ALNUM, True)
-        h = RangeHash(_lower(block.data))(s, e)
-        start, w = index.hits(h, first)
-        order = np.argsort(start, kind="stable")
-        start, w = start[order], w[order]
-        bounds = np.searchsorted(start, first)
-        for d in range(block.n):
-            a, b = bounds[d], bounds[d + 1]
-            own = start[a:b] - first[d]
-            spans = np.unique(own << 32 | (own + index.lengths[w[a:b]])) if b > a else own
-            yield block.first + d, int(first[d + 1] - first[d]), spans, {index.items[i] for x in set(w[a:b].tolist()) for i in index.owners[x]}
+        d = Words(block)
+        first, found = d.first, []
+        for index in indexes:
+            start, w = index.hits(d)
+            order = np.argsort(start, kind="stable")
+            start, w = start[order], w[order]
+            if len(start):
+                found.append((index, start, w, np.searchsorted(start, first)))
+        for k in range(block.n):
+            spans, items = [], set()
+            for index, start, w, bounds in found:
+                a, b = bounds[k], bounds[k + 1]
+                if b > a:
+                    own = start[a:b] - first[k]
+                    spans.append(own << 32 | (own + index.length[w[a:b]]))
+                    items |= {index.items[i] for x in set(w[a:b].tolist()) for i in index.owners[x]}
+            yield block.first + k, int(first[k + 1] - first[k]), np.unique(np.concatenate(spans)) if spans else np.zeros(0, _I), items
 
 
 def _summary(n_words: int, spans: np.ndarray, items: set[str]) -> tuple:
@@ -132,48 +179,64 @@ def _summary(n_words: int, spans: np.ndarray, items: set[str]) -> tuple:
     return n_words, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0
 
 
-def _indexes(spark, benchmark: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int):
-    """Broadcast indexes of blocks of items, each of about ``block_bytes`` of text, and their number."""
+def _indexes(spark, benchmark: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int) -> tuple[int, Iterator]:
+    """The number of groups, and each group's broadcast of indexes, made when it is asked for."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna()
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0
     parts = int(total // block_bytes) + 1
-    made = []
-    for k in range(parts):
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        made.append(spark.sparkContext.broadcast(Index(sorted((r.item, r.text) for r in own.collect()), size)))
-    return made, parts
+    groups = -(-parts // GROUP)
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+    items = items.withColumn("part", part).withColumn("of", (part / GROUP).cast("int"))
+    if groups > 1:
+        items = materialise(items, "of")  # each group is read alone
+
+    def made() -> Iterator:
+        for g in range(groups):
+            own: dict[int, list[tuple[str, str]]] = {}
+            for r in items.filter(F.col("of") == g).select("part", "item", "text").toLocalIterator():  # one group of the benchmark
+                own.setdefault(r.part, []).append((r.item, r.text))
+            yield spark.sparkContext.broadcast([Index(sorted(x), size) for _, x in sorted(own.items())])
+
+    return groups, made()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    indexes, parts = _indexes(docs.sparkSession, benchmark, item_col, text_col, size, block_bytes)
+    groups, indexes = _indexes(docs.sparkSession, benchmark, item_col, text_col, size, block_bytes)
     docs = id_text(docs)
-    made = [_hits(docs, index, parts == 1) for index in indexes]
-    if parts == 1:
-        return made[0]
-    union = made[0]
-    for x in made[1:]:
-        union = union.unionByName(x)
-    merged = union.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    if groups == 1:
+        return _hits(docs, next(indexes), True)
+    docs = materialise(docs.withColumn("row", F.monotonically_increasing_id()))
+    union = None
+    for shared in indexes:
+        own = materialise(_hits(docs, shared, False))
+        shared.unpersist()
+        union = own if union is None else union.unionByName(own)
+    # at most a row a group and document; those without hits have no spans
+    merged = union.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _result(zip(b.column(0).to_pylist(), (_summary(n, np.array(s or [], np.int64), set(i or [])) for n, s, i in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))))))
+            yield _result(zip(b.column(1).to_pylist(), (_summary(n, np.array(s or [], _I), set(i or [])) for n, s, i in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))))))
 
     return merged.mapInArrow(finish, RESULT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
-    """The rows of ``docs`` in which no window occurs, with all their columns; one scan for each block of items."""
+    """The rows of ``docs`` in which no window occurs, with all their columns; one scan for each group of blocks."""
     at = docs.columns.index("text")
-    for index in _indexes(docs.sparkSession, benchmark, "item_id", "text", size, block_bytes)[0]:
+    groups, indexes = _indexes(docs.sparkSession, benchmark, "item_id", "text", size, block_bytes)
+    for shared in indexes:
 
-        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n = [len(spans) for _, _, spans, _ in _scan(index.value, batch, at)]
+                n = [len(spans) for _, _, spans, _ in _scan(shared.value, batch, at)]
                 yield batch.filter(pa.array([x == 0 for x in n], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if groups > 1:
+            docs = materialise(docs)
+            shared.unpersist()
     return docs
 
 
@@ -183,18 +246,18 @@ def _result(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def _hits(docs: DataFrame, index, whole: bool) -> DataFrame:
+def _hits(docs: DataFrame, shared, whole: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             if whole:
-                yield _result((ids[i], _summary(n, s, items)) for i, n, s, items in _scan(index.value, batch))
+                yield _result((ids[i], _summary(n, s, items)) for i, n, s, items in _scan(shared.value, batch))
             else:
-                rows = [(ids[i], batch.column(2)[i].as_py(), n, s, sorted(items)) for i, n, s, items in _scan(index.value, batch)]
+                rows = [(batch.column(2)[i].as_py(), ids[i], n, s, sorted(items)) for i, n, s, items in _scan(shared.value, batch)]
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["doc_id", "text_hash", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["row", "doc_id", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(scan, RESULT) if whole else docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, PARTS)
+    return docs.mapInArrow(scan, RESULT if whole else PARTS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,12 +10,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from loomspace.llm import decontamination, licences, packing, quality, secrets
+from loomspace.llm import _text, decontamination, licences, packing, quality, secrets
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -156,8 +157,9 @@ def hits(text, items, size=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
-def test_windows(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "group"), [(1 << 20, 16), (400, 16), (60, 2)])
+def test_windows(spark, monkeypatch, block_bytes, group):
+    monkeypatch.setattr(decontamination, "GROUP", group)
     r = random.Random(7)
     word = lambda: r.choice(["a", "b", "É", "the", "of", "x1", "Q"])
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([0, 1, 2, 3, 9, 10, 11, 25, 40])] + [(10, None), (11, "a-b.c The"), (12, "a-b.c The")]
@@ -170,11 +172,44 @@ def test_windows(spark, block_bytes):
         docs.append((k, "\n".join(parts)))
     got = decontamination.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == {d: hits(t, items) for d, t in docs}
-    assert len(got) == len(docs) - (block_bytes == 400)  # equal rows are one with more than one block
+    assert len(got) == len(docs)
+    kept = decontamination.keep_clean(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect()
+    assert Counter((x.doc_id, x.text) for x in kept) == Counter((d, t) for d, t in docs if not hits(t, items)[4])
+    assert decontamination.decontaminate(frame(spark, []), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect() == []
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontamination.decontaminate(frame(spark, docs), none).collect()} == {0}
 
 
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_modulo_powers_of_two(spark, n):
+    one, other = thue_morse(n)
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    got = decontamination.decontaminate(frame(spark, [(1, one), (2, other)]), items).collect()
+    assert {r.doc_id: r.contaminated for r in got} == {1: True, 2: False}
+    assert [r.labels for r in licences.scan(frame(spark, [(1, other)]), {"t": one}, {one: "p"}).collect()] == [""]
+    hashed = _text.RangeHash(np.frombuffer((one + other).encode(), np.uint8))
+    assert len(set(hashed(np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+
+
+def test_bytes_decide_where_hashes_collide(spark, monkeypatch):
+    class Same(_text.RangeHash):
+        def __call__(self, start, end):
+            return np.full(len(start), 7, np.uint64)
+
+    monkeypatch.setattr(decontamination, "RangeHash", Same)
+    index = decontamination.Index([("1", "ab cd"), ("2", "x")])
+    texts = pa.array(["ab cd", "ab ce", "q x q", "abc"])
+    got = [(i, sorted(items)) for i, _, _, items in decontamination._scan([index], pa.RecordBatch.from_arrays([texts], names=["text"]), 0)]
+    assert got == [(0, ["1"]), (1, []), (2, ["2"]), (3, [])]
+
+
 # secrets
 
 
