@@ -82,6 +82,17 @@ class RangeHash:
         return mix(_times(_reduce(own), down[start]) + (np.asarray(end) - np.asarray(start)).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of ``a`` from ``at`` are those of ``b`` from ``bt``."""
+    same, left, k = np.ones(len(size), bool), np.flatnonzero(size > 0), 0
+    while len(left):
+        equal = a[at[left] + k] == b[bt[left] + k]
+        same[left[~equal]] = False
+        k += 1
+        left = left[equal & (size[left] > k)]
+    return same
+
+
 class Block:
     """Some consecutive documents of a batch: ``data`` their bytes, ``at`` where each starts (and the end)."""
 

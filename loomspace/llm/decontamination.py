@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import id_text, materialise
-from ._text import ALNUM, LOWER, RangeHash, blocks, mix
+from ._text import ALNUM, LOWER, RangeHash, blocks, mix, same_bytes
 
 _U = np.uint64
 _I = np.int64
@@ -45,17 +45,6 @@ def shingles(words: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether ``size`` bytes of ``a`` from ``at`` are those of ``b`` from ``bt``."""
-    same, left, k = np.ones(len(size), bool), np.flatnonzero(size > 0), 0
-    while len(left):
-        equal = a[at[left] + k] == b[bt[left] + k]
-        same[left[~equal]] = False
-        k += 1
-        left = left[equal & (size[left] > k)]
-    return same
-
-
 class Words:
     """The words of one block of texts: its lower-case bytes, where each word starts and ends, and their hashes."""
 

@@ -23,24 +23,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._shared import id_text
-from ._text import ALNUM, LOWER, RangeHash, blocks
+from ._text import ALNUM, LOWER, RangeHash, blocks, same_bytes
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Public license notices and texts with markup.
+# Wording of public licenses, as templates share it.
+_BSD_TERMS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<var;words=0-1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<var;words=0-1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+)
+_BSD_NAMES = (
+    "<<var;words=0-1>> neither the <<var;match=name|names>> of <<var;words=1-8>> <<var;match=nor the names of its|nor the names of|nor its>> contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission "
+)
+_BSD_END = "this software is provided by <<var;words=1-8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_GPL = "<<beginOptional>>this program is free software<<endOptional>> you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation "
+_LATER = "either version {} of the license or at your option any later version"
+_MPL = "this source code form is subject to the terms of the mozilla public license v {} if a copy of the mpl was not distributed with this file you can obtain one at <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> mozilla org mpl {}"
+_CC = "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> <<var;match=cc by{0}|creative commons attribution{1}>> {2} <<beginOptional>>international<<endOptional>>"
+
+# Public license notices and texts with markup. The whole of a text, with what must follow a list of
+# conditions, tells licenses apart that begin alike.
 TEMPLATES = {
+    "0bsd": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties",
+    "agpl-3.0-or-later": _GPL.format("affero general public license") + _LATER.format(3),
+    "all-rights-reserved": "copyright <<beginOptional>>c<<endOptional>> <<var;words=1-8>> all rights reserved",
     "apache-2.0": "licensed under the <<beginOptional>>terms of the<<endOptional>> apache license <<beginOptional>>version<<endOptional>> 2 0",
-    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var;words=0-1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<var;words=0-1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "cc-by-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<var;match=cc by|creative commons attribution>> 4 0",
-    "cc-by-nc-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<var;match=cc by nc|creative commons attribution noncommercial>> 4 0",
-    "cc-by-sa-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<var;match=cc by sa|creative commons attribution sharealike>> 4 0",
+    "artistic-2.0": "<<var;match=licensed|released|distributed>> under <<beginOptional>>the terms of<<endOptional>> the artistic license <<beginOptional>>version<<endOptional>> 2 0",
+    "bsd-2-clause": _BSD_TERMS + _BSD_END,
+    "bsd-3-clause": _BSD_TERMS + _BSD_NAMES + _BSD_END,
+    "bsd-4-clause": _BSD_TERMS + "<<var;words=0-1>> all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by <<var;words=1-12>> " + _BSD_NAMES + _BSD_END,
+    "bsl-1.0": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    "cc-by-4.0": _CC.format("", "", "4 0"),
+    "cc-by-nc-4.0": _CC.format(" nc", " noncommercial", "4 0"),
+    "cc-by-nc-nd-4.0": _CC.format(" nc nd", " noncommercial noderivatives", "4 0"),
+    "cc-by-nc-sa-4.0": _CC.format(" nc sa", " noncommercial sharealike", "4 0"),
+    "cc-by-nd-4.0": _CC.format(" nd", " noderivatives", "4 0"),
+    "cc-by-sa-3.0": _CC.format(" sa", " sharealike", "3 0"),
+    "cc-by-sa-4.0": _CC.format(" sa", " sharealike", "4 0"),
+    "cc0-1.0": "<<var;match=cc0|creative commons zero|creative commons cc0>> <<beginOptional>>v1<<endOptional>> <<beginOptional>>1<<endOptional>> <<beginOptional>>0<<endOptional>> universal",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license <<var;match=2 0|v 2 0|v2 0|version 2 0>>",
     "gpl-2.0": "licensed under the gnu general public license <<beginOptional>>version<<endOptional>> <<var;match=2|v2>>",
+    "gpl-2.0-only": _GPL.format("general public license") + "<<var;match=version 2 only|version 2 of the license only>>",
+    "gpl-2.0-or-later": _GPL.format("general public license") + _LATER.format(2),
     "gpl-3.0": "licensed under the gnu general public license <<beginOptional>>version<<endOptional>> <<var;match=3|v3>>",
+    "gpl-3.0-only": _GPL.format("general public license") + "<<var;match=version 3 only|version 3 of the license only>>",
+    "gpl-3.0-or-later": _GPL.format("general public license") + _LATER.format(3),
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-2.1-or-later": _GPL.replace("program", "library").format("lesser general public license") + _LATER.format("2 1"),
+    "lgpl-3.0-or-later": _GPL.replace("this program", "<<var;match=this library|this program>>").format("lesser general public license") + _LATER.format(3),
     "mit": "<<var;match=released|licensed|distributed|available>> under the <<beginOptional>>terms of the<<endOptional>> mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software",
-    "all-rights-reserved": "<<beginOptional>>copyright <<beginOptional>>c<<endOptional>> <<var;words=0-6>><<endOptional>> all rights reserved",
+    "mpl-2.0": _MPL.format("2 0", "2 0"),
+    "ms-pl": "<<var;match=licensed|released|distributed>> under the <<beginOptional>>terms of the<<endOptional>> microsoft public license",
+    "postgresql": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+    "wtfpl": "do what the <<var;words=1-1>> you want to public license",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    "spdx-tag": "spdx license identifier <<var;words=1-1>>",
 }
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -151,14 +194,20 @@ class Scanner:
         h = RangeHash(data)(ends - [len(w.encode()) for w in words], ends)
         order = np.argsort(h)
         self.keys, self.values = h[order], np.arange(1, len(words) + 1)[order]
+        self.data, self.ends = data, ends[order]
+        self.sizes = np.array([len(w.encode()) for w in words])[order]
         self.quick = np.zeros(1 << 16, bool)
         self.quick[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers of the words of lower-case ``data``; hashes choose, bytes decide."""
+        h, out = RangeHash(data)(start, end), np.zeros(len(start), np.int64)
         at = np.flatnonzero(self.quick[(h & np.uint64(0xFFFF)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        out[at] = np.where(self.keys[k] == h[at], self.values[k], 0)
+        same = (self.keys[k] == h[at]) & (self.sizes[k] == end[at] - start[at])
+        at, k = at[same], k[same]
+        same = same_bytes(data, start[at], self.data, self.ends[k] - self.sizes[k], self.sizes[k])
+        out[at[same]] = self.values[k[same]]
         return out
 
     def document(self, ids: np.ndarray) -> tuple[list[int], set[str], set[str]]:
@@ -199,7 +248,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
             ids, rows = batch.column(0).to_pylist(), []
             for block in blocks(batch.column(1)):
                 a, b, first = block.words(ALNUM, True)
-                n = s.numbers(RangeHash(LOWER[block.data])(a, b))
+                n = s.numbers(LOWER[block.data], a, b)
                 known = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(n > 0)])[first]))
                 at = set(known.tolist())
                 for d in range(block.n):

@@ -130,6 +130,91 @@ def test_templates(text, label, held):
     assert (label in s.document(ids)[2]) == held
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""
+GNU = """This %s is free software: you can redistribute it and/or modify it under the terms of the GNU %s as published by the Free Software
+Foundation, either version %s of the License, or (at your option) any later version."""
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (BSD % "", {"bsd-2-clause"}),
+        (BSD % THIRD, {"bsd-3-clause"}),
+        (BSD.replace("binary form must", "binary form may") % THIRD, set()),
+        (GNU % ("program", "General Public License", "3"), {"gpl-3.0-or-later"}),
+        (GNU % ("program", "General Public License", "2"), {"gpl-2.0-or-later"}),
+        (GNU % ("library", "Lesser General Public License", "2.1"), {"lgpl-2.1-or-later"}),
+        (GNU % ("program", "Affero General Public License", "3"), {"agpl-3.0-or-later"}),
+        ("All rights reserved.", set()),
+    ],
+)
+def test_notices_that_begin_alike(text, labels):
+    s = licences.scanner(tuple(sorted(licences.TEMPLATES.items())), tuple(licences.PHRASES.items()))
+    ids = np.array([s.ids.get(w, 0) for w in licences.split(text)], np.int64)
+    assert s.document(ids)[2] == labels
+
+
+def as_pattern(template):
+    """A template as a regular expression over words that each end in a blank."""
+    out = ""
+    for part in re.split(r"(<<[^>]*>>)", template):
+        if part.startswith("<<var;match"):
+            out += "(?:" + "|".join("".join(w + " " for w in x.split()) for x in part[len("<<var;match=") : -2].split("|")) + ")"
+        elif m := re.fullmatch(r"<<var;words=(\d+)-(\d+)>>", part):
+            out += "(?:[^ ]+ ){%s,%s}" % m.groups()
+        else:
+            out += {"<<beginOptional>>": "(?:", "<<endOptional>>": ")?"}.get(part) or "".join(w + " " for w in part.split())
+    return re.compile("(?:^|(?<= ))" + out)
+
+
+def written_out(r, template):
+    """A random text that the template accepts."""
+    out, skip = [], 0
+    for part in re.split(r"(<<[^>]*>>)", template):
+        if part == "<<beginOptional>>":
+            skip += skip > 0 or r.random() < 0.5
+        elif part == "<<endOptional>>":
+            skip = max(0, skip - 1)
+        elif skip:
+            continue
+        elif part.startswith("<<var;match"):
+            out.append(r.choice(part[len("<<var;match=") : -2].split("|")))
+        elif m := re.fullmatch(r"<<var;words=(\d+)-(\d+)>>", part):
+            out += [r.choice(["acme", "the", "2020"]) for _ in range(r.randrange(int(m[1]), int(m[2]) + 1))]
+        else:
+            out += part.split()
+    return " ".join(out).split()
+
+
+def test_templates_over_whole_documents(spark):
+    r, docs = random.Random(8), list(EDGE)
+    for k in range(400):
+        w = written_out(r, r.choice(list(licences.TEMPLATES.values())))
+        for _ in range(r.choice([0, 0, 0, 1, 2])):
+            at = r.randrange(len(w))
+            w[at : at + r.randrange(2)] = [r.choice(["x", "license", "the"])] * r.randrange(2)
+        around = [r.choice(["the", "under", "software", "mit", "copyright"]) for _ in range(r.randrange(20))]
+        docs.append((k, " ".join([*around, *w, *reversed(around)])))
+    patterns = {k: as_pattern(t) for k, t in licences.TEMPLATES.items()}
+    seen = set()
+    for x in licences.scan(frame(spark, docs)).collect():
+        text = "".join(w + " " for w in WORD.findall(lower(dict(docs)[x.doc_id] or "")))
+        found = {k for k, p in patterns.items() if p.search(text)}
+        base = {v for k, v in licences.PHRASES.items() if f" {k} " in " " + text}
+        seen |= found
+        assert x.labels == ",".join(sorted(found | base)) and x.score == (1.0 if found else 0.5 if base else 0.0)
+    assert seen == set(licences.TEMPLATES)
+
+
 def test_automaton_is_a_regular_expression():
     r = random.Random(4)
     template, pattern = "a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> <<var;match=d|e f>> <<var;words=0-2>> g", r"a( b( c)?)? (d|e f)( [^ ]+){0,2} g"
