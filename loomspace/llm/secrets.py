@@ -1,15 +1,16 @@
 """Secret scans with structural confirmation.
 
-Candidates are base64 or hex runs. Each is decoded and reported only if its structure holds: PEM bodies and other DER
-key encodings by their nested tags and lengths, OpenSSH keys and SSH wire format by their length-prefixed fields, signed
-tokens by a JSON header that names an algorithm, DER and PKCS key material in hex likewise. Beside these, base kinds are
-reported as they match: assign, access and hex.
+Candidates are base64 or hex runs. Each is decoded and reported only if it is private key material by its structure: DER by
+nested tags and lengths and the fields of PKCS#1, PKCS#8 (plain and encrypted), SEC1 and DSA private keys, OpenSSH
+private keys by their length-prefixed fields, signed tokens by a JSON header that names an algorithm. Public keys,
+certificates and other DER are no secrets and aren't reported. An armoured body with encryption headers is ciphertext:
+its headers and its whole blocks are checked. Beside these, base kinds are reported as they match: assign, access and hex.
 
 A linear-time automaton (RE2) over whole Arrow columns selects the texts that can hold a kind at all; only those are
 searched for spans.
 
 Defined results: null is an empty text; spans are in code points, end exclusive; repeated rows each get their own
-result; an empty table gives no rows; other columns are ignored.
+result; texts of any length are scanned whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 # Candidates of the structural kinds.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P][A-Za-z0-9+/]|b3B|AAA)[A-Za-z0-9+/]{37,}={0,2}")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----[ \t]*\r?\n?((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P][A-Za-z0-9+/]|b3B)[A-Za-z0-9+/]{37,}={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 #: kind -> what a text must hold, as one RE2 pattern each
 MAY = {
@@ -44,17 +45,21 @@ MAY = {
     "hex": r"[0-9a-f]{24}",
     "signed": r"eyJ[A-Za-z0-9_-]{8,}\.",
     "armour": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----",
-    "encoded": r"(?:M[A-P][A-Za-z0-9+/]|b3B|AAA)[A-Za-z0-9+/]{37}",
+    "encoded": r"(?:M[A-P][A-Za-z0-9+/]|b3B)[A-Za-z0-9+/]{37}",
     "hex_der": r"30[0-9A-Fa-f]{38}",
 }
-SSH_TYPES = (b"ssh-", b"ecdsa-", b"sk-")
+# Object identifiers of the encryptions of private keys (PBES2, and the arcs of PBES1 and PKCS#12).
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+# Bytes of the private keys of the standard curves.
+CURVES = (20, 24, 28, 32, 48, 64, 66)
+#: the longest DER that is parsed; private keys are far below
+LONGEST = 1 << 16
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def der(data: bytes, depth: int = 0, end: int | None = None, at: int = 0) -> int | None:
-    """The end of the DER element at ``at``, if its length and those nested in it hold; else None."""
-    end = len(data) if end is None else end
-    if at + 2 > end or depth > 16:
+def element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, content start, content end) of the DER element at ``at``, if its length is in the shortest form and fits."""
+    if at + 2 > end:
         return None
     tag, size, at = data[at], data[at + 1], at + 2
     if size & 0x80:
@@ -64,33 +69,48 @@ def der(data: bytes, depth: int = 0, end: int | None = None, at: int = 0) -> int
         size, at = int.from_bytes(data[at : at + n], "big"), at + n
         if size < 0x80:
             return None
-    if at + size > end:
-        return None
-    if tag & 0x20:
-        inner = at
-        while inner < at + size:
-            if (inner := der(data, depth + 1, at + size, inner)) is None:
-                return None
-    elif tag == 0x02 and not size:
-        return None
-    return at + size
+    return (tag, at, at + size) if at + size <= end else None
 
 
-def der_key(data: bytes) -> bool:
-    """Whether ``data`` is a DER sequence whose first element is an integer version or a sequence (an algorithm or
-    a certificate body), all lengths nested exactly."""
-    return len(data) >= 16 and data[0] == 0x30 and der(data) == len(data) and (head := 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)) < len(data) and data[head] in (0x02, 0x30)
+def fields(data: bytes, start: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
+    """The elements from ``start`` to ``end``, if they fill it and all lengths nested in them hold; else None."""
+    out = []
+    while start < end:
+        one = element(data, start, end)
+        if one is None or depth > 16 or one[0] & 0x20 and fields(data, one[1], one[2], depth + 1) is None:
+            return None
+        if one[0] == 0x02 and one[1] == one[2]:
+            return None
+        out.append(one)
+        start = one[2]
+    return out
 
 
-def ssh_fields(data: bytes) -> bool:
-    """Whether ``data`` is length-prefixed fields to the end, a key type first."""
-    at, n = 0, 0
-    while at < len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 > len(data) or at + 4 + size > len(data) or not n and not data[4 : 4 + size].startswith(SSH_TYPES):
-            return False
-        at, n = at + 4 + size, n + 1
-    return n >= 2
+def private_key(data: bytes) -> bool:
+    """Whether ``data`` is one DER sequence with the fields of a private key.
+
+    PKCS#1: version 0 or 1 and eight integers, at least; DSA: version 0 and five integers; PKCS#8: version 0 or 1, an
+    algorithm, an octet string; encrypted PKCS#8: an encryption algorithm and an octet string; SEC1: version 1, an octet string of a curve's size, and the
+    curve or the public point.
+    """
+    whole = element(data, 0, len(data)) if 16 <= len(data) <= LONGEST else None
+    if whole is None or whole[0] != 0x30 or whole[2] != len(data) or not (own := fields(data, whole[1], whole[2])):
+        return False
+    tags = [t for t, _, _ in own]
+    content = lambda k: data[own[k][1] : own[k][2]]
+    if tags[0] == 0x30:  # an algorithm
+        inner = fields(data, own[0][1], own[0][2])
+        return tags == [0x30, 0x04] and bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]].startswith(ENCRYPTIONS) and len(content(1)) >= 16
+    if tags[0] != 0x02 or content(0) not in (b"\0", b"\1"):
+        return False
+    if set(tags) == {0x02} or tags == [0x02] * 9 + [0x30]:
+        return len(tags) == 6 and content(0) == b"\0" and len(content(1)) >= 32 or len(tags) >= 9 and len(content(1)) >= 32
+    if tags[1:2] == [0x04]:
+        return content(0) == b"\1" and len(content(1)) in CURVES and tags[2:] in ([0xA0], [0xA1], [0xA0, 0xA1])
+    if tags[1:3] == [0x30, 0x04]:
+        inner = fields(data, own[1][1], own[1][2])
+        return bool(inner) and inner[0][0] == 0x06 and len(content(2)) >= 16 and set(tags[3:]) <= {0xA0, 0x81, 0xA1}
+    return False
 
 
 def ssh_private(data: bytes) -> bool:
@@ -131,12 +151,16 @@ def signed(header: str) -> bool:
 def key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
-    return "der" if der_key(data) else "openssh" if ssh_private(data) else "ssh" if ssh_fields(data) else None
+    return "der" if private_key(data) else "openssh" if ssh_private(data) else None
 
 
-def _leading(data: bytes | None) -> int:
-    """Bytes of the DER element that ``data`` starts with, 0 if none: a run may go on after it."""
-    return (der(data) or 0) if data else 0
+def ciphered(headers: str, body: bytes | None) -> bool:
+    """Whether an armoured body is the ciphertext that its headers announce, in whole blocks of the cipher."""
+    named = dict(x.split(":", 1) for x in headers.splitlines() if ":" in x)
+    kind, info = named.get("Proc-Type", "").replace(" ", ""), named.get("DEK-Info", "").strip()
+    block = 8 if "DES" in info else 16
+    salt = info.partition(",")[2].strip()
+    return kind == "4,ENCRYPTED" and bool(re.fullmatch(r"[0-9A-Fa-f]{16,64}", salt)) and bool(body) and len(body) >= 32 and len(body) % block == 0
 
 
 def structures(text: str, may: set[str]) -> Iterator[tuple[int, int, str]]:
@@ -145,7 +169,8 @@ def structures(text: str, may: set[str]) -> Iterator[tuple[int, int, str]]:
         yield from ((*m.span(), "signed_token") for m in SIGNED.finditer(text) if signed(m[1]) and decoded(m[2], True) is not None)
     if "armour" in may:
         for m in ARMOUR.finditer(text):
-            if kind := key_kind(decoded(re.sub(r"\s+", "", m[2]))):
+            body = decoded(re.sub(r"\s+", "", m[3]))
+            if kind := key_kind(body) or ("encrypted" if m[2] and ciphered(m[2], body) else None):
                 yield *m.span(), f"pem_{kind}"
     if "encoded" in may:
         for m in ENCODED.finditer(text):
@@ -153,9 +178,10 @@ def structures(text: str, may: set[str]) -> Iterator[tuple[int, int, str]]:
                 yield *m.span(), f"base64_{kind}"
     if "hex_der" in may:
         for m in HEX_DER.finditer(text):
-            data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
-            if (n := _leading(data)) >= 16 and der_key(data[:n]):
-                yield m.start(), m.start() + 2 * n, "hex_der"
+            data = bytes.fromhex(m[0][: min(len(m[0]), 2 * LONGEST) // 2 * 2])
+            one = element(data, 0, len(data))  # the run may go on after it
+            if one and private_key(data[: one[2]]):
+                yield m.start(), m.start() + 2 * one[2], "hex_der"
 
 
 def spans(text: str, may: set[str]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

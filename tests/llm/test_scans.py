@@ -322,22 +322,87 @@ def seq(*parts):
     return b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big") if len(body) > 255 else b"\x81" + bytes([len(body)])) + body
 
 
-def test_structures():
-    integer = lambda n: b"\x02" + bytes([n]) + b"\x11" * n
-    key = seq(integer(1), integer(60), integer(100), integer(30))
-    text = base64.b64encode(key).decode()
-    field = lambda b: len(b).to_bytes(4, "big") + b
-    ssh = base64.b64encode(field(b"ssh-ed25519") + field(b"k" * 32)).decode()
+def integer(n):
+    return b"\x02" + (bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")) + b"\x11" * n
+
+
+def field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+VERSION = b"\x02\x01\x00", b"\x02\x01\x01"
+OCTETS = b"\x04\x20" + b"k" * 32
+ED25519 = seq(b"\x06\x03\x2b\x65\x70")
+PUBLIC = field(b"ssh-ed25519") + field(bytes(range(32)))
+OPENSSH = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(PUBLIC) + field(b"x" * 40)
+PRIVATE = {
+    "pkcs1": seq(VERSION[0], *(integer(n) for n in (129, 3, 129, 64, 64, 64, 64, 64))),
+    "dsa": seq(VERSION[0], *(integer(n) for n in (128, 20, 128, 128, 20))),
+    "pkcs8": seq(VERSION[0], ED25519, b"\x04\x22" + OCTETS),
+    "sec1": seq(VERSION[1], OCTETS, b"\xa0\x0a\x06\x08\x2a\x86\x48\xce\x3d\x03\x01\x07"),
+    "encrypted": seq(seq(b"\x06\x09" + bytes.fromhex("2a864886f70d01050d"), seq(OCTETS)), b"\x04\x40" + b"e" * 64),
+}
+OTHER = {
+    "public": seq(seq(b"\x06\x09" + bytes.fromhex("2a864886f70d010101"), b"\x05\x00"), b"\x03\x82\x01\x0f\x00" + seq(integer(257), integer(3)).ljust(270, b"x")[:270]),
+    "rsa_public": seq(integer(129), integer(3)),
+    "certificate": seq(seq(b"\xa0\x03\x02\x01\x02", integer(8), ED25519), ED25519, b"\x03\x41\x00" + b"s" * 64),
+    "integer_and_bytes": seq(VERSION[1], b"\x04\x13" + b"n" * 19),
+    "four_integers": seq(*(integer(n) for n in (1, 60, 100, 30))),
+    "trailing": PRIVATE["pkcs1"] + b"\x00",
+    "nested_length": seq(VERSION[0], ED25519[:-1], b"\x04\x22" + OCTETS),
+    "ssh_public": PUBLIC,
+    "openssh_short": OPENSSH[:-1],
+}
+EVERY = set(secrets.MAY)
+
+
+def kinds(text):
+    return {k for _, _, k in secrets.structures(text, EVERY)}
+
+
+def armour(data, kind="RSA PRIVATE KEY", headers=""):
+    text = base64.b64encode(data).decode()
+    return f"-----BEGIN {kind}-----\n{headers}" + "\n".join(text[k : k + 64] for k in range(0, len(text), 64)) + f"\n-----END {kind}-----"
+
+
+@pytest.mark.parametrize("name", PRIVATE)
+def test_private_keys(name):
+    data = PRIVATE[name]
+    assert secrets.private_key(data) and not secrets.private_key(data[:-1]) and not secrets.private_key(b"\x31" + data[1:])
+    assert kinds(f"x {base64.b64encode(data).decode()} y") == {"base64_der"}
+    assert kinds(f"h {data.hex()}0 h") == {"hex_der"} and "pem_der" in kinds(armour(data))
+
+
+@pytest.mark.parametrize("name", OTHER)
+def test_public_keys_and_other_structures_are_no_secrets(name):
+    data = OTHER[name]
+    text = f"x {base64.b64encode(data).decode()} y K={base64.b64encode(data).decode()} " + armour(data)
+    assert not kinds(text) and secrets.redact(pa.array([text])) == [text]
+    assert not kinds(f"h {OTHER['four_integers'].hex()} h")
+
+
+def test_encrypted_armour():
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    assert kinds(armour(b"c" * 640, headers=headers)) == {"pem_encrypted"}
+    assert not kinds(armour(b"c" * 641, headers=headers)) and not kinds(armour(b"c" * 640)) and not kinds(armour(b"c" * 640, headers="Comment: x\n\n"))
+    assert kinds(armour(OPENSSH, "OPENSSH PRIVATE KEY")) >= {"pem_openssh"}
+
+
+def test_signed_tokens():
     part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
     token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 1})}.c2ln"
-    every = set(secrets.MAY)
-    kinds = lambda t: {k for _, _, k in secrets.structures(t, every)}
-    assert kinds(f"x {text} y") == {"base64_der"} and kinds(f"x {ssh} y") == {"base64_ssh"} and kinds(f"x {token} y") == {"signed_token"}
-    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{text[:64]}\n{text[64:]}\n-----END RSA PRIVATE KEY-----") >= {"pem_der"}
-    assert kinds(f"h {key.hex()} h") == {"hex_der"}
-    broken = base64.b64encode(key[:20] + b"\x03" + key[20:]).decode()
-    assert not kinds(f"x {broken} y") and not kinds(f"x {part({'typ': 'JWT'})}.e30.c2ln y") and not kinds("MIIB" + "A" * 60)
-    assert secrets.redact(__import__("pyarrow").array([f"a {token} b password=abcdef1 c", None])) == ["a [SECRET] b [SECRET] c", None]
+    assert kinds(f"x {token} y") == {"signed_token"}
+    assert not kinds(f"x {part({'typ': 'JWT'})}.e30.c2ln y") and not kinds("MIIB" + "A" * 60)
+    assert secrets.redact(pa.array([f"a {token} b password=abcdef1 c", None])) == ["a [SECRET] b [SECRET] c", None]
+
+
+def test_long_texts_and_empty_table(spark):
+    key = base64.b64encode(PRIVATE["pkcs8"]).decode()
+    text = "word " * 400_000 + key + " é" * 100_000 + " secret=abcdefg"
+    got = secrets.scan(frame(spark, [(1, text)])).first()
+    assert got.spans == f"base64_der:2000000:{2000000 + len(key)},assign:{len(text) - 14}:{len(text)}" and got.n_assign == 1
+    assert secrets.scan(frame(spark, [])).collect() == []
+    assert len(list(secrets.structures("MII" + "A" * 3_000_000 + " 30" + "8" * 3_000_000, EVERY))) == 0
 
 
 # quality
@@ -379,14 +444,7 @@ def test_ratio_is_the_one_of_the_counts(spark):
 
 def test_keys_straight_after_an_equals_sign():
     """The env-file form of a base64 key, of each kind, is found and redacted; so is one after another's padding."""
-    import base64
-    import struct
-
-    field = lambda x: struct.pack(">I", len(x)) + x
-    pkcs8 = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))
-    public = field(b"ssh-ed25519") + field(bytes(range(32)))
-    openssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + struct.pack(">I", 1) + field(public) + field(b"x" * 40)
-    for data, kind in ((pkcs8, "base64_der"), (openssh, "base64_openssh"), (public, "base64_ssh")):
+    for data, kind in ((PRIVATE["pkcs8"], "base64_der"), (OPENSSH, "base64_openssh")):
         key = base64.b64encode(data).decode()
         for before in ("PRIVATE_KEY=", "export K=", "A=QUJDRA=="):
             text = f"{before}{key}\nX=1"
