@@ -5,21 +5,25 @@ earlier start). Matches never cross documents.
 
 Every such string has a minimal gram (the smallest hash among its grams of ``gram`` bytes, the leftmost of equals), so
 equal strings have equal minimal grams at the same place in them. Consecutive starts with the same minimal gram are one
-segment. Segments meet by the hash of their gram: all but the first of equal segments are covered outright, and only
-segments whose gram also has other segments go on to suffix sorting. Those are dealt into parts by gram, and each part's
+segment. Segments meet by the hash of their gram. Segments of one gram that have the same bytes, by their keyed 128-bit
+BLAKE2b digests with a key of the run, are one segment with several places, of which all but the first are covered; segments
+whose gram also has others go on to suffix sorting. Those are dealt into parts by gram, and each part's
 suffixes are sorted in two stages: the suffixes that are smaller than their successors are sorted directly, the rest is
 induced by one scan over the buckets. Neighbours with a common prefix of ``length`` bytes are repeats of the earliest of them.
 
-A gram with more than ``HOT`` different segments doesn't go into one part: its strings are counted by their 128-bit
-hashes, which combines before the shuffle and splits as any aggregate does. Nothing is dropped or capped.
+A part holds about ``PART`` bytes. A gram with segments of more than ``HOT`` bytes is dealt over several parts, by string and
+not by segment: each of its strings that another one may equal goes to the part that its own hash names, and is suffix-sorted
+there. So a gram that stands in any share of all documents is split, and every verdict between different segments comes
+from the sort.
 
 Defined results: null or empty text has no bytes; rows without an id match nothing and keep all; repeated rows of one id
-are one document; texts of any length are read whole; an empty table gives no rows; other columns are ignored.
+are one document; texts of any length are read whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +38,31 @@ from ._text import Block, RangeHash, blocks, mix
 _U = np.uint64
 _I = np.int64
 LENGTH, GRAM = 100, 32
-HOT = 20_000  #: different segments of one gram that are suffix-sorted together
 PART = 1 << 20  #: bytes of segments in a part, about
+HOT = 4 << 20  #: bytes of one gram's segments that one part takes
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes (8 at least) at every place; equal ones only bring segments together."""
+    n = len(data) - gram + 1
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,))
+    out = np.full(n, _U(gram))
+    for at in [*range(0, gram - 8, 8), gram - 8]:
+        out = (out ^ eight[at : at + n]) * _U(0x9E3779B97F4A7C15)
+        out ^= out >> _U(29)
+    return mix(out)
+
+
 def segments(block: Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document in the block, first start, number of starts, gram hash, segment hash) of all segments of a block;
-    starts count within the block."""
+    """(document in the block, first start, number of starts, gram hash, place of the gram in the first string) of all
+    segments of a block; starts count within the block."""
     n, w = len(block.data), length - gram + 1
     size = np.maximum(0, np.diff(block.at) - length + 1)
     if not size.any():
-        return tuple(np.zeros(0, t) for t in (_I, _I, _I, _U, _U))
-    hashed = RangeHash(block.data)
+        return tuple(np.zeros(0, t) for t in (_I, _I, _I, _U, _I))
     at = np.arange(n - gram + 1)
-    h = hashed(at, at + gram)
+    h = gram_hashes(block.data, gram)
     low = (h & _U(0xFFFFFFFF00000000)) | at.astype(_U)  # the smallest hash, then the leftmost
     span = 1
     while span * 2 <= w:
@@ -64,8 +78,15 @@ def segments(block: Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(edge)
     count = np.diff(np.append(first, len(start)))
     s, p = start[first], place[first]
-    x = hashed(s, s + count + length - 1)
-    return doc[first], s, count, h[p], mix(x + mix((p - s).astype(_U) * _U(0x9E3779B97F4A7C15) + count.astype(_U)))
+    return doc[first], s, count, h[p], p - s
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray, key: bytes) -> np.ndarray:
+    """Two 64-bit halves of the digest of each segment's bytes and the place of its gram."""
+    text = memoryview(np.ascontiguousarray(data))
+    blake = hashlib.blake2b
+    found = b"".join([blake(text[a:b], digest_size=16, key=key, salt=p.to_bytes(4, "big")).digest() for a, b, p in zip(start.tolist(), end.tolist(), place.tolist())])
+    return np.frombuffer(found, _I).reshape(-1, 2)
 
 
 def runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,30 +103,35 @@ def runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndar
 
 
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Segments (gram, segment, doc_id, run); those that a block covers itself come joined up, with segment null."""
+    """Segments (gram, x, y, doc_id, run) with the halves x and y of their digests; those that a block covers itself come
+    joined up, with x and y null."""
+    key = os.urandom(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), _I)
             for block in blocks(batch.column(1)):
-                doc, s, count, g, x = segments(block, length, gram)
+                doc, s, count, g, place = segments(block, length, gram)
+                x = digests(block.data, s, s + count + length - 1, place, key)
                 own = s - block.at[doc]
                 who = ids[block.first + doc]
-                order = np.lexsort((own, who, x))
+                order = np.lexsort((own, who, x[:, 1], x[:, 0], g))
                 again = np.zeros(len(order), bool)
-                again[1:] = (x[order][1:] == x[order][:-1]) & ((who[order][1:] != who[order][:-1]) | (own[order][1:] != own[order][:-1]))
+                a, b = order[1:], order[:-1]
+                again[1:] = (g[a] == g[b]) & (x[a] == x[b]).all(1) & ((who[a] != who[b]) | (own[a] != own[b]))
                 kept, gone = order[~again], order[again]
                 d, r = runs(who[gone], own[gone], count[gone])
                 spread = mix(d.astype(_U) * _U(0x9E3779B97F4A7C15) + r.astype(_U))
+                absent = np.arange(len(kept) + len(d)) >= len(kept)
+                half = lambda k: pa.array(np.concatenate([x[kept, k], np.zeros(len(d), _I)]), mask=absent)
                 columns = [
-                    pa.array(np.concatenate([g[kept], spread]).view(_I)),
-                    pa.array(np.concatenate([x[kept].view(_I), np.zeros(len(d), _I)]), mask=np.arange(len(kept) + len(d)) >= len(kept)),
+                    pa.array(np.concatenate([g[kept], spread]).view(_I)), half(0), half(1),
                     pa.array(np.concatenate([who[kept], d])),
                     pa.array(np.concatenate([own[kept] << 32 | count[kept], r])),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "segment", "doc_id", "run"])
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "x", "y", "doc_id", "run"])
 
-    return docs.mapInArrow(run, "gram long, segment long, doc_id long, run long")
+    return docs.mapInArrow(run, "gram long, x long, y long, doc_id long, run long")
 
 
 def two_stage(data: np.ndarray, depth: int) -> np.ndarray:
@@ -146,11 +172,11 @@ def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     order = np.argsort(rank[starts], kind="stable")
     s = starts[order]
     a, b = s[:-1], s[1:]
-    hashed = RangeHash(data)
-    same = hashed(a, a + length) == hashed(b, b + length)
-    for k in range(length):  # the common prefix itself
-        at = np.flatnonzero(same)
-        same[at] = data[a[at] + k] == data[b[at] + k]
+    same = np.zeros(len(a), bool)
+    at = np.arange(len(a))
+    for k in range(length):  # the common prefix
+        at = at[data[a[at] + k] == data[b[at] + k]]
+    same[at] = True
     group = np.zeros(len(s), _I)
     group[order] = np.concatenate([[0], np.cumsum(~same)])
     return group
@@ -208,8 +234,8 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.join(lists, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, schema)
 
 
-def counted(cut: DataFrame, length: int) -> DataFrame:
-    """Covered runs of the segments of hot grams: every string by its hash, the first of each kept."""
+def string_hashes(cut: DataFrame, length: int) -> DataFrame:
+    """(hash, doc_id, start) of every string of the segments of hot grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,40 +243,52 @@ def counted(cut: DataFrame, length: int) -> DataFrame:
             data = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8)
             count, base = size - length + 1, np.cumsum(size) - size
             inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at, hashed = np.repeat(base, count) + inner, RangeHash(data)
-            half = length // 2
-            a, b = hashed(at, at + length), mix(hashed(at, at + half) + mix(hashed(at + half, at + length)))
-            columns = [a.view(_I), b.view(_I), np.repeat(doc, count), np.repeat(start, count) + inner]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "doc_id", "start"])
+            at = np.repeat(base, count) + inner
+            columns = [RangeHash(data)(at, at + length).view(_I), np.repeat(doc, count), np.repeat(start, count) + inner]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "doc_id", "start"])
+
+    return cut.mapInArrow(run, "hash long, doc_id long, start long")
+
+
+def hot_strings(strings: DataFrame, length: int) -> DataFrame:
+    """(part, doc_id, run): the strings (hash, doc_id, start) that others have the hash of, dealt into parts by it.
 
-    strings = materialise(cut.mapInArrow(run, "a long, b long, doc_id long, start long"))
-    first = strings.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = strings.join(first, ["a", "b"]).filter(F.struct("doc_id", "start") > F.col("first"))
-    return later.select("doc_id", (F.shiftleft("start", 32) + 1).alias("run"))
+    A string with more places than a part takes goes into several parts, and its first place into each of them.
+    """
+    place = F.struct("doc_id", "start")
+    few = strings.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+    few = materialise(few.withColumn("slices", F.ceil(F.col("n") * length / PART)))
+    total = few.agg(F.sum(F.col("n") + F.col("slices"))).first()[0] or 0
+    own = F.array(F.pmod(F.xxhash64("doc_id", "start"), "slices"))
+    slices = F.when(place == F.col("first"), F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(own)
+    met = strings.join(few, "hash").withColumn("slice", F.explode(slices))
+    part = F.pmod(F.xxhash64("hash", "slice"), F.lit(int(total * length // PART) + 1))
+    return met.select(part.alias("part"), "doc_id", (F.shiftleft("start", 32) + 1).alias("run"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the kept bytes."""
-    spark = docs.sparkSession
     docs = id_text(docs)
     named = docs.filter("doc_id is not null")
     found = anchored(named, length, gram).repartition("gram")
-    equal, same = W.partitionBy("gram", "segment").orderBy("doc_id", "run"), W.partitionBy("gram")
+    equal, same = W.partitionBy("gram", "x", "y").orderBy("doc_id", "run"), W.partitionBy("gram")
     found = found.withColumn("nth", F.dense_rank().over(equal))
-    found = found.withColumn("low", F.min("segment").over(same)).withColumn("high", F.max("segment").over(same))
-    covered = F.col("segment").isNull() | (F.col("nth") > 1)
+    found = found.withColumn("low", F.min("x").over(same)).withColumn("high", F.max("x").over(same))
+    covered = F.col("x").isNull() | (F.col("nth") > 1)
     found = materialise(found.filter(covered | (F.col("low") != F.col("high"))).select(F.when(~covered, F.col("gram")).alias("gram"), "doc_id", "run"))
     gone = found.filter("gram is null").select("doc_id", "run")
     mixed = found.filter("gram is not null")
-    total = mixed.agg(F.count("*").alias("n"), F.sum(F.col("run").bitwiseAND(0xFFFFFFFF)).alias("starts")).first()
-    if total.n:
-        hot = materialise(mixed.groupBy("gram").count().filter(F.col("count") > HOT).select("gram"))
-        parts = int(((total.starts or 0) + total.n * (length - 1)) // PART) + 1
+    size = F.col("run").bitwiseAND(0xFFFFFFFF) + (length - 1)
+    total = mixed.agg(F.sum(size).alias("n")).first().n
+    if total:
+        hot = materialise(mixed.groupBy("gram").agg(F.sum(size).alias("n")).filter(F.col("n") > HOT).select("gram"))
+        parts = int(total // PART) + 1
         plain = mixed.join(hot, "gram", "left_anti").select(F.pmod(F.xxhash64("gram"), F.lit(parts)).alias("part"), "doc_id", "run")
         gone = gone.union(materialise(sorted_parts(cut_out(named, plain, length), length)))
         if not hot.isEmpty():
             rest = mixed.join(hot, "gram", "left_semi").select(F.col("gram").alias("part"), "doc_id", "run")
-            gone = gone.union(materialise(counted(cut_out(named, rest, length), length)))
+            strings = materialise(string_hashes(cut_out(named, rest, length), length))
+            gone = gone.union(materialise(sorted_parts(cut_out(named, hot_strings(strings, length), length), length)))
     lists = gone.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     return kept(docs.join(lists, "doc_id", "left").select("doc_id", "text", "runs"), length, keep_text)
 

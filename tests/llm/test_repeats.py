@@ -54,12 +54,43 @@ def test_against_all_strings(spark):
     check(spark, corpus(1) + [(5000, None), (5001, ""), (5002, "a" * 99), (5003, "a" * 100), (5004, "a" * 350), (5005, "ab" * 300), (5006, "short")])
 
 
-def test_hot_grams(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 3)
-    monkeypatch.setattr(repeats, "PART", 3000)
+@pytest.mark.parametrize("part", [300, 3000])
+def test_hot_grams(spark, monkeypatch, part):
+    monkeypatch.setattr(repeats, "PART", part)
+    monkeypatch.setattr(repeats, "HOT", part)
     check(spark, corpus(2))
 
 
+def test_a_gram_in_every_document_is_split(spark, monkeypatch):
+    """A passage between different words in every document: its grams have more segments than a part takes."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    passage, seen, parts = word(110), [], []
+    docs = [(k, word(150) + passage + word(150)) for k in range(300)]
+    docs += [(1000 + k, docs[k * 3][1][100:260]) for k in range(40)]
+    monkeypatch.setattr(repeats, "HOT", 20_000)
+    monkeypatch.setattr(repeats, "PART", 5_000)
+    split = repeats.hot_strings
+
+    def watched(strings, n):
+        seen.append(strings.count())
+        out = split(strings, n)
+        parts.extend(x["count"] for x in out.groupBy("part").count().collect())
+        return out
+
+    monkeypatch.setattr(repeats, "hot_strings", watched)
+    check(spark, docs)
+    assert seen[0] > 300 and sum(parts) > 300 and max(parts) < sum(parts) / 4
+
+
+def test_long_text_and_other_columns(spark):
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh ") for _ in range(150_000))
+    docs = [(1, text + text[:500]), (2, "z" * 10 + text[70_000:70_300])]
+    rows = repeats.remove_repeats(spark.createDataFrame([(*d, 5, 6, 7) for d in docs], "doc_id long, text string, gram long, run long, part long")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute(docs)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = "x".join(map(str, range(100)))
     rows = repeats.remove_repeats(spark.createDataFrame([(3, text), (3, text), (7, text), (None, text)], "doc_id long, text string")).collect()
