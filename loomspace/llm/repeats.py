@@ -5,16 +5,17 @@ earlier start). Matches never cross documents.
 
 Every such string has a minimal gram (the smallest hash among its grams of ``gram`` bytes, the leftmost of equals), so
 equal strings have equal minimal grams at the same place in them. Consecutive starts with the same minimal gram are one
-segment. Segments meet by the hash of their gram. Segments of one gram that have the same bytes, by their keyed 128-bit
-BLAKE2b digests with a key of the run, are one segment with several places, of which all but the first are covered; segments
+segment. Segments meet by the hash of their gram. Segments of one gram with equal keyed digests are one segment with several
+places, of which all but the first are covered once their bytes have been compared with the first's; segments
 whose gram also has others go on to suffix sorting. Those are dealt into parts by gram, and each part's
 suffixes are sorted in two stages: the suffixes that are smaller than their successors are sorted directly, the rest is
 induced by one scan over the buckets. Neighbours with a common prefix of ``length`` bytes are repeats of the earliest of them.
 
 A part holds about ``PART`` bytes. A gram with segments of more than ``HOT`` bytes is dealt over several parts, by string and
 not by segment: each of its strings that another one may equal goes to the part that its own hash names, and is suffix-sorted
-there. So a gram that stands in any share of all documents is split, and every verdict between different segments comes
-from the sort.
+there. So a gram that stands in any share of all documents is split. Every verdict between different segments comes
+from the sort, and every one between equal ones from their bytes; digests and hashes only bring them together. (Segments
+of equal digests and different bytes, one chance in 2^128, end the run with an error.)
 
 Defined results: null or empty text has no bytes; rows without an id match nothing and keep all; repeated rows of one id
 are one document; texts of any length are read whole; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -102,6 +103,14 @@ def runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first] << 32 | (end[last] - start[first])
 
 
+def by_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Those of ``again`` whose bytes are the ones of the segment before."""
+    text, out = data.tobytes(), again.copy()
+    for k in np.flatnonzero(again).tolist():
+        out[k] = text[start[k] : end[k]] == text[start[k - 1] : end[k - 1]]
+    return out
+
+
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Segments (gram, x, y, doc_id, run) with the halves x and y of their digests; those that a block covers itself come
     joined up, with x and y null."""
@@ -119,6 +128,7 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 again = np.zeros(len(order), bool)
                 a, b = order[1:], order[:-1]
                 again[1:] = (g[a] == g[b]) & (x[a] == x[b]).all(1) & ((who[a] != who[b]) | (own[a] != own[b]))
+                again = by_bytes(block.data, s[order], (s + count + length - 1)[order], again)
                 kept, gone = order[~again], order[again]
                 d, r = runs(who[gone], own[gone], count[gone])
                 spread = mix(d.astype(_U) * _U(0x9E3779B97F4A7C15) + r.astype(_U))
@@ -182,10 +192,26 @@ def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return group
 
 
+def compared(table: pa.Table) -> pa.Table:
+    """Covered runs among segments of equal digests: all but the first of each set, if their bytes are the first's."""
+    names = ("set", "first", "doc_id", "start", "size", "bytes")
+    rows = list(zip(*(table.column(c).to_pylist() for c in names)))
+    firsts = {x[0]: x[5] for x in rows if x[1]}
+    later = [x for x in rows if not x[1]]
+    if any(firsts[x[0]] != x[5] for x in later):
+        raise ValueError("segments of equal digests differ; another run takes another key")
+    return pa.table({"doc_id": pa.array([x[2] for x in later], pa.int64()), "run": pa.array([x[3] << 32 | x[4] for x in later], pa.int64())})
+
+
 def sorted_parts(cut: DataFrame, length: int) -> DataFrame:
-    """Covered runs (doc_id, run) among the segments (part, doc_id, start, bytes) of each part."""
+    """Covered runs (doc_id, run) among the segments (part, set, first, doc_id, start, size, bytes) of each part; parts below 0 hold
+    sets of equal digests, which are compared byte for byte."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() < 0:
+            found = compared(table)
+            size = np.array(found.column("run").to_numpy(), _I)
+            return found.set_column(1, "run", pa.array(size - (length - 1)))
         doc, start, size = (np.array(table.column(c).to_numpy(), _I) for c in ("doc_id", "start", "size"))
         texts = table.column("bytes").to_pylist()
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -210,37 +236,45 @@ def sorted_parts(cut: DataFrame, length: int) -> DataFrame:
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes (part, doc_id, start, size, bytes) of segments (part, doc_id, run)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("part", "run")).alias("runs"))
+    """The bytes (part, set, first, doc_id, start, size, bytes) of segments (part, set, first, doc_id, run)."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("part", "run", "set", "first")).alias("runs"))  # of one document's segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = (text.as_py() or "").encode()
-                for x in own.as_py():
-                    s, n = x["run"] >> 32, (x["run"] & 0xFFFFFFFF) + length - 1
-                    rows.append((x["part"], doc, s, n, data[s : s + n]))
+                own = own.values
+                part, at, group, first = (own.field(k).to_pylist() for k in range(4))
+                for p, x, g, f in zip(part, at, group, first):
+                    s, n = x >> 32, (x & 0xFFFFFFFF) + length - 1
+                    rows.append((p, g, f, doc, s, n, data[s : s + n]))
                 if len(rows) > 50_000:
                     yield _batch(rows)
                     rows = []
             yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64()] * 4 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["part", "doc_id", "start", "size", "bytes"])
+        types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.binary()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "set", "first", "doc_id", "start", "size", "bytes"])
 
-    schema = "part long, doc_id long, start long, size long, bytes binary"
+    schema = "part long, set long, first boolean, doc_id long, start long, size long, bytes binary"
     return docs.join(lists, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, schema)
 
 
+def unmarked(rows: DataFrame, part) -> DataFrame:
+    """Segments for the sort, which need neither set nor first."""
+    return rows.select(part.alias("part"), F.lit(0).cast("long").alias("set"), F.lit(False).alias("first"), "doc_id", "run")
+
+
 def string_hashes(cut: DataFrame, length: int) -> DataFrame:
     """(hash, doc_id, start) of every string of the segments of hot grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, start, size = (np.array(batch.column(k).to_numpy(), _I) for k in (1, 2, 3))
-            data = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8)
+            doc, start, size = (np.array(batch.column(k).to_numpy(), _I) for k in (3, 4, 5))
+            data = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8)
             count, base = size - length + 1, np.cumsum(size) - size
             inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(base, count) + inner
@@ -263,7 +297,7 @@ def hot_strings(strings: DataFrame, length: int) -> DataFrame:
     slices = F.when(place == F.col("first"), F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(own)
     met = strings.join(few, "hash").withColumn("slice", F.explode(slices))
     part = F.pmod(F.xxhash64("hash", "slice"), F.lit(int(total * length // PART) + 1))
-    return met.select(part.alias("part"), "doc_id", (F.shiftleft("start", 32) + 1).alias("run"))
+    return unmarked(met.withColumn("run", F.shiftleft("start", 32) + 1), part)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
@@ -272,21 +306,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     named = docs.filter("doc_id is not null")
     found = anchored(named, length, gram).repartition("gram")
     equal, same = W.partitionBy("gram", "x", "y").orderBy("doc_id", "run"), W.partitionBy("gram")
-    found = found.withColumn("nth", F.dense_rank().over(equal))
+    found = found.withColumn("nth", F.dense_rank().over(equal)).withColumn("n", F.count("*").over(equal.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     found = found.withColumn("low", F.min("x").over(same)).withColumn("high", F.max("x").over(same))
-    covered = F.col("x").isNull() | (F.col("nth") > 1)
-    found = materialise(found.filter(covered | (F.col("low") != F.col("high"))).select(F.when(~covered, F.col("gram")).alias("gram"), "doc_id", "run"))
-    gone = found.filter("gram is null").select("doc_id", "run")
-    mixed = found.filter("gram is not null")
+    inner, first = F.col("x").isNull(), F.col("nth") == 1
+    mixed = first & (F.col("low") != F.col("high"))
+    found = found.filter(inner | (F.col("n") > 1) | mixed)
+    found = materialise(found.select("gram", F.xxhash64("gram", "x", "y").alias("set"), inner.alias("inner"), F.when(inner, 0).otherwise(F.col("n")).alias("n"), first.alias("first"), (mixed & ~inner).alias("mixed"), "doc_id", "run"))
+    gone = found.filter("inner").select("doc_id", "run")
     size = F.col("run").bitwiseAND(0xFFFFFFFF) + (length - 1)
-    total = mixed.agg(F.sum(size).alias("n")).first().n
-    if total:
-        hot = materialise(mixed.groupBy("gram").agg(F.sum(size).alias("n")).filter(F.col("n") > HOT).select("gram"))
-        parts = int(total // PART) + 1
-        plain = mixed.join(hot, "gram", "left_anti").select(F.pmod(F.xxhash64("gram"), F.lit(parts)).alias("part"), "doc_id", "run")
-        gone = gone.union(materialise(sorted_parts(cut_out(named, plain, length), length)))
+    own = F.when(F.col("mixed"), size)
+    total = found.filter("not inner").agg(F.sum(own).alias("mixed"), F.sum(F.when(F.col("n") > 1, size)).alias("sets")).first()
+    if total.mixed or total.sets:
+        # sets of equal digests; a set with more places than a part takes goes into several, and its first place into each of them
+        slices = F.ceil(F.col("n") * size / PART)
+        places = F.when(F.col("first"), F.sequence(F.lit(0).cast("long"), slices - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "run"), slices)))
+        sets = found.filter("n > 1").withColumn("slice", F.explode(places))
+        number = F.pmod(F.xxhash64("set", "slice"), F.lit(int((total.sets or 0) // PART) + 1))
+        sets = sets.select((-1 - number).alias("part"), "set", "first", "doc_id", "run")
+        rows = found.filter("mixed")
+        hot = materialise(rows.groupBy("gram").agg(F.sum(size).alias("n")).filter(F.col("n") > HOT).select("gram"))
+        plain = unmarked(rows.join(hot, "gram", "left_anti"), F.pmod(F.xxhash64("gram"), F.lit(int((total.mixed or 0) // PART) + 1)))
+        gone = gone.union(materialise(sorted_parts(cut_out(named, plain.union(sets), length), length)))
         if not hot.isEmpty():
-            rest = mixed.join(hot, "gram", "left_semi").select(F.col("gram").alias("part"), "doc_id", "run")
+            rest = unmarked(rows.join(hot, "gram", "left_semi"), F.col("gram"))
             strings = materialise(string_hashes(cut_out(named, rest, length), length))
             gone = gone.union(materialise(sorted_parts(cut_out(named, hot_strings(strings, length), length), length)))
     lists = gone.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomspace.llm import repeats
@@ -83,6 +84,31 @@ def test_a_gram_in_every_document_is_split(spark, monkeypatch):
     assert seen[0] > 300 and sum(parts) > 300 and max(parts) < sum(parts) / 4
 
 
+def test_equal_digests_are_compared(spark, monkeypatch):
+    """Bytes decide: within a batch segments of equal digests and other bytes stay apart, and the comparison of sets finds them."""
+    data = np.frombuffer(b"abcdabce", np.uint8)
+    at = np.array([0, 4])
+    assert repeats.by_bytes(data, at, at + 3, np.array([False, True])).tolist() == [False, True]
+    assert repeats.by_bytes(data, at, at + 4, np.array([False, True])).tolist() == [False, False]
+    row = {"part": -1, "set": 5, "first": True, "doc_id": 1, "start": 7, "size": 3, "bytes": b"abc"}
+    later = row | {"first": False, "doc_id": 2}
+    assert repeats.compared(pa.Table.from_pylist([later, row])).to_pylist() == [{"doc_id": 2, "run": 7 << 32 | 3}]
+    with pytest.raises(ValueError, match="digests"):
+        repeats.compared(pa.Table.from_pylist([row, later | {"bytes": b"abd"}]))
+
+
+def test_copies_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PART", 600)
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefgh ") for _ in range(260))
+    docs = [(k, f"{k} {text}") for k in range(120)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        check(spark, docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_long_text_and_other_columns(spark):
     r = random.Random(3)
     text = "".join(r.choice("abcdefgh ") for _ in range(150_000))
