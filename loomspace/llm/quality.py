@@ -2,14 +2,18 @@
 
 Two multinomials over hashed word uni- and bigrams are counted in one pass over all documents: the trusted target (rows
 of ``labels`` with quality 1 and toxic 0) and the raw corpus (every document). A document's ratio is the mean over its
-n-grams of ln p_target - ln p_raw, the raw counts with add-one smoothing, the target's with ``PRIOR`` raw n-grams; it is kept if the mean is at least ``threshold`` and no
-base rule fails. The rule is deterministic; n-grams that only junk has pull the mean down, and those of clean text stay near 0.
+n-grams of ln p_target - ln p_raw. An n-gram's own occurrence is left out of its raw count, and both counts start from
+``PRIOR`` n-grams a bucket in the corpus's own proportion: an n-gram that few documents have then says nothing, at any size of the
+corpus, and one that many have counts by how often trusted documents have it. A document is kept if its mean is at least
+``threshold`` and no base rule fails. The rule is deterministic; n-grams that only junk has pull the mean down, and those of clean
+text stay near 0.
 
 Only the two counts of ``buckets`` buckets reach the driver, and their weights go into the plan as one constant array.
 
 Defined results: null or empty text has no words and fails the base rule; a document without words has a ratio of null;
-repeated rows each get their own result; without labels the ratio is 0 and only base rules decide; other columns are
-ignored. Windows are compared by 64-bit hashes within one document.
+repeated rows each get their own result; texts of any length are read whole; without labels the ratio is 0 and only base rules
+decide; an empty table of documents gives no rows; other columns are ignored, whatever their names. Windows are compared by
+64-bit hashes within one document.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from ._shared import id_text
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 SPACES = (" ", "\t", "\n", "\x0b", "\f", "\r")
 SYMBOLS = "#*$%&|<>"
-BUCKETS = 8192  #: of hashed n-grams; bounds what the driver gets
-PRIOR = 100_000.0  #: n-grams of the raw corpus that the target starts with; few labels then say little
+BUCKETS = 1 << 18  #: of hashed n-grams; bounds what the driver gets
+PRIOR = 50.0  #: n-grams that each bucket starts with
 THRESHOLD = -0.04  #: least mean log ratio per n-gram, in nats
 
 
@@ -88,20 +92,25 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[f
     words = docs.join(trusted.hint("merge"), "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("t"), split_words(F.coalesce("text", F.lit(""))).alias("words"))
     grams = hashed(words).select("t", F.explode(F.concat("h1", "h2")).alias("h")).select("t", F.pmod("h", F.lit(buckets)).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()  # at most ``buckets`` rows
-    raw, target = [1.0] * buckets, [0.0] * buckets
-    for r in rows:
-        raw[r.b] += r.raw
-        target[r.b] += r.target
-    n, m = sum(raw), sum(target)
-    return [round(math.log((t + PRIOR * r / n) / (m + PRIOR)) - math.log(r / n), 6) for t, r in zip(target, raw)]
+    n, m = sum(r.raw for r in rows), sum(r.target for r in rows)
+    if not m:
+        return [0.0] * buckets
+    share = m / n
+    found = {r.b: math.log((r.target + PRIOR * share) / ((r.raw - 1 + PRIOR) * share)) for r in rows}
+    return [round(found.get(b, 0.0), 6) for b in range(buckets)]
+
+
+def constant(weights: list[float]) -> Column:
+    """``weights`` as one constant array: a single string that the optimizer splits once."""
+    return F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
 
 
 def judged(docs: DataFrame, labels: DataFrame, buckets: int, threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
-    weights = F.lit(ratios(docs, labels, buckets))
+    weights = constant(ratios(docs, labels, buckets))
     d = counts(docs, keep)
     add = lambda a, h: a + F.get(weights, F.pmod(h, F.lit(buckets)).cast("int"))
     total = F.aggregate("h2", F.aggregate("h1", F.lit(0.0), add), add)
-    d = d.withColumn("llr", F.round(total / F.nullif(F.lit(2) * F.col("n_words") - 1, F.lit(0)), 9))
+    d = d.withColumn("llr", F.when(F.col("n_words") > 0, F.round(total / (F.lit(2) * F.col("n_words") - 1), 9)))
     failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce("llr", F.lit(0.0)) >= threshold))
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -442,6 +444,59 @@ def test_ratio_is_the_one_of_the_counts(spark):
     assert {x.llr for x in quality.quality(frame(spark, docs), none).collect()} == {0.0}
 
 
+def plain_ratios(docs, good, buckets):
+    """Each text's words, base failure and mean ratio, n-gram by n-gram."""
+    long = lambda x, seed: xxhash.xxh64((x & (1 << 64) - 1).to_bytes(8, "little"), seed=seed).intdigest()
+
+    def grams(t):
+        one = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        signed = [h - (1 << 64) if h >> 63 else h for h in one + [long(b, long(a, 42)) for a, b in zip(one, one[1:])]]
+        return [h % buckets for h in signed]
+
+    raw, target = Counter(), Counter()
+    for i, t in docs:
+        raw.update(grams(t))
+        target.update(grams(t) if i in good else [])
+    n, m = sum(raw.values()), sum(target.values())
+    weight = {b: math.log((target[b] + 50 * m / n) / ((r - 1 + 50) * m / n)) for b, r in raw.items()} if m else Counter()
+    return {i: sum(weight[b] for b in g) / len(g) if (g := grams(t)) else None for i, t in docs}
+
+
+@pytest.mark.parametrize("buckets", [256, 1 << 18])
+def test_ratios_and_verdicts(spark, buckets):
+    r = random.Random(buckets)
+    words = [f"w{k}é" for k in range(400)]
+    docs = [(k, " ".join(r.choice(words) for _ in range(r.choice([10, 60, 90, 300])))) for k in range(120)]
+    docs += [(k, " | ".join(r.choice(words) for _ in range(60))) for k in range(120, 160)] + [(200, None), (201, " "), (202, "one"), (203, "w1é " * 90)]
+    labelled = [(k, int(k < 120), int(k % 11 == 0)) for k in range(160) if k % 3]
+    good = {k for k, q, t in labelled if q and not t}
+    clash = [(*d, 1, 2, 3, 4, 5) for d in docs]
+    frame = spark.createDataFrame(clash, DOC + ", h1 int, h2 int, words int, kept int, trusted int")
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    want = plain_ratios(docs, good, buckets)
+    rows = quality.quality(frame, labels, buckets).collect()
+    assert len(rows) == len(docs)
+    for x in rows:
+        failed = counts(dict(docs)[x.doc_id])[5]
+        assert (x.llr is None) == (want[x.doc_id] is None) and (x.llr is None or abs(x.llr - want[x.doc_id]) < 2e-6)
+        assert x.base_failed == failed and x.kept == (not failed and want[x.doc_id] >= quality.THRESHOLD)
+    kept = {x.doc_id for x in rows if x.kept}
+    assert kept and not kept & set(range(120, 160))
+    out = quality.keep(frame, labels, buckets)
+    assert out.columns == frame.columns and {tuple(x) for x in out.collect()} == {x for x in clash if x[0] in kept}
+
+
+def test_verdicts_hold_at_every_size(spark):
+    """Junk of one kind goes and clean documents stay, whether the corpus has hundreds of documents or thousands."""
+    for n in (200, 4000):
+        r = random.Random(n)
+        text = lambda: " ".join("".join(r.choice(["an", "er", "th", "on", "st", "le"]) for _ in range(r.randrange(1, 4))) for _ in range(80))
+        docs = [(k, text() if k % 7 else " | ".join(text().split()[:55])) for k in range(n)]
+        labels = spark.createDataFrame([(k, int(k % 7 > 0), 0) for k in range(0, n, 2)], "doc_id long, quality int, toxic int")
+        kept = {x.doc_id for x in quality.quality(frame(spark, docs), labels).collect() if x.kept}
+        assert kept == {k for k in range(n) if k % 7}
+
+
 def test_keys_straight_after_an_equals_sign():
     """The env-file form of a base64 key, of each kind, is found and redacted; so is one after another's padding."""
     for data, kind in ((PRIVATE["pkcs8"], "base64_der"), (OPENSSH, "base64_openssh")):
