@@ -24,8 +24,9 @@ def brute(rows, canonical):
             continue
         field = next((k for k in (5, 6, 7) if r[k] and (k != 5 or clean(r[k]))), None)
         agree = lambda x: (clean(x[5]) == clean(r[5])) if field == 5 else x[field] == r[field]
-        met = [x for x in full if field and r[3] is not None and canonical[x[0]] == canonical[r[0]] and agree(x) and x[3] <= r[3]]
-        out[r[0]] = max(met, key=lambda x: (x[3], x[0]))[0] if met else None
+        met = [x for x in full if field and r[3] is not None and canonical[x[0]] == canonical[r[0]] and x[3] <= r[3]]
+        latest = max(met, key=lambda x: (x[3], x[0]), default=None)
+        out[r[0]] = latest[0] if latest and agree(latest) else None
     return out
 
 
@@ -60,3 +61,25 @@ def test_headers_and_empty_table(spark):
     assert got[0].headers == {"content-type": "t", "date": "2", "etag": "old"} and got[0].body == "body" and got[0].age_s == 0
     assert len(warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()) == 2
     assert warc.resolve_revisits(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_latest_response_decides(spark):
+    """A revisit for the first of two versions is refused once the second is captured; a body of any length comes along."""
+    long = "x" * 2_000_000
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(1, "response", "http://a/x", at(0), 200, '"1"', None, None, None, "one"), (2, "response", "http://a/x", at(10), 200, '"2"', None, None, None, long)]
+    rows += [(3, "revisit", "http://a/x", at(5), 304, '"1"', None, None, None, None), (4, "revisit", "http://a/x", at(20), 304, '"1"', None, None, None, None), (5, "revisit", "http://a/x", at(20), 304, '"2"', None, None, None, None)]
+    got = {x.record_id: (x.response_id, x.body) for x in warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {3: (1, "one"), 4: (None, None), 5: (2, long)}
+
+
+def test_repeated_records_and_other_columns(spark):
+    """Repeated responses are one, repeated revisits each get their row, and columns of any name are ignored."""
+    full = (1, "response", "http://a/x", T0, 200, '"q"', None, "d", {"A": "1"}, "body")
+    ask = (2, "revisit", "http://a/x", T0, 304, '"q"', None, None, {"date": "2"}, None)
+    rows = [full, full, full[:8] + ({"A": "0"}, "body"), ask, ask, ask[:8] + ({"date": "3"}, None), (3, None, None, None, None, None, None, None, None, None), (None,) + ask[1:]]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for name in ("canonical", "full", "latest", "response", "key", "at", "stretch", "response_id"):
+        frame = frame.withColumn(name, F.lit(7))
+    got = warc.resolve_revisits(frame).collect()
+    assert sorted((x.record_id, x.response_id, x.headers["date"], x.headers["a"]) for x in got) == [(2, 1, "2", "0"), (2, 1, "2", "0"), (2, 1, "3", "0")]
