@@ -56,12 +56,12 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def segments(block: Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document in the block, first start, number of starts, gram hash, place of the gram in the first string) of all
-    segments of a block; starts count within the block."""
+    """(document in the block, first start, number of starts, gram hash) of all segments of a block; starts count within
+    the block."""
     n, w = len(block.data), length - gram + 1
     size = np.maximum(0, np.diff(block.at) - length + 1)
     if not size.any():
-        return tuple(np.zeros(0, t) for t in (_I, _I, _I, _U, _I))
+        return tuple(np.zeros(0, t) for t in (_I, _I, _I, _U))
     at = np.arange(n - gram + 1)
     h = gram_hashes(block.data, gram)
     low = (h & _U(0xFFFFFFFF00000000)) | at.astype(_U)  # the smallest hash, then the leftmost
@@ -78,15 +78,13 @@ def segments(block: Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
     edge[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(edge)
     count = np.diff(np.append(first, len(start)))
-    s, p = start[first], place[first]
-    return doc[first], s, count, h[p], p - s
+    return doc[first], start[first], count, h[place[first]]
 
 
-def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray, key: bytes) -> np.ndarray:
-    """Two 64-bit halves of the digest of each segment's bytes and the place of its gram."""
-    text = memoryview(np.ascontiguousarray(data))
-    blake = hashlib.blake2b
-    found = b"".join([blake(text[a:b], digest_size=16, key=key, salt=p.to_bytes(4, "big")).digest() for a, b, p in zip(start.tolist(), end.tolist(), place.tolist())])
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """Two 64-bit halves of the digest of each segment's bytes, which also settle where its gram is."""
+    text, blake = data.tobytes(), hashlib.blake2b
+    found = b"".join([blake(text[a:b], digest_size=16, salt=key).digest() for a, b in zip(start.tolist(), end.tolist())])
     return np.frombuffer(found, _I).reshape(-1, 2)
 
 
@@ -120,8 +118,8 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), _I)
             for block in blocks(batch.column(1)):
-                doc, s, count, g, place = segments(block, length, gram)
-                x = digests(block.data, s, s + count + length - 1, place, key)
+                doc, s, count, g = segments(block, length, gram)
+                x = digests(block.data, s, s + count + length - 1, key)
                 own = s - block.at[doc]
                 who = ids[block.first + doc]
                 order = np.lexsort((own, who, x[:, 1], x[:, 0], g))
@@ -192,15 +190,16 @@ def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return group
 
 
-def compared(table: pa.Table) -> pa.Table:
+def compared(table: pa.Table, length: int) -> pa.Table:
     """Covered runs among segments of equal digests: all but the first of each set, if their bytes are the first's."""
-    names = ("set", "first", "doc_id", "start", "size", "bytes")
-    rows = list(zip(*(table.column(c).to_pylist() for c in names)))
-    firsts = {x[0]: x[5] for x in rows if x[1]}
-    later = [x for x in rows if not x[1]]
-    if any(firsts[x[0]] != x[5] for x in later):
+    names, texts = table.column("set").to_pylist(), table.column("bytes").to_pylist()
+    first = table.column("first").to_numpy()
+    of = {names[k]: texts[k] for k in np.flatnonzero(first).tolist()}
+    later = np.flatnonzero(~first)
+    if any(of[names[k]] != texts[k] for k in later.tolist()):
         raise ValueError("segments of equal digests differ; another run takes another key")
-    return pa.table({"doc_id": pa.array([x[2] for x in later], pa.int64()), "run": pa.array([x[3] << 32 | x[4] for x in later], pa.int64())})
+    doc, start, size = (np.array(table.column(c).to_numpy(), _I)[later] for c in ("doc_id", "start", "size"))
+    return pa.table({"doc_id": pa.array(doc), "run": pa.array(start << 32 | (size - length + 1))})
 
 
 def sorted_parts(cut: DataFrame, length: int) -> DataFrame:
@@ -209,9 +208,7 @@ def sorted_parts(cut: DataFrame, length: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() < 0:
-            found = compared(table)
-            size = np.array(found.column("run").to_numpy(), _I)
-            return found.set_column(1, "run", pa.array(size - (length - 1)))
+            return compared(table, length)
         doc, start, size = (np.array(table.column(c).to_numpy(), _I) for c in ("doc_id", "start", "size"))
         texts = table.column("bytes").to_pylist()
         data = np.frombuffer(b"".join(texts), np.uint8)

@@ -92,9 +92,9 @@ def test_equal_digests_are_compared(spark, monkeypatch):
     assert repeats.by_bytes(data, at, at + 4, np.array([False, True])).tolist() == [False, False]
     row = {"part": -1, "set": 5, "first": True, "doc_id": 1, "start": 7, "size": 3, "bytes": b"abc"}
     later = row | {"first": False, "doc_id": 2}
-    assert repeats.compared(pa.Table.from_pylist([later, row])).to_pylist() == [{"doc_id": 2, "run": 7 << 32 | 3}]
+    assert repeats.compared(pa.Table.from_pylist([later, row]), 3).to_pylist() == [{"doc_id": 2, "run": 7 << 32 | 1}]
     with pytest.raises(ValueError, match="digests"):
-        repeats.compared(pa.Table.from_pylist([row, later | {"bytes": b"abd"}]))
+        repeats.compared(pa.Table.from_pylist([row, later | {"bytes": b"abd"}]), 3)
 
 
 def test_copies_over_many_batches(spark, monkeypatch):
