@@ -28,7 +28,7 @@ from ._shared import id_text
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 SPACES = (" ", "\t", "\n", "\x0b", "\f", "\r")
 SYMBOLS = "#*$%&|<>"
-BUCKETS = 1 << 18  #: of hashed n-grams; bounds what the driver gets
+BUCKETS = 1 << 17  #: of hashed n-grams; bounds what the driver gets
 PRIOR = 50.0  #: n-grams that each bucket starts with
 THRESHOLD = -0.04  #: least mean log ratio per n-gram, in nats
 
