@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._shared import materialise
+
 STRETCHES = 256  #: of time at least, in which the captures of a URL are joined
 ROWS = 1_000_000  #: captures a stretch of time, about
 # Header fields that a 304 answer sends and a cache updates (RFC 9110, 15.4.5).
@@ -87,10 +89,15 @@ def resolve_revisits(records: DataFrame, keep_body: bool = True) -> DataFrame:
     seen = rows.withColumn("near", F.last(F.when(F.col("full"), F.col("at")), ignorenulls=True).over(within)).filter("not full")
     seen = seen.join(carried, ["canonical", "stretch"], "left").withColumn("met", F.coalesce("near", "before"))
     met = seen.select("record_id", "key", F.col("met.id").alias("latest"), ((seconds - F.col("met.t")) / 1e6).alias("age_s"))
-    # one row a response: the least of equal ids
-    alike = F.struct("ts", *names, F.to_json("headers"), *(["body"] if keep_body else []))
-    kept = F.struct(*names, F.col("headers").alias("own"), *(["body"] if keep_body else []))
-    whole = full.groupBy(F.col("record_id").alias("latest")).agg(F.min_by(kept, alike).alias("response"))
+    body = ["body"] if keep_body else []
+    whole = full.select(F.col("record_id").alias("latest"), F.struct(*names, F.col("headers").alias("own"), *body).alias("response"), "ts")
+    again = whole.groupBy("latest").agg(F.count("*").alias("n")).filter("n > 1").select("latest")
+    if not again.isEmpty():  # one row a response: the least of equal ids
+        again = materialise(again)
+        alike = F.struct("ts", *(f"response.{n}" for n in names), F.to_json("response.own"), *(f"response.{c}" for c in body))
+        least = whole.join(again, "latest", "left_semi").groupBy("latest").agg(F.min_by("response", alike).alias("response"))
+        whole = whole.join(again, "latest", "left_anti").select("latest", "response").union(least)
+    whole = whole.select("latest", "response")
     out = asking.join(met, ["record_id", "key"], "left").join(whole, "latest", "left")
     each = [validator(*(F.col(f"response.{n}") if n == name else F.lit(None).cast("string") for n in names)) for name in names]
     agrees = F.coalesce(F.array_contains(F.array(*each), F.col("asked")), F.lit(False))
