@@ -25,7 +25,7 @@ def extract(spark, d):
     return en.extract(docs(spark, d))
 
 
-@register("entity_graph", E + ", f AS (SELECT entity FROM en, n GROUP BY entity HAVING count(*) >= 2 AND count(*) <= 0.2 * max(n)), o AS (SELECT en.* FROM en SEMI JOIN f USING (entity)) SELECT a.entity AS a, b.entity AS b, count(*) AS n, round(count(*)::DOUBLE / max(n.n), 6) AS weight FROM o a JOIN o b ON a.memory_id = b.memory_id AND a.entity < b.entity, n GROUP BY ALL HAVING count(*) >= 4")
+@register("entity_graph", E + " SELECT a.entity AS a, b.entity AS b, count(*) AS n, round(count(*)::DOUBLE / max(n.n), 6) AS weight FROM en a JOIN en b ON a.memory_id = b.memory_id AND a.entity < b.entity, n GROUP BY ALL")
 def entity_graph(spark, d):
     x = docs(spark, d)
     return en.cooccurrence(en.extract(x), x.count()).select("a", "b", "n", F.round("weight", 6).alias("weight"))

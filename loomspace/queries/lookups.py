@@ -84,7 +84,7 @@ def shortest(spark, d):
     return graph.traverse(e, starts, 4, 0.0).select("start", "node", "depth")
 
 
-@register("fingerprint_pairs", S + " SELECT query_id, memory_id, round(avg(sim), 6) AS mean, round(max(sim), 6) AS high, round(min(sim), 6) AS low, round(product(greatest(sim, 0.01)), 6) AS product, round(sum(weight * sim) / sum(weight), 6) AS weighted FROM s JOIN c USING (space) WHERE memory_id % 100 = 0 GROUP BY query_id, memory_id")
+@register("fingerprint_pairs", S + " SELECT query_id, memory_id, round(avg(sim), 6) AS mean, round(max(sim), 6) AS high, round(min(sim), 6) AS low, round(product(greatest(sim, 0.01)), 6) AS product, round(sum(weight * sim) / sum(weight), 6) AS weighted FROM s JOIN c USING (space) GROUP BY query_id, memory_id")
 def pairs(spark, d):
     """The stated set against all memories, over all spaces."""
     s = scores(spark, d)

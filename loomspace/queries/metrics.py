@@ -74,7 +74,7 @@ def temporal(spark, d):
     return r.groupBy("user_id").agg(F.round(F.avg((F.col("age") <= 604800).cast("double")), 6).alias("freshness"), F.round(F.avg(F.hour("ts").between(8, 11).cast("double")), 6).alias("periodic"))
 
 
-@register("decay_accuracy", "WITH a AS (SELECT max(ts) AS as_of FROM events), g AS (SELECT user_id, epoch(date_trunc('second', as_of))::BIGINT - epoch(date_trunc('second', ts))::BIGINT AS age, value FROM events, a WHERE event_id % 10 = 0) SELECT x.user_id, round(avg((y.value <= x.value)::INT), 6) AS accuracy FROM g x JOIN g y ON x.user_id = y.user_id AND x.age < y.age GROUP BY x.user_id")
+@register("decay_accuracy", "WITH a AS (SELECT max(ts) AS as_of FROM events), g AS (SELECT user_id, epoch(date_trunc('second', as_of))::BIGINT - epoch(date_trunc('second', ts))::BIGINT AS age, value FROM events, a) SELECT x.user_id, round(avg((y.value <= x.value)::INT), 6) AS accuracy FROM g x JOIN g y ON x.user_id = y.user_id AND x.age < y.age GROUP BY x.user_id")
 def decay(spark, d):
     """How often the newer of two events of a user has a value no smaller, over all of the user's events."""
     ev = t.events(spark, d)

@@ -99,7 +99,7 @@ def status(spark, d):
     return t.read(spark, d, "documents").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("langs"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.count_distinct(F.sha2("text", 256)).alias("distinct_contents"))
 
 
-@register("merge_compatibility", M + ", x AS (SELECT label, memory_id, e, CASE WHEN list_var_pop(e[1:16]) > 1.05 * list_var_pop(e[17:32]) THEN 'cause' WHEN list_var_pop(e[17:32]) > 1.05 * list_var_pop(e[1:16]) THEN 'effect' ELSE 'unknown' END AS dir FROM m WHERE memory_id % 10 = 0), p AS (SELECT a.label, min(list_cosine_similarity(a.e, b.e)) AS low FROM x a JOIN x b ON a.label = b.label AND a.memory_id < b.memory_id GROUP BY a.label) SELECT x.label, bool_or(dir = 'cause') AND bool_or(dir = 'effect') AS rejected, any_value(low) < 0.3 AS warns FROM x JOIN p USING (label) GROUP BY x.label")
+@register("merge_compatibility", M + ", x AS (SELECT label, memory_id, e, CASE WHEN list_var_pop(e[1:16]) > 1.05 * list_var_pop(e[17:32]) THEN 'cause' WHEN list_var_pop(e[17:32]) > 1.05 * list_var_pop(e[1:16]) THEN 'effect' ELSE 'unknown' END AS dir FROM m), p AS (SELECT a.label, min(list_cosine_similarity(a.e, b.e)) AS low FROM x a JOIN x b ON a.label = b.label AND a.memory_id < b.memory_id GROUP BY a.label) SELECT x.label, bool_or(dir = 'cause') AND bool_or(dir = 'effect') AS rejected, any_value(low) < 0.3 AS warns FROM x JOIN p USING (label) GROUP BY x.label")
 def compatibility(spark, d):
     m = t.vectors(spark, d).withColumn("dir", retrieval.direction(F.col("E1")))
     low = graph.least_cosine(m, "label", F.col("E1")).select("label", (F.col("low") < 0.3).alias("warns"))
