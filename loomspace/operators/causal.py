@@ -52,7 +52,20 @@ def intent(text: Column) -> Column:
     return F.when(negated | (c == e), "unknown").when(c > e, "cause").otherwise("effect")
 
 
-def pair_score(markers: Column, in_order: Column, same_session: Column, long_a: Column, long_b: Column, sim: Column) -> Column:
-    """Score of a candidate pair of the causal scanner."""
-    raw = markers * 0.15 + F.when(in_order, 0.1).otherwise(0.0) + F.when(same_session, 0.1).otherwise(0.0) + F.when(long_a, 0.05).otherwise(0.0) + F.when(long_b, 0.05).otherwise(0.0) + F.when(sim.between(0.5, 0.8), 0.1).otherwise(0.0)
+# Phrases of the scanner that speak of causes and of effects.
+CAUSE_MARKERS = ("because", "due to", "caused by", "result of", "led to", "since", "as a result of", "owing to", "thanks to", "on account of", "stems from", "arises from", "originates from", "triggered by")
+EFFECT_MARKERS = ("therefore", "consequently", "as a result", "thus", "hence", "so", "accordingly", "resulting in", "leading to", "causing", "produces", "yields", "generates", "brings about")
+
+
+def markers(text: Column) -> Column:
+    """How many of the scanner's phrases a text holds."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return sum((F.contains(low, F.lit(m)).cast("int") for m in CAUSE_MARKERS + EFFECT_MARKERS), F.lit(0))
+
+
+def pair_score(markers: Column, same_session: Column, shorter: Column, sim: Column) -> Column:
+    """Score of a candidate pair of the causal scanner, the earlier first: .15 a marker of both texts, .1 for the order and for one
+    session, .05 each where the shorter text has more than 100 and 300 characters, .1 for a cosine in [.5, .8]."""
+    parts = (F.when(same_session, 0.1), F.when(shorter > 100, 0.05), F.when(shorter > 300, 0.05), F.when(sim.between(0.5, 0.8), 0.1))
+    raw = markers * 0.15 + 0.1 + sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from . import graph
 
 
 def merged(groups: DataFrame, by: str, how: str = "union", vector: str = "v", importance: str | None = None) -> DataFrame:
@@ -20,6 +21,14 @@ def merged(groups: DataFrame, by: str, how: str = "union", vector: str = "v", im
     return out.withColumn("vector", v.normalised(F.col("vector"))) if how == "union" else out
 
 
+def consolidation(memories: DataFrame, at_least: float, vector: str = "E1") -> DataFrame:
+    """(a, b, sim): pairs of memories (memory_id, dir, vector) of a mapped cosine of ``at_least``; a cause and an effect never pair."""
+    near = graph.similar_pairs(memories, vector, at_least)
+    a, b = (memories.select(F.col("memory_id").alias(x), F.col("dir").alias(f"d{x}")) for x in "ab")
+    opposite = ((F.col("da") == "cause") & (F.col("db") == "effect")) | ((F.col("da") == "effect") & (F.col("db") == "cause"))
+    return near.join(a, "a").join(b, "b").filter(~opposite).select("a", "b", "sim")
+
+
 def boosted(old: Column, delta: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), old + delta))
 

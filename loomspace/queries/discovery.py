@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import vectors as v
-from ..operators import fusion, retrieval
+from ..operators import fusion, graph, retrieval
 from ..plans import weights as ws
 from ..sources import tables as t
 from . import register
@@ -23,15 +22,16 @@ def _count(words, column="t"):
     return " + ".join(f"contains({column}, '{w}')::INT" for w in words)
 
 
-@register("graph_pair_scan", M + f", z AS (SELECT memory_id, label, e, coalesce(lower(text), '') AS t, length(text) AS n FROM m LEFT JOIN documents ON doc_id = memory_id), p AS (SELECT a.memory_id AS a, b.memory_id AS b, (list_cosine_similarity(a.e, b.e) + 1) / 2 AS sim, least(0.4, 0.1 * ({_count(MARKERS, 'a.t')})) AS mark, a.n > 200 AND b.n > 200 AS long FROM z a JOIN z b ON a.label = b.label AND a.memory_id < b.memory_id) SELECT a, b, round(least(1, mark + CASE WHEN long THEN 0.1 ELSE 0 END + CASE WHEN sim BETWEEN 0.4 AND 0.8 THEN 0.2 ELSE 0 END), 6)::DOUBLE AS score FROM p WHERE sim BETWEEN 0.3 AND 0.95")
+@register("graph_pair_scan", M + f""", y AS (SELECT memory_id, e, coalesce(lower(text), '') AS t, length(coalesce(text, '')) AS n FROM m LEFT JOIN documents ON doc_id = memory_id), z AS (SELECT memory_id, e, n, {_count(MARKERS)} AS k FROM y),
+ p AS (SELECT a.memory_id AS a, b.memory_id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS sim, a.k + b.k AS k, least(a.n, b.n) AS n FROM z a JOIN z b ON a.memory_id < b.memory_id),
+ s AS (SELECT a, b, round(least(1, least(0.4, 0.1 * k) + CASE WHEN n > 100 THEN 0.05 ELSE 0 END + CASE WHEN n > 300 THEN 0.05 ELSE 0 END + CASE WHEN sim BETWEEN 0.4 AND 0.8 THEN 0.1 ELSE 0 END), 6)::DOUBLE AS score FROM p WHERE sim BETWEEN 0.3 AND 0.95)
+ SELECT a, b, score FROM s WHERE score >= 0.2 ORDER BY score DESC, a, b LIMIT 100""")
 def graph_scan(spark, d):
-    """Pairs of one topic label with a similarity in [.3, .95], scored for a link."""
-    z = t.memories(spark, d).select("memory_id", "label", "E1", F.coalesce(F.lower("content"), F.lit("")).alias("t"), F.length("content").alias("n"))
-    a, b = (z.select("label", *(F.col(c).alias(f"{c}_{x}") for c in ("memory_id", "E1", "t", "n"))) for x in "ab")
-    p = a.join(b, "label").filter("memory_id_a < memory_id_b").withColumn("sim", v.cosine(F.col("E1_a"), F.col("E1_b"))).filter(F.col("sim").between(0.3, 0.95))
-    marks = sum((F.col("t_a").contains(m).cast("int") for m in MARKERS), F.lit(0))
-    raw = F.least(F.lit(0.4), 0.1 * marks) + F.when((F.col("n_a") > 200) & (F.col("n_b") > 200), 0.1).otherwise(0.0) + F.when(F.col("sim").between(0.4, 0.8), 0.2).otherwise(0.0)
-    return p.select(F.col("memory_id_a").alias("a"), F.col("memory_id_b").alias("b"), F.round(F.least(F.lit(1.0), raw), 6).alias("score"))
+    """The scanner's 100 best candidates for a link over all pairs of memories with a cosine in [.3, .95]."""
+    low = F.lower(F.coalesce("content", F.lit("")))
+    marks = sum((low.contains(m).cast("int") for m in MARKERS), F.lit(0))
+    z = t.memories(spark, d).select("memory_id", "E1", marks.alias("marks"), F.length(F.coalesce("content", F.lit(""))).alias("n"))
+    return graph.scan_pairs(z, "E1").select("a", "b", F.round("score", 6).alias("score"))
 
 
 @register("graph_intent", f"WITH x AS (SELECT doc_id, lower(text) AS t FROM documents), y AS (SELECT doc_id, {_count(SOURCE)} AS s, {_count(TARGET)} AS g FROM x) SELECT doc_id, CASE WHEN s + g = 0 THEN 'unknown' WHEN s >= g THEN 'source' ELSE 'target' END AS intent FROM y")

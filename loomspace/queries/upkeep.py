@@ -23,13 +23,21 @@ for _how, _expr in (("union", "avg(x)"), ("intersection", "CASE WHEN min(abs(x))
         return g.select("label", F.posexplode("vector").alias("pos", "x"), "n").select("label", (F.col("pos") + 1).cast("long").alias("pos"), "n", F.round("x", 6).alias("x"))
 
 
-@register("consolidation_candidates", M + " SELECT a.memory_id AS a, b.memory_id AS b, round((list_cosine_similarity(a.e, b.e) + 1) / 2, 6) AS sim FROM m a JOIN m b ON a.label = b.label AND a.memory_id < b.memory_id WHERE (list_cosine_similarity(a.e, b.e) + 1) / 2 >= 0.8")
+_DIR = "CASE WHEN list_var_pop(e[1:16]) > 1.05 * list_var_pop(e[17:32]) THEN 'cause' WHEN list_var_pop(e[17:32]) > 1.05 * list_var_pop(e[1:16]) THEN 'effect' ELSE 'unknown' END"
+_CONSOLIDATE = M + f", x AS (SELECT memory_id, e, {_DIR} AS dir FROM m), p AS (SELECT a.memory_id AS a, b.memory_id AS b, (list_cosine_similarity(a.e, b.e) + 1) / 2 AS sim FROM x a JOIN x b ON a.memory_id < b.memory_id AND NOT (a.dir = 'cause' AND b.dir = 'effect') AND NOT (a.dir = 'effect' AND b.dir = 'cause')) SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim >= 0.8"
+
+
+@register("consolidation_candidates", _CONSOLIDATE)
 def consolidation(spark, d):
-    """Pairs of one topic label that are nearly the same; the label blocks the self-join."""
-    m = t.vectors(spark, d)
-    a, b = (m.select("label", F.col("memory_id").alias(x), F.col("E1").alias(f"v{x}")) for x in "ab")
-    p = a.join(b, "label").filter("a < b").withColumn("s", v.cosine(F.col("va"), F.col("vb"))).filter("s >= 0.8")
-    return p.select("a", "b", F.round("s", 6).alias("sim"))
+    """All pairs that are nearly the same and don't point opposite ways."""
+    m = t.vectors(spark, d).withColumn("dir", retrieval.direction(F.col("E1")))
+    return curation.consolidation(m, 0.8).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@register("consolidation_batch", f"SELECT a, b, sim FROM ({_CONSOLIDATE}) ORDER BY sim DESC, a, b LIMIT 50")
+def consolidation_batch(spark, d):
+    """A day's merges: the best 50 candidates."""
+    return consolidation(spark, d).orderBy(F.desc("sim"), "a", "b").limit(50)
 
 
 @register("boost_importance", "SELECT event_id AS memory_id, round(least(1, greatest(0, (value % 100) / 100 + CASE event_type WHEN 'error' THEN -0.3 ELSE 0.2 END)), 6)::DOUBLE AS importance FROM events")

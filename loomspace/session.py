@@ -30,6 +30,18 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8,
     return session
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor sees: ``spark.checkpoint.dir``. Where it is unset, a local session gets a local one; on a cluster
+    that would lose rows, so it is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="loomspace-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package, once per application, unless their PYTHONPATH already has it."""
     app = spark.sparkContext.applicationId

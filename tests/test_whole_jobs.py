@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspace.operators import clustering, entities, graph, metrics
+from loomspace.operators import clustering, curation, entities, graph, metrics
 from tests.test_entry import DATA, QUERIES, SQL, duck, plain  # noqa: F401
 
 
@@ -65,6 +65,22 @@ def test_fingerprint_pairs_against_all_memories(spark, duck):  # noqa: F811
     assert len(got) == 5 * 499 and plain(got) == plain(want)
 
 
+@pytest.mark.parametrize("block", [9, 2048])
+def test_pairs_over_all_blocks(spark, block):
+    r = np.random.default_rng(block)
+    rows = [(int(k), ["cause", "effect", "unknown"][k % 3], r.normal(size=3).tolist(), int(r.integers(0, 3)), int(r.integers(0, 400))) for k in range(60)] + [(100, "cause", [0.0] * 3, 5, 500)]
+    frame = spark.createDataFrame(rows, "memory_id long, dir string, E1 array<double>, marks int, n int")
+    cos = lambda x, y: float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y))) if np.any(x) and np.any(y) else 0.0
+    pairs = [(a, b, cos(a[2], b[2])) for a in rows for b in rows if a[0] < b[0]]
+    got = {(x.a, x.b): x.sim for x in graph.similar_pairs(frame, "E1", 0.7, block).collect()}
+    assert got == pytest.approx({(a[0], b[0]): (c + 1) / 2 for a, b, c in pairs if (c + 1) / 2 >= 0.7})
+    want = {(a[0], b[0]) for a, b, c in pairs if (c + 1) / 2 >= 0.7 and {a[1], b[1]} != {"cause", "effect"}}
+    assert {(x.a, x.b) for x in curation.consolidation(frame, 0.7).collect()} == want
+    score = lambda a, b, c: round(min(1, min(0.4, 0.1 * (a[3] + b[3])) + 0.05 * (min(a[4], b[4]) > 100) + 0.05 * (min(a[4], b[4]) > 300) + 0.1 * (0.4 <= c <= 0.8)), 9)
+    best = sorted((-score(*p), p[0][0], p[1][0]) for p in pairs if 0.3 <= p[2] <= 0.95 and score(*p) >= 0.2)[:20]
+    assert [(-x.score, x.a, x.b) for x in graph.scan_pairs(frame, "E1", best=20, block=block).collect()] == best
+
+
 def test_density_is_the_same_at_either_size(spark, monkeypatch):
     r = np.random.default_rng(3)
     centres = r.normal(size=(6, 8))
