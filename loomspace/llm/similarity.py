@@ -14,8 +14,8 @@ components. There only bitmaps travel, and the pairs that they allow are compare
 
 Defined results: null or empty text, and text without words, is an empty set that links with nothing; fewer words than a
 shingle make one; repeated rows each get their row and the same component; rows without an id get the component
-of the equal set, or none;
-other columns are ignored; an empty table gives no rows.
+of the equal set, or none; texts of any length are read whole;
+other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -67,6 +66,10 @@ class Parts:
     tokens, and each of these spoils one part. A set is grouped by its largest parts, one more than can be spoiled, and all
     as large: of those one at least is the same in any set that it links with. Of two sets, the one whose least part is larger
     so meets the other. There are a quarter more parts than that, so that parts of few tokens, which sets share by chance, are left out.
+
+    Empty parts tell nothing and group nothing. Where they are among a set's largest, they can be all that it has in common with
+    a set that it links with, and then they are so for both; such sets are grouped by their prefixes as well: of two sets that link,
+    the first n - ceil(n percent / 100) + 1 tokens of each in the order of hashes have one in common.
     """
 
     def __init__(self, percent: int):
@@ -93,7 +96,7 @@ class Parts:
         """A hash of each part's tokens, with its class and number."""
         if not len(tokens):
             return np.zeros(0, np.int64)
-        found = []
+        found, bare = [], False
         a = mix(tokens ^ _U(0xA5A5A5A55A5A5A5A))
         for k, parts, spoiled in self.of(len(tokens)):
             part = (a % _U(parts)).astype(np.int64)
@@ -103,8 +106,13 @@ class Parts:
             size = np.bincount(part, minlength=parts)
             bounds = np.concatenate([[0], np.cumsum(size)])
             total = c[bounds[1:]] - c[bounds[:-1]]
-            number = np.flatnonzero(size >= np.partition(size, parts - 1 - spoiled)[parts - 1 - spoiled])
+            least = np.partition(size, parts - 1 - spoiled)[parts - 1 - spoiled]
+            bare |= not least
+            number = np.flatnonzero(size >= max(1, least))
             found.append(mix(total[number] + mix(number.astype(np.uint64) * _U(0xD1B54A32D192ED03) + _U(k + 1))))
+        if bare:
+            prefix = np.sort(a)[: len(tokens) + (-len(tokens) * self.percent) // 100 + 1]
+            found.append(mix(prefix ^ _U(0x3C3C3C3CC3C3C3C3)))
         return np.concatenate(found).view(np.int64)
 
 
@@ -282,9 +290,22 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
+PARTS = "bucket long, base long, offsets binary, parts binary, held binary"
+
+
+def _packed(bucket: int, doc: np.ndarray, part: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+    base = int(doc.min())
+    wide = np.int64 if doc.max() - base >= 1 << 32 else np.uint32
+    cells = [[bucket], [base], [(doc - base).astype(wide).tobytes()], [part.tobytes()], [held.astype(np.uint8).tobytes()]]
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=["bucket", "base", "offsets", "parts", "held"])
+
+
 def signed(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """The parts of all documents, as (bucket, base, offsets, parts): of each batch and bucket the signatures of parts, and
-    doc_id - base beside each. Of equal sets in a batch only the first document is taken."""
+    """The parts of all documents, packed as (bucket, base, offsets, parts, held): of each batch and bucket the signatures of parts,
+    doc_id - base beside each, and whether the batch has the part more than once. Of equal sets in a batch only the first
+    document is taken. Of the documents that have a part in common in a batch only the first goes to the part's bucket, so
+    a part that any share of all documents has sends a row a batch there; the others go to buckets below 0, spread out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(percent)
@@ -303,38 +324,50 @@ def signed(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
                 continue
             part = np.concatenate([x for _, x in found])
             doc = np.repeat(ids[[k for k, _ in found]], [len(x) for _, x in found])
+            order = np.lexsort((doc, part))
+            part, doc = part[order], doc[order]
+            fresh = np.ones(len(part), bool)
+            fresh[1:] = part[1:] != part[:-1]
+            held = np.append(~fresh[1:], False)[fresh]
+            if not fresh.all():
+                yield _packed(-1 - int(mix(part[:1].view(np.uint64))[0] % _U(buckets)), doc[~fresh], part[~fresh], np.ones(int((~fresh).sum()), bool))
+            part, doc = part[fresh], doc[fresh]
             bucket = (mix(part.view(np.uint64)) % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             for a, b in zip(bounds, np.append(bounds[1:], len(order))):
                 at = order[a:b]
-                base = int(doc[at].min())
-                wide = np.int64 if doc[at].max() - base >= 1 << 32 else np.uint32
-                cells = [[int(bucket[at[0]])], [base], [(doc[at] - base).astype(wide).tobytes()], [part[at].tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "base", "offsets", "parts"])
+                yield _packed(int(bucket[at[0]]), doc[at], part[at], held[at])
 
-    return docs.mapInArrow(run, "bucket long, base long, offsets binary, parts binary")
+    return docs.mapInArrow(run, PARTS)
 
 
 def met(packed: DataFrame) -> DataFrame:
     """(part, doc_id) of parts that more than one document has."""
 
     def run(table: pa.Table) -> pa.Table:
-        part, doc = [], []
-        for base, offsets, parts in zip(*(table.column(c).to_pylist() for c in ("base", "offsets", "parts"))):
-            p = np.frombuffer(parts, np.int64)
-            part.append(p)
+        part, doc, known = [], [], []
+        for base, offsets, parts, held in zip(*(table.column(c).to_pylist() for c in ("base", "offsets", "parts", "held"))):
+            part.append(np.frombuffer(parts, np.int64))
             doc.append(np.frombuffer(offsets, np.uint32 if len(offsets) < len(parts) else np.int64).astype(np.int64) + base)
-        p, d = np.concatenate(part), np.concatenate(doc)
-        order = np.argsort(p, kind="stable")
-        p, d = p[order], d[order]
-        same = p[1:] == p[:-1]
-        held = np.append(same, False) | np.insert(same, 0, False)
-        return pa.table({"part": pa.array(p[held]), "doc_id": pa.array(d[held])})
+            known.append(np.frombuffer(held, np.uint8) > 0)
+        p, d, k = np.concatenate(part), np.concatenate(doc), np.concatenate(known)
+        if table.column("bucket")[0].as_py() >= 0:
+            order = np.argsort(p, kind="stable")
+            p, d, k = p[order], d[order], k[order]
+            same = p[1:] == p[:-1]
+            k = k | np.append(same, False) | np.insert(same, 0, False)
+        return pa.table({"part": pa.array(p[k]), "doc_id": pa.array(d[k])})
 
     return packed.groupBy("bucket").applyInArrow(run, "part long, doc_id long")
 
 
+def apart(rows: DataFrame, value: str) -> DataFrame:
+    """(part, leader) of the parts whose rows differ in ``value``, leader the least; combined before the shuffle."""
+    ends = rows.groupBy("part").agg(F.min(value).alias("leader"), F.max(value).alias("_last"))
+    return ends.filter("leader <> _last").drop("_last")
+
+
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """Per document: n_shingles and component_id, the smallest doc_id reachable by links."""
     docs = id_text(docs)
@@ -345,9 +378,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     rows = met(signed(own, size, percent, int(total // BUCKET) + 1))
     rows = rows.join(nodes.groupBy(F.col("node").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
-    group = W.partitionBy("part")
-    rows = rows.withColumn("leader", F.min("doc_id").over(group)).withColumn("last", F.max("doc_id").over(group))
-    shared = materialise(rows.filter("leader <> last").drop("last"))
+    # a join and no window: a part that any share of all documents has can be split
+    rows = materialise(rows)
+    shared = materialise(rows.join(apart(rows, "doc_id").hint("merge"), "part"))
     wanted = shared.select("doc_id").distinct()
     texts = materialise(own.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
@@ -363,8 +396,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
 
     # then groups that still hold different components; groups of the same sets are one
     known = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
-    mixed = known.withColumn("low", F.min("comp").over(group)).withColumn("high", F.max("comp").over(group)).filter("low <> high")
-    mixed = materialise(mixed.select("part", "doc_id", "n_shingles", "comp"))
+    known = materialise(known.select("part", "doc_id", "n_shingles", "comp"))
+    mixed = materialise(known.join(apart(known, "comp").drop("leader").hint("merge"), "part"))
     same = mixed.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("g"), F.sum("n_shingles").alias("total"))
     same = same.groupBy("n", "h", "g", "total").agg(F.min("part").alias("part")).select("part", F.ceil(F.col("total") * 2 / CHUNK).alias("chunks"))
     held = mixed.join(same, "part").withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks"))

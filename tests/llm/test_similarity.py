@@ -2,10 +2,12 @@
 
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from loomspace.llm import similarity
 from loomspace.llm._graph import components
@@ -107,6 +109,57 @@ def test_parts_lose_no_link():
             assert set(parts.signatures(a).tolist()) & set(parts.signatures(b).tolist())
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_small_sets_meet_without_empty_parts(percent):
+    """Every two small sets that link share a signature, and unrelated ones form no large group."""
+    r = np.random.default_rng(percent)
+    parts = similarity.Parts(percent)
+    for n in range(1, 25):
+        for _ in range(60):
+            a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = a
+            for _ in range(int(r.integers(0, 6))):
+                b = np.setdiff1d(b, r.choice(b, 1)) if r.random() < 0.5 and len(b) > 1 else np.unique(np.append(b, r.integers(0, 1 << 63, 1, dtype=np.uint64)))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                assert set(parts.signatures(a).tolist()) & set(parts.signatures(b).tolist())
+    seen = Counter(x for _ in range(3000) for x in set(parts.signatures(np.unique(r.integers(0, 1 << 63, int(r.integers(8, 13)), dtype=np.uint64))).tolist()))
+    assert max(seen.values()) == 1
+
+
+def test_short_texts_against_all_pairs(spark):
+    r = random.Random(4)
+    docs = []
+    for _ in range(60):
+        base = [f"u{r.randrange(10**6)}" for _ in range(r.randrange(3, 16))]
+        for _ in range(3):
+            own = list(base)
+            if r.random() < 0.7:
+                own[r.randrange(len(own))] = "z"
+            docs.append((len(docs), " ".join(own)))
+    check(spark, docs)
+
+
+def test_one_near_copy_in_every_batch(spark):
+    """A part that all documents have sends a row a batch to its bucket, and still joins all of them."""
+    r = random.Random(6)
+    base = [f"v{r.randrange(10**6)}" for _ in range(200)]
+    docs = [(1000 - k, " ".join([*base, f"n{k}"])) for k in range(60)] + [(2000 + k, " ".join(f"x{k}y{j}" for j in range(50))) for k in range(20)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        check(spark, docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_text(spark):
+    r = random.Random(7)
+    words = [f"w{r.randrange(10**5)}" for _ in range(60_000)]
+    near = list(words)
+    near[500] = "other"
+    check(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:30_000]))])
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)]
