@@ -6,7 +6,8 @@ first, each time onto the pack with the most room left, as counts of packing pat
 patterns go back to the pieces by rank: the r-th piece of a length takes the r-th slot of that length.
 
 Defined results: null or empty text is the single end id; a text of any length is cut at every ``length`` ids, the last
-piece being the rest; repeated rows are packed like any others; an empty table gives no rows; other columns are ignored.
+piece being the rest; repeated rows are packed like any others; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from ._shared import id_text, materialise
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-SHARES = 256  #: parts in which the pieces of one length are ranked; bounds the offsets table at length * SHARES rows
+SHARES = 64  #: parts at least, in which the pieces of one length are ranked
+SHARE = 100_000  #: pieces of a length in a part, about; the offsets table has a row a part
 
 
 class Tokens:
@@ -137,14 +139,16 @@ def pack(cut: DataFrame, length: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, ...), which are written once before."""
     spark = cut.sparkSession
     cut = materialise(cut)
-    counts = cut.groupBy("length", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SHARES)).alias("share")).count()
-    counts = materialise(counts)  # at most length * SHARES rows
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # as many rows as a sequence has tokens
     keys, sequence, offset = slots(patterns(histogram, length))
+    shares = F.array(*(F.lit(max(SHARES, histogram.get(k, 0) // SHARE)) for k in range(length + 1)))
+    share = F.pmod(F.xxhash64("doc_id", "start"), F.get(shares, F.col("length").cast("int")))
+    counts = materialise(cut.groupBy("length", share.alias("share")).count())
     before = W.partitionBy("length").orderBy("share").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select("length", "share", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(W.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = cut.withColumn("share", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SHARES))).withColumn("rank", rank)
+    ranked = cut.withColumn("share", share).withColumn("rank", rank)
+    # at most length * SHARES rows, and one more for SHARE pieces
     ranked = ranked.join(F.broadcast(base), ["length", "share"]).withColumn("rank", F.col("rank") + F.col("base"))
     names = [c for c in cut.columns]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"

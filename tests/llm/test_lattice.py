@@ -68,6 +68,53 @@ def test_scores(spark):
     assert lattice.score(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
 
 
+def segmentations(text, weights, longest=20):
+    """Every segmentation as (log weight, pieces)."""
+    if not text:
+        yield 0.0, ()
+        return
+    for k in range(1, min(len(text), longest) + 1):
+        if text[:k] in weights:
+            for w, rest in segmentations(text[k:], weights, longest):
+                yield w + weights[text[:k]], (text[:k], *rest)
+    if text[0] not in weights:
+        own = tuple(f"<0x{b:02X}>" for b in text[0].encode())
+        for w, rest in segmentations(text[1:], weights, longest):
+            yield w + sum(weights[p] for p in own), (*own, *rest)
+
+
+def test_scores_are_the_enumerated_ones(spark):
+    """Each score from all segmentations of all words, one by one: expected uses over training words, weights, probabilities."""
+    docs = [(k, f"{a} {b}\t{a.upper()}") for k, (a, b) in enumerate([("ab", "cat"), ("dog", "éa"), ("thin", "ab"), ("梦", "x1"), ("cat", "cab")] * 6)]
+    docs += [(100, None), (101, "unseen cat"), (102, "q")]
+    start = lattice.start_weights(lattice.vocabulary(MODEL))
+    out = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    uses, ends = Counter(), sum(not out(d) for d, _ in docs)
+    for word, n in Counter(w for d, t in docs if not out(d) for w in words(t)).items():
+        every = list(segmentations("▁" + word, start))
+        total = sum(math.exp(w) for w, _ in every)
+        for w, pieces in every:
+            for p in pieces:
+                uses[p] += n * math.exp(w) / total
+    whole = math.log(sum(uses.values()) + lattice.PRIOR + ends + 1)
+    weights = {p: math.log(uses[p] + lattice.PRIOR * math.exp(w)) - whole for p, w in start.items()}
+    end = math.log(ends + 1) - whole
+    frame = spark.createDataFrame([(*d, 1, 2, 3, 4) for d in docs], "doc_id long, text string, word int, n int, block int, score int")
+    rows = lattice.score(frame, MODEL).collect()
+    assert len(rows) == len(docs) and sum(x.held_out for x in rows)
+    for x in rows:
+        want = (sum(math.log(enumerated("▁" + w, weights)) for w in words(dict(docs)[x.doc_id])) + end) / math.log(10)
+        assert math.isclose(x.score, want, rel_tol=1e-9)
+
+
+def test_long_text(spark):
+    text = "the cat " * 300_000
+    x = lattice.score(spark.createDataFrame([(1, text), (2, "the cat")], "doc_id long, text string"), MODEL).collect()
+    by = {r.doc_id: r for r in x}
+    assert by[1].n_tokens == 600_001 and by[1].score < 1000 * by[2].score < 0
+
+
 def test_training_helps_held_out_text(spark, tmp_path):
     docs = [(k, " ".join(f"{a}{b}" for a in ("ber", "lin", "gen") for b in ("tor", "ab")[: 1 + k % 2])) for k in range(300)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")

@@ -77,6 +77,65 @@ def test_patterns_hold_every_piece(histogram):
     assert len(keys) == sum(len(p) for p, _ in packs) and (np.diff(keys) > 0).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=300))
+def test_patterns_are_the_plain_packing(sizes):
+    """Piece by piece and longest first: those of one length go on the packs with the most room, one each, then on the same packs
+    again, then on new ones."""
+    room = []
+    for size in sorted(set(sizes), reverse=True):
+        n = sizes.count(size)
+        own = sorted((k for k in range(len(room)) if room[k] >= size), key=room.__getitem__, reverse=True)[:n]
+        for k in own:
+            room[k] -= size
+        n -= len(own)
+        while n:
+            k = max(own, key=room.__getitem__, default=None)
+            if k is not None and room[k] >= size:
+                room[k] -= size
+                n -= 1
+            else:
+                fit = min(n, 64 // size)
+                room.append(64 - fit * size)
+                n -= fit
+                if n and room[-1] >= size:
+                    own.append(len(room) - 1)
+    packs = packing.patterns(Counter(sizes), 64)
+    assert sum(n for _, n in packs) == len(room)
+    left = Counter()
+    for pack, n in packs:
+        left[64 - sum(pack)] += n
+    assert left == Counter(room)
+
+
+def test_pieces_of_one_length_in_many_shares(spark, monkeypatch):
+    """Ranks are gapless over the shares of a length: every sequence is filled from 0 without a gap and no piece is lost."""
+    monkeypatch.setattr(packing, "SHARE", 20)
+    monkeypatch.setattr(packing, "SHARES", 3)
+    docs = [(k, "the cat sat on the mat " * (1 + k % 5)) for k in range(900)] + [(3, "a " * 9000)] * 2
+    clash = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], DOC + ", share int, rank int, base int")
+    rows = packing.pack_documents(clash, BPE, length=64).collect()
+    by = {}
+    for x in rows:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert sorted(by) == list(range(len(by)))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 64
+    packs = packing.patterns(Counter(x.length for x in rows), 64)
+    assert len(by) == sum(n for _, n in packs)
+
+
+@pytest.mark.parametrize("n", [999_999, 1_000_001])
+def test_long_texts_are_encoded_alike(n):
+    text = ("The quick brown fox's 12 jumps! " * (n // 32 + 1))[:n]
+    tokens = _tokens()
+    assert tokens(text) == tokens.exact.encode(text, add_special_tokens=False).ids
+
+
 @given(st.text(st.characters(max_codepoint=0x24F), max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_fast_encoding_is_the_same(text):
