@@ -7,6 +7,11 @@
 5. packing: the pieces of the documents that are left, in sequences.
 
 All stages but the last return the columns of documents. Rows keep their other columns whatever they are called.
+
+Defined results: documents with a null or empty text have no words and go in stage 1; an empty table passes every stage as an
+empty table, and without labels or benchmark items only the base rules decide and nothing is contaminated; of repeated
+rows of one id the least stays after stage 2, rows without an id are documents of their own; ties go to the smaller id; texts of
+any length are read whole in every stage.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspace.llm import decontamination, packing, quality, secrets, similarity
@@ -45,8 +51,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the group's smallest id; rows without an id stay."""
     found = similarity.jaccard_components(docs, size=5, percent=80)
-    leave = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(leave.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    leave = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id"))
+    # whole rows as one column, so that no name can clash
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
+    left = rows.filter("id is not null").join(leave.hint("merge"), "id", "left_anti")
+    # of rows of one id the least; the join has brought them together
+    least = W.partitionBy("id").orderBy(F.struct(*(f"row.`{c}`" for c, kind in docs.dtypes if "map<" not in kind)))
+    left = left.withColumn("nth", F.row_number().over(least)).filter("nth = 1")
+    return left.select("row.*").union(docs.filter("doc_id is null"))
 
 
 @stage
