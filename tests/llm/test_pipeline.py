@@ -90,3 +90,40 @@ def test_run(spark, tables):
     out = cp.run(spark, path)
     one = out.agg(F.sum("length").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     assert one.d > 30 and one.n == out.groupBy("doc_id").agg(F.max("doc_tokens").alias("t")).agg(F.sum("t").alias("t")).first().t
+
+
+def written(spark, path, docs, schema, items=(), labels=()):
+    spark.createDataFrame(docs, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_empty_tables_pass_every_stage(spark, tmp_path):
+    path = written(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, path).collect() == []
+    assert cp.run(spark, path).collect() == []
+
+
+def test_long_texts_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """Every stage reads a long text whole: a passage and a secret at its end count; of rows of one id one stays."""
+    r = random.Random(2)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    long, item = text(150_000), text(12)
+    docs = [(1, long + " token=abcdef12"), (2, text(80)), (2, "a" + text(80)), (3, text(100_000) + " " + item), (None, text(70)), (None, text(70)), (4, None), (5, "")]
+    clash = ["part", "kept", "gram", "run", "share", "row", "h1", "_nth", "_rest", "bucket", "item"]
+    rows = [(i, t, "en", "s", len(t or ""), *range(len(clash))) for i, t in docs]
+    path = written(spark, tmp_path, rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clash), [(1, item)])
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, frame, path)
+        assert out.columns == frame.columns
+        frame = spark.createDataFrame(out.collect(), frame.schema)
+    got = frame.collect()
+    assert sorted((x.doc_id or 0) for x in got) == [0, 0, 1, 2] and all(list(x)[5:] == list(range(len(clash))) for x in got)
+    by = {x.doc_id: x.text for x in got}
+    assert by[1] == long + " " + cp.MARK and by[2] == min(docs[1][1], docs[2][1])
+    packed = cp.STAGES[4][1](spark, frame, path).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert all(x.n == x.t for x in packed if x.doc_id is not None)
