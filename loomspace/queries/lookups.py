@@ -16,7 +16,7 @@ from ..plans import weights as ws
 from ..sources import tables as t
 from . import register
 from .graphs import knn, knn_sql
-from .search import PAIRS, S, SIM, SPACES, TOP, scores, shown
+from .search import PAIRS, S, s_sql, scores, shown, SIM, SPACES, TOP
 from .sparse import docs
 from .vectors import M, asked
 
@@ -94,11 +94,24 @@ def pairs(spark, d):
     return g.select("query_id", "memory_id", *(F.round(c, 6).alias(c) for c in ("mean", "high", "low", "product", "weighted")))
 
 
-@register("search_matrix_presets", S + ", p AS (SELECT query_id, memory_id, " + ", ".join(f"greatest(0, max(sim) FILTER (WHERE space = '{s}')) AS {s}" for s in SPACES) + " FROM s GROUP BY ALL), x AS (SELECT query_id, memory_id, 'identity' AS preset, (E1 + E5 + E7 + E8 + E9 + E10) / 6 AS score FROM p UNION ALL SELECT query_id, memory_id, 'semantic', (E1 + 0.5 * E10) / 1.5 FROM p UNION ALL SELECT query_id, memory_id, 'code', (E7 + 0.5 * E1) / 1.5 FROM p) SELECT preset, query_id, memory_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY preset, query_id ORDER BY score DESC, memory_id) AS n FROM x) WHERE n <= 5")
+# Predefined search matrices; spaces that no vector stands in for are left out.
+MATRICES = {
+    "identity": {(s, s): 1.0 for s in (*SPACES, "E11")},
+    "semantic_focused": {("E1", "E1"): 1.0, ("E5", "E5"): 0.3, ("E1", "E5"): 0.2, ("E5", "E1"): 0.2},
+    "code_heavy": {("E7", "E7"): 1.0, ("E1", "E1"): 0.3, ("E1", "E7"): 0.2, ("E7", "E1"): 0.2},
+    "balanced": {(s, s): 0.1 for s in ("E1", "E5", "E7", "E8", "E9", "E10", "E11")},
+    "entity_focused": {("E11", "E11"): 1.0, ("E1", "E1"): 0.4, ("E8", "E8"): 0.3},
+}
+
+
+def _matrix_sql(m):
+    return "(" + " + ".join(f"{x!r}::DOUBLE * {i if i == j else f'sqrt({i} * {j})'}" for (i, j), x in m.items()) + f") / {sum(m.values())!r}"
+
+
+@register("search_matrix_presets", s_sql((*SPACES, "E11")) + ", p AS (SELECT query_id, memory_id, " + ", ".join(f"greatest(0, max(sim) FILTER (WHERE space = '{s}')) AS {s}" for s in (*SPACES, "E11")) + " FROM s GROUP BY ALL), x AS (" + " UNION ALL ".join(f"SELECT query_id, memory_id, '{n}' AS preset, {_matrix_sql(m)} AS score FROM p" for n, m in MATRICES.items()) + ") SELECT preset, query_id, memory_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY preset, query_id ORDER BY score DESC, memory_id) AS n FROM x) WHERE n <= 5")
 def presets(spark, d):
-    made = {"identity": {(s, s): 1.0 for s in SPACES}, "semantic": {("E1", "E1"): 1.0, ("E10", "E10"): 0.5}, "code": {("E7", "E7"): 1.0, ("E1", "E1"): 0.5}}
-    s = scores(spark, d)
-    x = [fusion.top(fusion.matrix_score(s, m), 5).withColumn("preset", F.lit(n)) for n, m in made.items()]
+    s = scores(spark, d, (*SPACES, "E11"))
+    x = [fusion.top(fusion.matrix_score(s, m), 5).withColumn("preset", F.lit(n)) for n, m in MATRICES.items()]
     return reduce(DataFrame.unionByName, x).select("preset", "query_id", "memory_id", F.round("score", 6).alias("score"))
 
 

@@ -52,6 +52,12 @@ class Store:
         """The newest live version of every memory."""
         return curation.live(curation.latest(self.table("memories"), "memory_id", "version"), self.table("tombstones"))
 
+    def as_of(self, at) -> DataFrame:
+        """The newest version by ``at`` of every memory that had no tombstone by then."""
+        when = F.lit(at).cast("timestamp")
+        known = self.table("memories").filter(F.col("created_at") <= when)
+        return curation.live(curation.latest(known, "memory_id", "version"), self.table("tombstones").filter(F.col("deleted_at") <= when))
+
     def lookup(self, ids: list[int]) -> DataFrame:
         return self.memories().filter(F.col("memory_id").isin([int(i) for i in ids]))
 

@@ -81,6 +81,29 @@ def test_pairs_over_all_blocks(spark, block):
     assert [(-x.score, x.a, x.b) for x in graph.scan_pairs(frame, "E1", best=20, block=block).collect()] == best
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_leader_clusters_are_the_greedy_ones(spark, seed):
+    r = random.Random(seed)
+    ids = r.sample(range(200), 50)
+    pairs = [tuple(r.sample(ids, 2)) for _ in range(70)] + [(ids[0], ids[0])]
+    near = {frozenset(p) for p in pairs}
+    want, taken = {}, set()
+    for i in sorted(ids):
+        if i not in taken:
+            own = [i] + [j for j in ids if j not in taken and j != i and frozenset((i, j)) in near]
+            want |= {j: i for j in own}
+            taken |= set(own)
+    nodes = spark.createDataFrame([(i,) for i in ids], "memory_id long")
+    got = {x.node: x.leader for x in graph.leader_clusters(nodes, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == want
+    assert graph.leader_clusters(nodes.limit(0), spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_scan_clusters(spark):
+    got = QUERIES["scan_clusters"](spark, DATA).toPandas()
+    assert got.memory_id.is_unique and (got.leader <= got.memory_id).all() and set(got.leader) <= set(got.memory_id)
+
+
 def test_density_is_the_same_at_either_size(spark, monkeypatch):
     r = np.random.default_rng(3)
     centres = r.normal(size=(6, 8))
