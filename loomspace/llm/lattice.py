@@ -12,7 +12,7 @@ and go back to the block, so no document-level pairs are shuffled and no word li
 piece and totals reach the driver.
 
 Defined results: null or empty text is the end alone; a null id counts as the empty text and so is held out; repeated rows each get
-their own result; an empty table gives no rows; other columns are ignored. Words meet by 64-bit hashes.
+their own result; texts of any length are scored whole; an empty table gives no rows; other columns are ignored, whatever their names. Words meet by 61-bit hashes.
 """
 
 from __future__ import annotations

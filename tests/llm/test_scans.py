@@ -565,3 +565,16 @@ def test_keys_straight_after_an_equals_sign():
             assert (len(before), len(before) + len(key), kind) in secrets.structures(text, set(secrets.MAY))
             assert key not in secrets.redact(__import__("pyarrow").array([text]))[0]
     assert list(secrets.structures("K=" + "M" * 60 + " K=" + "AAA" * 20, set(secrets.MAY))) == []
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    """Scans read doc_id and text alone, whatever else a table holds, and an empty table gives no rows."""
+    names = ("n_words", "spans", "items", "labels", "score", "row", "part", "of", "item", "n_hit", "contaminated")
+    docs = [(1, "All rights reserved one two three token=abcdef12"), (1, "All rights reserved one two three token=abcdef12"), (2, None)]
+    table = spark.createDataFrame([(*d, *range(len(names))) for d in docs], DOC + "".join(f", {n} int" for n in names))
+    items = spark.createDataFrame([(1, "one two three", 5, 6)], "item_id long, text string, part int, of int")
+    for rows in (licences.scan(table), secrets.scan(table), decontamination.decontaminate(table, items), decontamination.decontaminate(table, items, block_bytes=1)):
+        plain = [tuple(x) for x in rows.collect()]
+        assert sorted(x[0] for x in plain) == [1, 1, 2] and len(set(plain)) == 2
+    assert {x.doc_id: x.n_hit for x in decontamination.decontaminate(table, items).collect()} == {1: 3, 2: 0}
+    assert licences.scan(frame(spark, [])).collect() == [] and secrets.scan(frame(spark, [])).collect() == []
