@@ -136,5 +136,5 @@ def merged(spark, d):
     mb = members(spark, d)
     tp = topics.synthesise(mb)
     p = topics.profiles(tp, mb).groupBy("topic").agg(F.map_from_entries(F.collect_list(F.struct("space", "strength"))).alias("p")).join(tp.groupBy("topic").agg(F.count("*").alias("size")), "topic")
-    into = topics.merge([(r.topic, r.size, [r.p.get(s, 0.0) for s in ws.SPACES]) for r in p.collect()])  # few topics
-    return spark.createDataFrame(sorted(into.items()), "topic long, merged_into long")
+    p = p.select("topic", "size", F.array(*(F.coalesce(F.col("p")[s], F.lit(0.0)) for s in ws.SPACES)).alias("p"))
+    return topics.merged(p)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspace.operators import clustering, curation, entities, graph, metrics
+from loomspace.operators import clustering, curation, entities, graph, metrics, topics
 from tests.test_entry import DATA, QUERIES, SQL, duck, plain  # noqa: F401
 
 
@@ -99,6 +99,15 @@ def test_leader_clusters_are_the_greedy_ones(spark, seed):
     assert graph.leader_clusters(nodes.limit(0), spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_topics_merge_as_in_the_plain_version(spark):
+    r = np.random.default_rng(4)
+    centres = r.random((6, 5))
+    rows = [(int(k), int(r.integers(1, 9)), (centres[k % 6] + r.random(5) * 0.3).tolist()) for k in range(40)] + [(90, 3, [0.0] * 5), (91, 3, [0.0] * 5)]
+    got = {x.topic: x.merged_into for x in topics.merged(spark.createDataFrame(rows, "topic long, size long, p array<double>"), 0.97).collect()}
+    want = topics.merge(rows, 0.97)
+    assert got == want and 2 < len(set(want.values())) < 40
+
+
 def test_scan_clusters(spark):
     got = QUERIES["scan_clusters"](spark, DATA).toPandas()
     assert got.memory_id.is_unique and (got.leader <= got.memory_id).all() and set(got.leader) <= set(got.memory_id)
