@@ -51,9 +51,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """Unit vector; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    """Unit vector; a zero vector stays. The norm is taken once, as the element of an outer array, and not once a component."""
+    return F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))[0]
 
 
 def from_distance(d: Column) -> Column:

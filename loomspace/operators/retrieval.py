@@ -1,21 +1,25 @@
 """Similarity of queries and memories per space, and the retrieval strategies over it.
 
-Queries are a stated set, broadcast in blocks of ``BLOCK``; memories are scanned once per block.
+Queries are a stated set, sent out in blocks of ``BLOCK``; memories are scanned once per block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..plans import weights as ws
-from ..sources.tables import part
+from ..sources.tables import SLICES, part
 from . import fusion
 
 BLOCK = 1000
+ROWS = 2048  # of a matrix product
 
 
 def dense(space: str, q: str = "q", m: str = "E1") -> Column:
@@ -29,51 +33,125 @@ def dense(space: str, q: str = "q", m: str = "E1") -> Column:
     return v.cosine(part(space, q), part(space, m))
 
 
+def blocks(rows: DataFrame, key: str = "query_id") -> list[DataFrame]:
+    """The rows in parts of about ``BLOCK`` keys."""
+    n = max(1, -(-rows.count() // BLOCK))
+    return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+
+
 def pairs(queries: DataFrame, memories: DataFrame) -> DataFrame:
     """Every query (query_id, q) with every memory, but not with itself."""
     asked = queries.select("query_id", "q").orderBy("query_id")
-    parts = max(1, -(-asked.count() // BLOCK))
-    split = [asked] if parts == 1 else [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k) for k in range(parts)]
-    blocks = [memories.join(F.broadcast(b), F.col("memory_id") != F.col("query_id")) for b in split]
-    return reduce(DataFrame.unionByName, blocks)
+    return reduce(DataFrame.unionByName, [memories.join(F.broadcast(b), F.col("memory_id") != F.col("query_id")) for b in blocks(asked)])
+
+
+def long(wide: DataFrame, spaces: tuple[str, ...]) -> DataFrame:
+    """(query_id, memory_id, space, sim) of rows with a query ``q`` and a memory ``E1``."""
+    wide = wide.select("query_id", "memory_id", *(dense(s).alias(s) for s in spaces))
+    return wide.select("query_id", "memory_id", F.explode(F.array(*(F.struct(F.lit(s).alias("space"), F.col(s).alias("sim")) for s in spaces))).alias("x")).select("query_id", "memory_id", "x.space", "x.sim")
 
 
 def similarities(queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...]) -> DataFrame:
     """(query_id, memory_id, space, sim) of all queries, memories and spaces."""
-    both = pairs(queries, memories.select("memory_id", "E1"))
-    wide = both.select("query_id", "memory_id", *(dense(s).alias(s) for s in spaces))
-    return wide.select("query_id", "memory_id", F.explode(F.array(*(F.struct(F.lit(s).alias("space"), F.col(s).alias("sim")) for s in spaces))).alias("x")).select("query_id", "memory_id", "x.space", "x.sim")
+    return long(pairs(queries, memories.select("memory_id", "E1")), spaces)
+
+
+def products(space: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """As ``dense``, of all rows of two matrices."""
+
+    def unit(x: np.ndarray, name: str) -> np.ndarray:
+        at, n = SLICES[name]
+        x = x[:, at - 1 : at - 1 + n]
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def mapped(q: np.ndarray, m: np.ndarray, a: str, b: str) -> np.ndarray:
+        p, o = unit(q, a), unit(m, b)
+        defined = p.any(axis=1)[:, None] & o.any(axis=1)[None]
+        return np.where(defined, (np.clip(p @ o.T, -1, 1) + 1) / 2, 0.0)
+
+    def run(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+        if space == "E5":
+            return np.clip(unit(q, "E5_cause") @ unit(m, "E5_effect").T, 0, 1)
+        two = {"E8": ("E8_source", "E8_target"), "E10": ("E10_paraphrase", "E10_context")}.get(space)
+        return np.maximum(mapped(q, m, *two), mapped(q, m, *two[::-1])) if two else mapped(q, m, space, space)
+
+    return run
+
+
+def nearest(queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...], k: int, at_least: float | None = None) -> DataFrame:
+    """(query_id, memory_id, space, sim, rank): the best k memories of every query and space, similarities rounded to 12 places.
+
+    One scan of the memories a block of queries: a batch meets the block in a matrix product a space, and only its own best k
+    are sorted and shuffled, not a row for every query and memory. A block's vectors, about ``BLOCK``, go out with the task.
+    """
+
+    def lists(block: pd.DataFrame):
+        ids, q = block["query_id"].to_numpy("int64"), np.array(block["q"].tolist(), "float64")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), ROWS):
+                    rows = batch.iloc[at : at + ROWS].sort_values("memory_id")
+                    m, own = np.array(rows["E1"].tolist(), "float64"), rows["memory_id"].to_numpy()
+                    for space in spaces:
+                        sim = np.round(products(space)(q, m), 12)
+                        sim[ids[:, None] == own[None]] = -2
+                        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # ties by id
+                        i = np.repeat(np.arange(len(ids)), best.shape[1])
+                        out = pd.DataFrame({"query_id": ids[i], "memory_id": own[best.ravel()], "space": space, "sim": sim[i, best.ravel()]})
+                        yield out[out["sim"] >= (-1 if at_least is None else at_least)]
+
+        return run
+
+    out = []
+    for part_ in blocks(queries.select("query_id", "q")):
+        block = part_.toPandas()
+        if len(block):
+            out.append(memories.select("memory_id", "E1").mapInPandas(lists(block), "query_id long, memory_id long, space string, sim double"))
+    none = memories.sparkSession.createDataFrame([], "query_id long, memory_id long, space string, sim double")
+    return fusion.top(reduce(DataFrame.unionByName, out) if out else none, k, ("query_id", "space"), "sim")
+
+
+def of_candidates(chosen: DataFrame, queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...]) -> DataFrame:
+    """(query_id, memory_id, space, sim) of chosen pairs alone; ``chosen`` has a bounded number of rows a query, so that a block of
+    them can be broadcast to the memories."""
+    asked = queries.select("query_id", "q")
+    own = [memories.select("memory_id", "E1").join(F.broadcast(chosen.join(F.broadcast(b), "query_id")), "memory_id") for b in blocks(asked)]
+    return long(reduce(DataFrame.unionByName, own), spaces)
 
 
 def single_space(queries: DataFrame, memories: DataFrame, space: str = "E1", k: int = 10, at_least: float = 0.0) -> DataFrame:
     """The best k memories in one space."""
-    scores = pairs(queries, memories.select("memory_id", "E1")).select("query_id", "memory_id", dense(space).alias("score"))
-    return fusion.top(scores.filter(F.col("score") >= at_least), k)
+    return nearest(queries, memories, (space,), k, at_least).select("query_id", "memory_id", F.col("sim").alias("score"), "rank")
 
 
-def multi_space(scores: DataFrame, weights: dict[str, float], k: int = 10, strategy: str = "weighted_rrf") -> DataFrame:
+def multi_space(queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...], weights: dict[str, float], k: int = 10, strategy: str = "weighted_rrf") -> DataFrame:
     """RRF over the best max(2k, 20) of each space selects 2k candidates; a weighted mean of similarities, with weights
     adapted to degenerate spaces, scores and orders them."""
-    lists = fusion.top(scores, max(2 * k, 20), ("query_id", "space"), "sim")
+    lists = nearest(queries, memories, spaces, max(2 * k, 20))
     chosen = fusion.top(fusion.fuse(lists, weights, strategy), 2 * k).select("query_id", "memory_id")
-    held = scores.join(chosen, ["query_id", "memory_id"])
-    return fusion.top(fusion.semantic_fusion(held, fusion.suppressed(held, weights)), k)
+    return weighed(of_candidates(chosen, queries, memories, spaces).persist(), weights, k)
 
 
-def pipeline(scores: DataFrame, weights: dict[str, float], k: int = 10, recall: dict[str, int] | None = None) -> DataFrame:
+def pipeline(queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...], weights: dict[str, float], k: int = 10, recall: dict[str, int] | None = None) -> DataFrame:
     """Recall lists per space, RRF over all of them to 3k candidates, then the weighted mean."""
-    recall = recall or {}
-    ranks = fusion.ranked(scores)
-    held = ranks.filter(F.col("rank") < ws.looked_up(F.col("space"), {s: float(n) for s, n in recall.items()}, 5000.0)).select("query_id", "memory_id").distinct()
-    again = fusion.ranked(scores.join(held, ["query_id", "memory_id"], "left_semi"))
-    chosen = fusion.top(fusion.weighted_rrf(again, weights), 3 * k).select("query_id", "memory_id")
-    own = scores.join(chosen, ["query_id", "memory_id"])
+    sizes = {s: (recall or {}).get(s, 5000) for s in spaces}
+    lists = nearest(queries, memories, spaces, max(sizes.values()))
+    held = lists.filter(F.col("rank") < ws.looked_up(F.col("space"), {s: float(n) for s, n in sizes.items()})).select("query_id", "memory_id").distinct()
+    # their similarities serve the second ranking and the scores
+    own = of_candidates(held, queries, memories, spaces).persist()
+    chosen = fusion.top(fusion.weighted_rrf(fusion.ranked(own), weights), 3 * k).select("query_id", "memory_id")
+    return weighed(own.join(chosen, ["query_id", "memory_id"]), weights, k)
+
+
+def weighed(own: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
+    """The best k candidates by the weighted mean over their defined spaces; they are read twice, so callers keep them."""
     return fusion.top(fusion.semantic_fusion(own, fusion.suppressed(own, weights)), k)
 
 
-def views(scores: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, memory_id, n_views, spaces): which spaces have a memory in their top k."""
-    lists = fusion.top(scores, k, ("query_id", "space"), "sim")
+def views(lists: DataFrame) -> DataFrame:
+    """(query_id, memory_id, n_views, spaces): which spaces have a memory in their list."""
     return lists.groupBy("query_id", "memory_id").agg(F.count_distinct("space").alias("n_views"), F.array_join(F.array_sort(F.collect_set("space")), ",").alias("spaces"))
 
 
@@ -89,16 +167,10 @@ def direction_modifier(source: Column, target: Column) -> Column:
 
 def direction(vector: Column) -> Column:
     """cause or effect by which half varies more than 1.05 times as much, else unknown."""
-    a, b = v.variance(F.slice(vector, *_at("E5_cause"))), v.variance(F.slice(vector, *_at("E5_effect")))
+    a, b = v.variance(F.slice(vector, *SLICES["E5_cause"])), v.variance(F.slice(vector, *SLICES["E5_effect"]))
     return F.when(a > 1.05 * b, "cause").when(b > 1.05 * a, "effect").otherwise("unknown")
 
 
-def _at(name: str) -> tuple[int, int]:
-    from ..sources.tables import SLICES
-
-    return SLICES[name]
-
-
 def code_similarity(sim: Column, kind: Column) -> Column:
     """E7 by query type: code to code rewards what exceeds .75, other queries count half."""
     code = F.when(sim > 0.75, fusion.capped(0.75 + 1.4 * (sim - 0.75))).otherwise(0.9 * sim)

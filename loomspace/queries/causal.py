@@ -54,8 +54,7 @@ _LONG = ", s AS (" + " UNION ALL ".join(f"SELECT query_id, memory_id, '{n}' AS s
 def multi(spark, d):
     # Weights of the four causal spaces.
     w = {"E1": 0.30, "E5": 0.35, "E8": 0.15, "E11": 0.20}
-    s = retrieval.similarities(asked(spark, d), t.vectors(spark, d), tuple(w))
-    lists = fusion.top(s, 30, ("query_id", "space"), "sim")
+    lists = retrieval.nearest(asked(spark, d), t.vectors(spark, d), tuple(w), 30)
     fused = fusion.weighted_rrf(lists, w).join(fusion.consensus(lists, tuple(w)), ["query_id", "memory_id"])
     return fusion.top(fused, 10).select("query_id", "memory_id", F.round("score", 6).alias("score"), "consensus")
 

@@ -35,6 +35,10 @@ def scores(spark, d, spaces=SPACES):
     return retrieval.similarities(asked(spark, d), t.vectors(spark, d), spaces)
 
 
+def lists(spark, d, k, spaces=SPACES):
+    return retrieval.nearest(asked(spark, d), t.vectors(spark, d), spaces, k)
+
+
 def shown(df):
     return df.select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -79,8 +83,7 @@ LISTS = ", l AS (SELECT * FROM r WHERE rank < 20)"
 
 @register("fusion_additive_rrf", S + LISTS + ", f AS (SELECT query_id, memory_id, sum(1.0::DOUBLE / (60 + rank + 1)) * CASE WHEN count(DISTINCT space) = 1 THEN 1.1 ELSE 1 END AS score, count(DISTINCT space) AS n_spaces FROM l GROUP BY ALL) SELECT query_id, memory_id, n_spaces, round(score, 6) AS score FROM f")
 def additive(spark, d):
-    lists = fusion.top(scores(spark, d), 20, ("query_id", "space"), "sim")
-    return fusion.additive_rrf(lists).select("query_id", "memory_id", "n_spaces", F.round("score", 6).alias("score"))
+    return fusion.additive_rrf(lists(spark, d, 20)).select("query_id", "memory_id", "n_spaces", F.round("score", 6).alias("score"))
 
 
 _NORM = {
@@ -117,12 +120,12 @@ MULTI = S + LISTS + ", f AS (SELECT query_id, memory_id, sum(weight / (60 + rank
 
 @register("search_multi_space", MULTI + TOP.format("g", 10))
 def multi_space(spark, d):
-    return shown(retrieval.multi_space(scores(spark, d), WEIGHTS, 10))
+    return shown(retrieval.multi_space(asked(spark, d), t.vectors(spark, d), SPACES, WEIGHTS, 10))
 
 
 @register("search_filtered_spaces", s_sql(("E1", "E7")) + MULTI[len(S):] + TOP.format("g", 10))
 def filtered(spark, d):
-    return shown(retrieval.multi_space(scores(spark, d, ("E1", "E7")), WEIGHTS, 10))
+    return shown(retrieval.multi_space(asked(spark, d), t.vectors(spark, d), ("E1", "E7"), WEIGHTS, 10))
 
 
 _PIPE = ws.PROFILES["pipeline_stage2_scoring"]
@@ -130,7 +133,7 @@ _PIPE = ws.PROFILES["pipeline_stage2_scoring"]
 
 @register("search_pipeline", s_sql().replace(table(WEIGHTS), table(_PIPE)) + ", k0 AS (SELECT DISTINCT query_id, memory_id FROM r WHERE rank < CASE WHEN space = 'E1' THEN 100 ELSE 50 END), r2 AS (SELECT query_id, memory_id, space, sim, row_number() OVER (PARTITION BY query_id, space ORDER BY sim DESC, memory_id) - 1 AS rank FROM s SEMI JOIN k0 USING (query_id, memory_id)), f AS (SELECT query_id, memory_id, sum(weight / (60 + rank + 1)) AS score FROM r2 JOIN c USING (space) WHERE weight > 0 GROUP BY ALL), k AS (SELECT query_id, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS n FROM f) WHERE n <= 30), h AS (SELECT s.* FROM s JOIN k USING (query_id, memory_id))" + SUPPRESS.format("h") + SEMANTIC.format("h") + TOP.format("g", 10))
 def pipeline(spark, d):
-    return shown(retrieval.pipeline(scores(spark, d), _PIPE, 10, {s: 100 if s == "E1" else 50 for s in SPACES}))
+    return shown(retrieval.pipeline(asked(spark, d), t.vectors(spark, d), SPACES, _PIPE, 10, {s: 100 if s == "E1" else 50 for s in SPACES}))
 
 
 @register("search_by_tokens", PAIRS + """, x AS (SELECT query_id, memory_id, list_transform(range(0, 4), lambda i: q[i * 16 + 1 : i * 16 + 16]) AS a, list_transform(range(0, 4), lambda i: e[i * 16 + 1 : i * 16 + 16]) AS b FROM w),
@@ -153,12 +156,12 @@ def rerank(spark, d):
 
 @register("compare_embedder_views", S + ", l AS (SELECT * FROM r WHERE rank < 5 AND space IN ('E1', 'E7', 'E9')) SELECT query_id, memory_id, count(DISTINCT space) AS n_views, string_agg(space, ',' ORDER BY space) AS spaces FROM l GROUP BY ALL")
 def views(spark, d):
-    return retrieval.views(scores(spark, d).filter(F.col("space").isin("E1", "E7", "E9")), 5)
+    return retrieval.views(lists(spark, d, 5, ("E1", "E7", "E9")))
 
 
 @register("embedder_agreement", S + ", l AS (SELECT * FROM r WHERE rank < 5 AND space IN ('E1', 'E7', 'E9')), n AS (SELECT query_id, memory_id, count(*) AS n FROM l GROUP BY ALL) SELECT query_id, round(count(*) FILTER (WHERE n = 3)::DOUBLE / count(*), 6) AS agreement, count(*) FILTER (WHERE n = 1) AS unique_finds FROM n GROUP BY query_id")
 def view_agreement(spark, d):
-    n = retrieval.views(scores(spark, d).filter(F.col("space").isin("E1", "E7", "E9")), 5)
+    n = retrieval.views(lists(spark, d, 5, ("E1", "E7", "E9")))
     return n.groupBy("query_id").agg(F.round(F.count(F.when(F.col("n_views") == 3, 1)) / F.count("*"), 6).alias("agreement"), F.count(F.when(F.col("n_views") == 1, 1)).alias("unique_finds"))
 
 
@@ -218,8 +221,7 @@ def synergy(spark, d):
 
 @register("perspective_coverage", S + ", l AS (SELECT * FROM r WHERE rank < 5) SELECT query_id, count(DISTINCT space) AS n_spaces, count(DISTINCT memory_id) AS n_memories, round(count(DISTINCT space) / 13.0::DOUBLE, 6) AS coverage FROM l GROUP BY query_id")
 def coverage(spark, d):
-    lists = fusion.top(scores(spark, d), 5, ("query_id", "space"), "sim")
-    return lists.groupBy("query_id").agg(F.count_distinct("space").alias("n_spaces"), F.count_distinct("memory_id").alias("n_memories"), F.round(F.count_distinct("space") / 13, 6).alias("coverage"))
+    return lists(spark, d, 5).groupBy("query_id").agg(F.count_distinct("space").alias("n_spaces"), F.count_distinct("memory_id").alias("n_memories"), F.round(F.count_distinct("space") / 13, 6).alias("coverage"))
 
 
 @register("search_code", PAIRS + f", x AS (SELECT query_id, memory_id, {SIM['E1']} AS e1, {SIM['E7']} AS e7 FROM w), y AS (SELECT query_id, memory_id, 0.6 * e1 + 0.4 * CASE WHEN e7 > 0.75 THEN least(1, 0.75 + 1.4 * (e7 - 0.75)) ELSE 0.9 * e7 END AS score FROM x)" + TOP.format("y", 10))
@@ -231,11 +233,11 @@ def code(spark, d):
 
 @register("search_robust", PAIRS + f", x AS (SELECT query_id, memory_id, {SIM['E1']} AS e1, {SIM['E9']} AS e9 FROM w), l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY e1 DESC, memory_id) AS n1, row_number() OVER (PARTITION BY query_id ORDER BY e9 DESC, memory_id) AS n9 FROM x) SELECT query_id, memory_id, round(e1, 6) AS e1, round(e9, 6) AS e9, e9 >= 0.08 AND e1 < 0.5 AS discovery FROM l WHERE n1 <= 10 OR (n9 <= 10 AND e9 >= 0.08 AND e1 < 0.5)")
 def robust(spark, d):
-    p = retrieval.pairs(asked(spark, d), t.vectors(spark, d).select("memory_id", "E1")).select("query_id", "memory_id", retrieval.dense("E1").alias("e1"), retrieval.dense("E9").alias("e9"))
-    a = fusion.ranked(p, ("query_id",), "e1").withColumnRenamed("rank", "n1")
-    b = fusion.ranked(a, ("query_id",), "e9")
+    near = lists(spark, d, 10, ("E1", "E9")).groupBy("query_id", "memory_id").agg(F.bool_or(F.col("space") == "E1").alias("dense"))
+    sims = retrieval.of_candidates(near.select("query_id", "memory_id"), asked(spark, d), t.vectors(spark, d), ("E1", "E9"))
+    both = sims.groupBy("query_id", "memory_id").agg(*(F.max(F.when(F.col("space") == x, F.col("sim"))).alias(x.lower()) for x in ("E1", "E9")))
     found = (F.col("e9") >= 0.08) & (F.col("e1") < 0.5)
-    return b.filter((F.col("n1") < 10) | ((F.col("rank") < 10) & found)).select("query_id", "memory_id", F.round("e1", 6).alias("e1"), F.round("e9", 6).alias("e9"), found.alias("discovery"))
+    return both.join(near, ["query_id", "memory_id"]).filter(F.col("dense") | found).select("query_id", "memory_id", F.round("e1", 6).alias("e1"), F.round("e9", 6).alias("e9"), found.alias("discovery"))
 
 
 @register("search_excluding_embedders", s_sql().replace(table(WEIGHTS), table(ws.without(WEIGHTS, "E7", "E5"))) + RRF + TOP.format("f", 10))

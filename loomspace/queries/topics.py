@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import vectors as v
 from ..operators import clustering, topics
 from ..plans import weights as ws
 from ..sources import tables as t
@@ -126,7 +125,7 @@ def centroids(spark, d):
 
 @register("silhouette", M + ", dd AS (SELECT a.memory_id AS mp, a.label AS cp, b.label AS cq, avg(1 - list_cosine_similarity(a.e, b.e)) AS d FROM m a JOIN m b ON a.memory_id <> b.memory_id GROUP BY ALL), ab AS (SELECT mp, cp, max(d) FILTER (WHERE cp = cq) AS a, min(d) FILTER (WHERE cp <> cq) AS b FROM dd GROUP BY mp, cp) SELECT cp AS label, count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM ab GROUP BY cp")
 def silhouette(spark, d):
-    s = clustering.silhouette(t.vectors(spark, d).withColumnRenamed("E1", "v"), "label", lambda a, b: 1 - v.cosine_raw(a, b))
+    s = clustering.silhouette(t.vectors(spark, d).withColumnRenamed("E1", "v"), "label")
     return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("silhouette"))
 
 
