@@ -45,6 +45,10 @@ def day_of_week(ts: Column) -> Column:
     return F.dayofweek(ts) - 1
 
 
+def day_name(ts: Column) -> Column:
+    return F.date_format(ts, "EEEE")
+
+
 def cyclic(a: Column, b: Column, period: int) -> Column:
     d = F.abs(a - b)
     return F.least(d, period - d)

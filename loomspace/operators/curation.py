@@ -21,6 +21,14 @@ def merged(groups: DataFrame, by: str, how: str = "union", vector: str = "v", im
     return out.withColumn("vector", v.normalised(F.col("vector"))) if how == "union" else out
 
 
+def sparse_merged(terms: DataFrame, sizes: DataFrame, by: str, how: str = "union") -> DataFrame:
+    """(by, term, w): sparse vectors (by, term, w) of a group merged into their mean over all ``sizes`` (by, n) vectors, a missing
+    term weighing 0; an intersection keeps the terms that every vector has."""
+    own = terms.groupBy(by, "term").agg(F.sum("w").alias("total"), F.count("*").alias("k")).join(sizes, by)
+    own = own if how == "union" else own.filter("k = n")
+    return own.select(by, "term", (F.col("total") / F.col("n")).alias("w"))
+
+
 def consolidation(memories: DataFrame, at_least: float, vector: str = "E1") -> DataFrame:
     """(a, b, sim): pairs of memories (memory_id, dir, vector) of a mapped cosine of ``at_least``; a cause and an effect never pair."""
     near = graph.similar_pairs(memories, vector, at_least)
@@ -61,6 +69,11 @@ BUDGET = {"divergence": 200, "cluster": 400, "single": 300, "session": 200}
 TOTAL = 1200
 
 
+def shares(total: int) -> dict[str, int]:
+    """A smaller budget divided among the categories as the whole one is, rounded down."""
+    return {c: total * n // TOTAL for c, n in BUDGET.items()}
+
+
 def budgeted(rows: DataFrame, by: str = "query_id", total: int = TOTAL, budget: dict[str, int] = BUDGET) -> DataFrame:
     """Rows chosen greedily by category order and falling priority: a row that no longer fits the total is skipped; a category's own
     budget binds all but divergence and cluster rows. A group is a query's candidates, which its searches limit."""

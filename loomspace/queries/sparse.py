@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import fusion, retrieval, sparse
 from ..plans.chunks import chunked
+from ..session import written
 from ..sources import tables as t
 from . import register
 from .search import SIM, TOP, shown
@@ -22,7 +23,7 @@ def docs(spark, d):
 
 def parts(spark, d):
     x = docs(spark, d)
-    post = sparse.postings(x)
+    post = written(sparse.postings(x))  # read for the queries, the frequencies and the recall
     return post, post.filter("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), "term", "w"), x.count()
 
 

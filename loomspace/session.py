@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -42,6 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet in the shared folder and read again, for tables that a query reads several times. The files
+    go when the driver ends."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/w-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone at exit
+        pass
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package, once per application, unless their PYTHONPATH already has it."""
     app = spark.sparkContext.applicationId
