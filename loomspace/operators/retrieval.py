@@ -113,12 +113,16 @@ def nearest(queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...], k:
     return fusion.top(reduce(DataFrame.unionByName, out) if out else none, k, ("query_id", "space"), "sim")
 
 
-def of_candidates(chosen: DataFrame, queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...]) -> DataFrame:
-    """(query_id, memory_id, space, sim) of chosen pairs alone; ``chosen`` has a bounded number of rows a query, so that a block of
-    them can be broadcast to the memories."""
+def met(chosen: DataFrame, queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """Chosen pairs (query_id, memory_id) with both vectors, q and E1; ``chosen`` has a bounded number of rows a query, so that a block
+    of them can be broadcast to the memories."""
     asked = queries.select("query_id", "q")
-    own = [memories.select("memory_id", "E1").join(F.broadcast(chosen.join(F.broadcast(b), "query_id")), "memory_id") for b in blocks(asked)]
-    return long(reduce(DataFrame.unionByName, own), spaces)
+    return reduce(DataFrame.unionByName, [memories.select("memory_id", "E1").join(F.broadcast(chosen.join(F.broadcast(b), "query_id")), "memory_id") for b in blocks(asked)])
+
+
+def of_candidates(chosen: DataFrame, queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...]) -> DataFrame:
+    """(query_id, memory_id, space, sim) of chosen pairs alone."""
+    return long(met(chosen, queries, memories), spaces)
 
 
 def single_space(queries: DataFrame, memories: DataFrame, space: str = "E1", k: int = 10, at_least: float = 0.0) -> DataFrame:
@@ -134,14 +138,14 @@ def multi_space(queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...]
     return weighed(of_candidates(chosen, queries, memories, spaces).persist(), weights, k)
 
 
-def pipeline(queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...], weights: dict[str, float], k: int = 10, recall: dict[str, int] | None = None) -> DataFrame:
-    """Recall lists per space, RRF over all of them to 3k candidates, then the weighted mean."""
+def pipeline(queries: DataFrame, memories: DataFrame, spaces: tuple[str, ...], weights: dict[str, float], k: int = 10, recall: dict[str, int] | None = None, held: int | None = None) -> DataFrame:
+    """Recall lists per space, RRF over all of them to ``held`` candidates (3k by default), then the weighted mean."""
     sizes = {s: (recall or {}).get(s, 5000) for s in spaces}
     lists = nearest(queries, memories, spaces, max(sizes.values()))
-    held = lists.filter(F.col("rank") < ws.looked_up(F.col("space"), {s: float(n) for s, n in sizes.items()})).select("query_id", "memory_id").distinct()
+    found = lists.filter(F.col("rank") < ws.looked_up(F.col("space"), {s: float(n) for s, n in sizes.items()})).select("query_id", "memory_id").distinct()
     # their similarities serve the second ranking and the scores
-    own = of_candidates(held, queries, memories, spaces).persist()
-    chosen = fusion.top(fusion.weighted_rrf(fusion.ranked(own), weights), 3 * k).select("query_id", "memory_id")
+    own = of_candidates(found, queries, memories, spaces).persist()
+    chosen = fusion.top(fusion.weighted_rrf(fusion.ranked(own), weights), held or 3 * k).select("query_id", "memory_id")
     return weighed(own.join(chosen, ["query_id", "memory_id"]), weights, k)
 
 

@@ -131,11 +131,25 @@ def filtered(spark, d):
 _PIPE = ws.PROFILES["pipeline_stage2_scoring"]
 
 
-@register("search_pipeline", s_sql().replace(table(WEIGHTS), table(_PIPE)) + ", k0 AS (SELECT DISTINCT query_id, memory_id FROM r WHERE rank < CASE WHEN space = 'E1' THEN 100 ELSE 50 END), r2 AS (SELECT query_id, memory_id, space, sim, row_number() OVER (PARTITION BY query_id, space ORDER BY sim DESC, memory_id) - 1 AS rank FROM s SEMI JOIN k0 USING (query_id, memory_id)), f AS (SELECT query_id, memory_id, sum(weight / (60 + rank + 1)) AS score FROM r2 JOIN c USING (space) WHERE weight > 0 GROUP BY ALL), k AS (SELECT query_id, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS n FROM f) WHERE n <= 30), h AS (SELECT s.* FROM s JOIN k USING (query_id, memory_id))" + SUPPRESS.format("h") + SEMANTIC.format("h") + TOP.format("g", 10))
+_PIPELINE = s_sql().replace(table(WEIGHTS), table(_PIPE)) + ", k0 AS (SELECT DISTINCT query_id, memory_id FROM r WHERE rank < CASE WHEN space = 'E1' THEN 100 ELSE 50 END), r2 AS (SELECT query_id, memory_id, space, sim, row_number() OVER (PARTITION BY query_id, space ORDER BY sim DESC, memory_id) - 1 AS rank FROM s SEMI JOIN k0 USING (query_id, memory_id)), f AS (SELECT query_id, memory_id, sum(weight / (60 + rank + 1)) AS score FROM r2 JOIN c USING (space) WHERE weight > 0 GROUP BY ALL), k AS (SELECT query_id, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS n FROM f) WHERE n <= 30), h AS (SELECT s.* FROM s JOIN k USING (query_id, memory_id))" + SUPPRESS.format("h") + SEMANTIC.format("h")
+
+
+@register("search_pipeline", _PIPELINE + TOP.format("g", 10))
 def pipeline(spark, d):
     return shown(retrieval.pipeline(asked(spark, d), t.vectors(spark, d), SPACES, _PIPE, 10, {s: 100 if s == "E1" else 50 for s in SPACES}))
 
 
+@register("search_pipeline_maxsim", _PIPELINE + """, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS n FROM g) WHERE n <= 30), x AS (SELECT query_id, memory_id, score, list_transform(range(0, 4), lambda i: q[i * 16 + 1 : i * 16 + 16]) AS a, list_transform(range(0, 4), lambda i: e[i * 16 + 1 : i * 16 + 16]) AS b FROM b JOIN w USING (query_id, memory_id)),
+ y AS (SELECT query_id, memory_id, 0.6 * score + 0.4 * list_avg(list_transform(a, lambda x: list_max(list_transform(b, lambda y: (list_cosine_similarity(x, y) + 1) / 2)))) AS score FROM x)""" + TOP.format("y", 10))
+def pipeline_maxsim(spark, d):
+    """The pipeline's candidates, blended .6 / .4 with MaxSim over the tokens."""
+    q, m = asked(spark, d), t.vectors(spark, d)
+    hits = retrieval.pipeline(q, m, SPACES, _PIPE, 30, {s: 100 if s == "E1" else 50 for s in SPACES}, 30)
+    own = retrieval.met(hits.select("query_id", "memory_id"), q, m)
+    sims = own.select("query_id", "memory_id", v.max_sim(tokens(F.col("q")), tokens(F.col("E1"))).alias("max_sim"))
+    return shown(retrieval.maxsim_rerank(hits, sims, 0.4).filter("rank < 10"))
+
+
 @register("search_by_tokens", PAIRS + """, x AS (SELECT query_id, memory_id, list_transform(range(0, 4), lambda i: q[i * 16 + 1 : i * 16 + 16]) AS a, list_transform(range(0, 4), lambda i: e[i * 16 + 1 : i * 16 + 16]) AS b FROM w),
  y AS (SELECT query_id, memory_id, list_avg(list_transform(a, lambda x: list_max(list_transform(b, lambda y: (list_cosine_similarity(x, y) + 1) / 2)))) AS score FROM x), z AS (SELECT * FROM y WHERE score >= 0.3)""" + TOP.format("z", 10))
 def by_tokens(spark, d):

@@ -109,6 +109,24 @@ def clusters(spark, d):
     return clustering.density(long)
 
 
+@register("clustered_topics")
+def clustered(spark, d):
+    """Topics from the density clusters of four spaces; noise is in no cluster and agrees with nothing. Where the vectors have
+    one cluster a space, as those of the small tables do, no space discriminates and there are no topics."""
+    m = t.vectors(spark, d)
+    part = {"E1": "E1", "E5": "E5_cause", "E7": "E7", "E10": "E10_paraphrase"}
+    long = m.select("memory_id", F.explode(F.array(*(F.struct(F.lit(s).alias("space"), t.part(p).alias("v")) for s, p in part.items()))).alias("x")).select("memory_id", "x.*")
+    return topics.synthesise(clustering.density(long).select("memory_id", "space", F.col("cluster").cast("long").alias("cluster")))
+
+
+@register("incremental_clusters", M + ", x AS (SELECT label, i, avg(e[i]) AS c FROM m, range(1, 65) r(i) WHERE memory_id % 10 <> 0 GROUP BY ALL), c AS (SELECT label, list(c ORDER BY i) AS c FROM x GROUP BY label), s AS (SELECT memory_id, c.label AS cluster, round(list_cosine_similarity(e, c.c), 9) AS sim FROM m, c WHERE memory_id % 10 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY sim DESC, cluster) AS n FROM s) SELECT memory_id, CASE WHEN sim >= 0.3 THEN cluster END AS cluster, round(sim, 6) AS sim, (SELECT count(*) FROM m WHERE memory_id % 10 = 0) >= 100 AS recluster FROM b WHERE n = 1")
+def incremental(spark, d):
+    """New memories (every tenth) beside the centroids of the others' clusters, and whether a hundred of them ask for a reclustering."""
+    m = t.vectors(spark, d).withColumnRenamed("E1", "v")
+    centres = clustering.centroids(m.filter("memory_id % 10 <> 0"), "label").select("label", "centroid")
+    return clustering.assigned(m.filter("memory_id % 10 = 0"), centres, "label", 0.3).select("memory_id", F.col("label").alias("cluster"), F.round("sim", 6).alias("sim"), "recluster")
+
+
 @register("embedder_clusters", M + ", s AS (SELECT label::BIGINT AS cluster, count(*) AS n, list(memory_id ORDER BY memory_id)[1:3] AS samples FROM m GROUP BY label) SELECT cluster, n, array_to_string(samples, ',') AS samples FROM s WHERE n >= 3")
 def embedder_clusters(spark, d):
     m = t.vectors(spark, d).select(F.col("label").cast("long").alias("cluster"), "memory_id")

@@ -111,3 +111,21 @@ def test_brief_context_keeps_its_budget(spark):
     assert curation.shares(200) == {"divergence": 33, "cluster": 66, "single": 50, "session": 33}
     got = QUERIES["brief_context"](spark, DATA).groupBy("query_id").sum("tokens").collect()
     assert got and all(x[1] <= 200 for x in got)
+
+
+def test_topics_of_density_clusters(spark):
+    r = random.Random(4)
+    blob = lambda k: [float(j == k) + r.gauss(0, 0.02) for j in range(6)]
+    rows = [(i, s, blob(i % 3)) for i in range(30) for s in ("E1", "E5", "E7")]
+    own = clustering.density(spark.createDataFrame(rows, "memory_id long, space string, v array<double>"))
+    got = {x.memory_id: x.topic for x in topics.synthesise(own.selectExpr("memory_id", "space", "cast(cluster as bigint) as cluster")).collect()}
+    assert got == {i: i % 3 for i in range(30)}
+
+
+@pytest.mark.parametrize("block", [1000, 1])
+def test_new_vectors_join_the_nearest_cluster(spark, block):
+    new = spark.createDataFrame([(1, [1.0, 0.1]), (2, [-1.0, -1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])], "memory_id long, v array<double>")
+    centres = spark.createDataFrame([("y", [0.0, 2.0]), ("x", [2.0, 0.0])], "c string, centroid array<double>")
+    got = {x.memory_id: (x.c, x.recluster) for x in clustering.assigned(new, centres, "c", 0.3, 4, block).collect()}
+    assert got == {1: ("x", True), 2: (None, True), 3: ("x", True), 4: (None, True)}  # ties by the smaller name
+    assert not any(x.recluster for x in clustering.assigned(new, centres, "c", 0.3, 5, block).collect())
