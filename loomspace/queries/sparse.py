@@ -23,7 +23,7 @@ def docs(spark, d):
 
 def parts(spark, d):
     x = docs(spark, d)
-    post = written(sparse.postings(x))  # read for the queries, the frequencies and the recall
+    post = t.spread(written(sparse.postings(x)))  # read for the queries, the frequencies and the recall
     return post, post.filter("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), "term", "w"), x.count()
 
 
