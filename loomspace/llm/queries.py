@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, lattice, licences, packing, quality, repeats, secrets, similarity, token_counts, warc
+from . import decontamination, lattice, licences, packing, quality, repeats, resampling, secrets, similarity, token_counts, url_templates, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_lm_scores": lattice.query,
     "op9_suffix_dedup": repeats.query,
     "op10_quality_rules": quality.query,
+    "op11_url_filter": url_templates.query,
+    "op12_importance_resampling": resampling.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_jaccard_join": similarity.SQL,
     "op6_warc_revisits": warc.SQL,
     "op9_suffix_dedup": repeats.SQL,
+    "op11_url_filter": url_templates.SQL,
 }
