@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, lattice, licences, packing, quality, repeats, resampling, secrets, similarity, token_counts, url_templates, warc
+from . import decontamination, lattice, licences, packing, quality, repeats, resampling, secrets, similarity, token_counts, turns, url_templates, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality.query,
     "op11_url_filter": url_templates.query,
     "op12_importance_resampling": resampling.query,
+    "op13_conversation_repair": turns.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
