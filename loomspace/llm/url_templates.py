@@ -81,7 +81,8 @@ def template(path: Column, known: Column) -> Column:
 
 def labelled(labels: DataFrame) -> DataFrame:
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
-    return labels.select(F.col("doc_id").cast("long").alias("page_id"), good.alias("good")).filter("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
+    labels = labels.filter("quality is not null and toxic is not null")
+    return labels.select(F.col("doc_id").cast("long").alias("page_id"), good.alias("good")).filter("page_id is not null").groupBy("page_id").agg(F.min("good").alias("good"))
 
 
 def tagged(pages: DataFrame, labels: DataFrame, rules=RULES, support: int = SUPPORT, percent: int = PERCENT) -> DataFrame:
