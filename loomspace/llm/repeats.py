@@ -252,17 +252,17 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.binary()]
+        types = [pa.int64(), pa.binary(), pa.bool_(), *[pa.int64()] * 3, pa.binary()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)]
         return pa.RecordBatch.from_arrays(columns, names=["part", "set", "first", "doc_id", "start", "size", "bytes"])
 
-    schema = "part long, set long, first boolean, doc_id long, start long, size long, bytes binary"
+    schema = "part long, set binary, first boolean, doc_id long, start long, size long, bytes binary"
     return docs.join(lists, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, schema)
 
 
 def unmarked(rows: DataFrame, part) -> DataFrame:
     """Segments for the sort, which need neither set nor first."""
-    return rows.select(part.alias("part"), F.lit(0).cast("long").alias("set"), F.lit(False).alias("first"), "doc_id", "run")
+    return rows.select(part.alias("part"), F.lit(None).cast("binary").alias("set"), F.lit(False).alias("first"), "doc_id", "run")
 
 
 def string_hashes(cut: DataFrame, length: int) -> DataFrame:
@@ -308,7 +308,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     inner, first = F.col("x").isNull(), F.col("nth") == 1
     mixed = first & (F.col("low") != F.col("high"))
     found = found.filter(inner | (F.col("n") > 1) | mixed)
-    found = materialise(found.select("gram", F.xxhash64("gram", "x", "y").alias("set"), inner.alias("inner"), F.when(inner, 0).otherwise(F.col("n")).alias("n"), first.alias("first"), (mixed & ~inner).alias("mixed"), "doc_id", "run"))
+    name = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("gram", "x", "y"))))  # the whole digest, so that sets of other bytes don't share a name
+    found = materialise(found.select("gram", F.when(F.col("n") > 1, name).alias("set"), inner.alias("inner"), F.when(inner, 0).otherwise(F.col("n")).alias("n"), first.alias("first"), (mixed & ~inner).alias("mixed"), "doc_id", "run"))
     gone = found.filter("inner").select("doc_id", "run")
     size = F.col("run").bitwiseAND(0xFFFFFFFF) + (length - 1)
     own = F.when(F.col("mixed"), size)

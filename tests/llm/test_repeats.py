@@ -97,6 +97,15 @@ def test_equal_digests_are_compared(spark, monkeypatch):
         repeats.compared(pa.Table.from_pylist([row, later | {"bytes": b"abd"}]), 3)
 
 
+def test_sets_of_one_64_bit_name_stay_apart(spark, monkeypatch):
+    """Copies of two strings whose gram and digests have one hash: the sets meet in one part and are told apart."""
+    constant = lambda *columns: repeats.F.lit(7).cast("long")
+    monkeypatch.setattr(repeats.F, "xxhash64", constant)
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(180)) for _ in range(3)]
+    check(spark, [(k, f"{k} {texts[k % 3]}") for k in range(12)])
+
+
 def test_copies_over_many_batches(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PART", 600)
     r = random.Random(5)
