@@ -125,3 +125,18 @@ def test_density_is_the_same_at_either_size(spark, monkeypatch):
     monkeypatch.setattr(clustering, "EXACT", 5)
     monkeypatch.setattr(clustering, "BLOCK", 30)
     assert seen() == small
+
+
+@pytest.mark.parametrize(("seed", "n"), [(0, 1), (1, 2), (2, 90), (3, 400)])
+def test_the_cut_of_a_table_is_that_of_an_array(spark, seed, n):
+    r = np.random.default_rng(seed)
+    for w in (np.round(r.random(n) * 0.01 * n, 3), np.sort(r.random(n)) * 1e-4 + 0.05, np.concatenate([r.random(n) * 0.01, 0.5 + r.random(n) * 0.01])):
+        table = spark.createDataFrame([(float(x),) for x in w], "w double").repartition(3)
+        assert clustering.table_cut(table) == pytest.approx(clustering.cut(w), abs=1e-12)
+
+
+def test_the_tree_of_a_large_space_stays_on_executors():
+    import inspect
+
+    source = inspect.getsource(clustering._large)
+    assert "toPandas" not in source and ".collect()" not in source
