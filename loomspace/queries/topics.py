@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import clustering, topics
+from ..functions import text as tx
+from ..operators import clustering, sets, topics
 from ..plans import weights as ws
+from ..session import written
 from ..sources import tables as t
 from . import register
 from .vectors import M
@@ -109,14 +111,47 @@ def clusters(spark, d):
     return clustering.density(long)
 
 
+def term_sets(spark, d):
+    """Sets of the sparse stand-ins, of documents: words (E6), pairs of neighbouring words (E13) and entities (E11)."""
+    docs = t.spread(t.read(spark, d, "documents")).select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"))
+    words = tx.words(F.col("content"))
+    two = F.transform(F.array(words), lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 1)), lambda a, b: F.concat_ws(" ", a, b)))[0]
+    return {"E6": docs.select("memory_id", words.alias("terms")), "E13": docs.select("memory_id", two.alias("terms")), "E11": docs.select("memory_id", tx.mentions(F.col("content")).alias("terms"))}
+
+
+def sparse_members(spark, d, at_least=0.5):
+    """(memory_id, space, cluster) of the sparse spaces: density clusters over Jaccard distances, beyond 1 - ``at_least`` all alike."""
+    out = None
+    for space, own in term_sets(spark, d).items():
+        members, kept = sets.classes(own)
+        pairs = sets.similar(kept, at_least).select("a", "b", F.round(1 - F.col("sim"), 12).alias("d"))
+        found = clustering.density_of_pairs(members, written(pairs)).select("memory_id", F.lit(space).alias("space"), "cluster")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@register("similar_word_sets", "WITH w AS (SELECT doc_id AS memory_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))) AS s FROM documents), c AS (SELECT s, min(memory_id) AS rep, len(s) AS n FROM w WHERE len(s) > 0 GROUP BY s), e AS (SELECT rep, n, unnest(s) AS term FROM c), p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.term = b.term AND a.rep < b.rep WHERE least(a.n, b.n) * 2 >= greatest(a.n, b.n) GROUP BY ALL) SELECT a, b, round(k::DOUBLE / (na + nb - k), 6) AS sim FROM p WHERE 2 * k >= na + nb - k")
+def similar_word_sets(spark, d):
+    """Pairs of different word sets with a Jaccard similarity of a half, each set by its smallest document."""
+    _, kept = sets.classes(term_sets(spark, d)["E6"])
+    return sets.similar(kept, 0.5).withColumn("sim", F.round("sim", 6))
+
+
+@register("sparse_clusters")
+def sparse_clusters(spark, d):
+    """Density clusters of the sparse spaces; noise is left out."""
+    return sparse_members(spark, d).filter("cluster >= 0")
+
+
 @register("clustered_topics")
 def clustered(spark, d):
-    """Topics from the density clusters of four spaces; noise is in no cluster and agrees with nothing. Where the vectors have
-    one cluster a space, as those of the small tables do, no space discriminates and there are no topics."""
+    """Topics from the density clusters of four dense and three sparse spaces; noise is in no cluster and agrees with nothing, and spaces
+    with one cluster, as the dense ones of the small tables, don't discriminate."""
     m = t.vectors(spark, d)
     part = {"E1": "E1", "E5": "E5_cause", "E7": "E7", "E10": "E10_paraphrase"}
     long = m.select("memory_id", F.explode(F.array(*(F.struct(F.lit(s).alias("space"), t.part(p).alias("v")) for s, p in part.items()))).alias("x")).select("memory_id", "x.*")
-    return topics.synthesise(clustering.density(long).select("memory_id", "space", F.col("cluster").cast("long").alias("cluster")))
+    dense = clustering.density(long).select("memory_id", "space", F.col("cluster").cast("long").alias("cluster"))
+    return topics.synthesise(written(dense.unionByName(sparse_members(spark, d))))
 
 
 @register("incremental_clusters", M + ", x AS (SELECT label, i, avg(e[i]) AS c FROM m, range(1, 65) r(i) WHERE memory_id % 10 <> 0 GROUP BY ALL), c AS (SELECT label, list(c ORDER BY i) AS c FROM x GROUP BY label), s AS (SELECT memory_id, c.label AS cluster, round(list_cosine_similarity(e, c.c), 9) AS sim FROM m, c WHERE memory_id % 10 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY sim DESC, cluster) AS n FROM s) SELECT memory_id, CASE WHEN sim >= 0.3 THEN cluster END AS cluster, round(sim, 6) AS sim, (SELECT count(*) FROM m WHERE memory_id % 10 = 0) >= 100 AS recluster FROM b WHERE n = 1")
