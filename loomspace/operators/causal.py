@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..sources.tables import part
+from .temporal import pairs_in_time
 
 ATTENUATION, LONGEST = 0.9, 10  # fixed values of chain scoring
 
@@ -69,3 +72,20 @@ def pair_score(markers: Column, same_session: Column, shorter: Column, sim: Colu
     parts = (F.when(same_session, 0.1), F.when(shorter > 100, 0.05), F.when(shorter > 300, 0.05), F.when(sim.between(0.5, 0.8), 0.1))
     raw = markers * 0.15 + 0.1 + sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+
+
+def scan_in_time(memories: DataFrame, low: int = 10, high: int = 86_400, near: tuple[float, float] = (0.5, 0.9)) -> DataFrame:
+    """(a, b, score): the scanner's pairs among memories (memory_id, user_id, s, E1, n characters, k markers), the earlier first: ``low``
+    to ``high`` seconds apart and with a cosine in ``near``. Scores are those of ``pair_score``."""
+
+    def found(a: pd.DataFrame, b: pd.DataFrame, cos: np.ndarray, ok: np.ndarray) -> pd.DataFrame:
+        cos = np.round(cos, 9)
+        i, j = np.nonzero(ok & (cos >= near[0]) & (cos <= near[1]))
+        p, q, sim = a.iloc[i], b.iloc[j], cos[i, j]
+        of = lambda c: (p[c].to_numpy(), q[c].to_numpy())
+        users = of("user_id")
+        shorter, marks = np.minimum(*of("n")), np.add(*of("k"))
+        raw = marks * 0.15 + 0.1 + 0.1 * (users[0] == users[1]) + 0.05 * (shorter > 100) + 0.05 * (shorter > 300) + 0.1 * ((sim >= 0.5) & (sim <= 0.8))
+        return pd.DataFrame({"a": p["memory_id"].to_numpy(), "b": q["memory_id"].to_numpy(), "score": np.clip(raw, 0, 1)})
+
+    return pairs_in_time(memories, "E1", low, high, found, "a long, b long, score double")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+from .neighbours import units
+
 
 def within(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
     """Rows of a closed time window; pushed below any limit, unlike a filter on finished results."""
@@ -45,3 +50,35 @@ def compare_states(turns: DataFrame, before: int, after: int) -> DataFrame:
     """Turns up to ``before`` and those in (before, after], by session."""
     early, late = F.col("seq") <= before, (F.col("seq") > before) & (F.col("seq") <= after)
     return turns.groupBy("session_id").agg(F.count(F.when(early, 1)).alias("n_before"), F.count(F.when(late, 1)).alias("n_added"), F.count_distinct(F.when(late, F.col("role"))).alias("roles_added"))
+
+
+def pairs_in_time(rows: DataFrame, vector: str, low: int, high: int, found, schema: str, block: int = 2048) -> DataFrame:
+    """Rows of ``found`` over all pairs of rows (s, vector and others) of which the second comes ``low`` to ``high`` seconds after the
+    first. It gets two blocks, the raw cosines of their vectors and which pairs count, and gives rows of ``schema``.
+
+    Rows are sorted by time over range partitions and cut into blocks of ``block`` in that order; two blocks meet, in one product and
+    one task, if their spans can hold a pair. So a time with most of the rows is as many blocks as it needs, and no day or second
+    is a key. Rows without a time meet nothing."""
+    own = rows.filter("s is not null")
+    nth = F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / block)
+    own = written(own.repartitionByRange("s", F.xxhash64(F.struct(*[c for c in own.columns if c != vector]))).sortWithinPartitions("s").withColumn("_b", F.concat_ws("-", F.spark_partition_id(), nth)))
+    spans = own.groupBy("_b").agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    step = max(1, high)
+    slots = lambda a, b: F.explode(F.sequence(F.floor(a / step), F.floor(b / step))).alias("slot")
+    one = spans.select(F.col("_b").alias("_x"), F.col("first").alias("f1"), F.col("last").alias("l1"), slots(F.col("first") + low, F.col("last") + high))
+    two = spans.select(F.col("_b").alias("_y"), F.col("first").alias("f2"), F.col("last").alias("l2"), slots(F.col("first"), F.col("last")))
+    meet = written(one.join(two, "slot").filter("l2 - f1 >= %d and f2 - l1 <= %d" % (low, high)).select("_x", "_y").distinct())
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.rename(columns={f"r_{c}": c for c in a.columns})
+        if not len(a) or not len(b):
+            return found(a, b, np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool))
+        p, q = units(a[vector]), units(b[vector])
+        gap = b["s"].to_numpy()[None] - a["s"].to_numpy()[:, None]
+        return found(a, b, np.clip(p @ q.T, -1, 1), (gap >= low) & (gap <= high))
+
+    left = own.withColumnRenamed("_b", "_x").join(meet, "_x")
+    # the same table under other names, so that the sides can be told apart
+    other = own.select(F.col("_b").alias("y_"), *(F.col(c).alias(f"r_{c}") for c in own.columns if c != "_b"))
+    right = other.join(meet.select(F.col("_x").alias("x_"), F.col("_y").alias("y_")), "y_")
+    return left.groupBy("_x", "_y").cogroup(right.groupBy("x_", "y_")).applyInPandas(run, schema)

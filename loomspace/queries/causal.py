@@ -86,13 +86,7 @@ _MARKS = " + ".join(f"contains(t, '{m}')::INT" for m in causal.CAUSE_MARKERS + c
  p AS (SELECT a.memory_id AS a, b.memory_id AS b, a.k + b.k AS k, round(list_cosine_similarity(a.e, b.e), 9) AS sim, a.user_id = b.user_id AS same, least(a.n, b.n) AS n FROM z a JOIN z b ON b.s - a.s BETWEEN 10 AND 86400)
  SELECT a, b, round(least(1, 0.15 * k + 0.1 + CASE WHEN same THEN 0.1 ELSE 0 END + CASE WHEN n > 100 THEN 0.05 ELSE 0 END + CASE WHEN n > 300 THEN 0.05 ELSE 0 END + CASE WHEN sim BETWEEN 0.5 AND 0.8 THEN 0.1 ELSE 0 END), 6)::DOUBLE AS score FROM p WHERE sim BETWEEN 0.5 AND 0.9""")
 def pair_scan(spark, d):
-    """Memories 10 seconds to a day apart with a cosine in [.5, .9], scored; days make the interval an equi-join."""
-    from ..functions import vectors as v
-
+    """Memories 10 seconds to a day apart with a cosine in [.5, .9], scored."""
     content = F.coalesce("content", F.lit(""))
     z = t.memories(spark, d).select("memory_id", "user_id", F.unix_seconds("created_at").alias("s"), "E1", F.length(content).alias("n"), causal.markers(content).alias("k"))
-    a = z.select(*(F.col(c).alias(f"{c}_a") for c in z.columns), F.explode(F.array(F.floor(F.col("s") / 86400), F.floor(F.col("s") / 86400) + 1)).alias("day"))
-    b = z.select(*(F.col(c).alias(f"{c}_b") for c in z.columns), F.floor(F.col("s") / 86400).alias("day"))
-    p = a.join(b, "day").filter((F.col("s_b") - F.col("s_a")).between(10, 86400)).withColumn("sim", F.round(2 * v.cosine(F.col("E1_a"), F.col("E1_b")) - 1, 9)).filter(F.col("sim").between(0.5, 0.9))
-    score = causal.pair_score(F.col("k_a") + F.col("k_b"), F.col("user_id_a") == F.col("user_id_b"), F.least("n_a", "n_b"), F.col("sim"))
-    return p.select(F.col("memory_id_a").alias("a"), F.col("memory_id_b").alias("b"), F.round(score, 6).alias("score"))
+    return causal.scan_in_time(z).withColumn("score", F.round("score", 6))

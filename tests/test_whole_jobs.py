@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspace.operators import clustering, curation, entities, graph, metrics, topics
+from loomspace.operators import causal, clustering, curation, entities, graph, metrics, temporal, topics
 from tests.test_entry import DATA, QUERIES, SQL, duck, plain  # noqa: F401
 
 
@@ -140,3 +140,27 @@ def test_the_tree_of_a_large_space_stays_on_executors():
 
     source = inspect.getsource(clustering._large)
     assert "toPandas" not in source and ".collect()" not in source
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_pairs_in_time_over_blocks(spark, block):
+    """Most rows in one second and one day; every pair once, whatever the blocks."""
+    r = np.random.default_rng(block)
+    times = [5_000_000] * 60 + [5_000_000 + int(x) for x in r.integers(0, 86_400, 50)] + [int(x) for x in r.integers(0, 10**7, 30)] + [None] * 3
+    rows = [(int(k), s, int(r.integers(0, 2)) if k % 5 else None, r.normal(size=3).tolist(), int(r.integers(0, 400)), int(r.integers(0, 4))) for k, s in enumerate(times)]
+    frame = spark.createDataFrame(rows, "memory_id long, s long, user_id long, E1 array<double>, n int, k int").repartition(3)
+
+    def found(a, b, cos, ok):
+        i, j = np.nonzero(ok & (np.round(cos, 9) >= 0.2))
+        assert len(a) <= block and len(b) <= block
+        return temporal.pd.DataFrame({"a": a["memory_id"].to_numpy()[i], "b": b["memory_id"].to_numpy()[j], "sim": cos[i, j]})
+
+    cos = lambda x, y: float(np.dot(x[3], y[3]) / np.linalg.norm(x[3]) / np.linalg.norm(y[3]))
+    timed = [x for x in rows if x[1] is not None]
+    near = [(x, y) for x in timed for y in timed if 10 <= y[1] - x[1] <= 86_400]
+    got = temporal.pairs_in_time(frame, "E1", 10, 86_400, found, "a long, b long, sim double", block).collect()
+    assert len(got) == len({(x.a, x.b) for x in got})
+    assert {(x.a, x.b): x.sim for x in got} == pytest.approx({(x[0], y[0]): cos(x, y) for x, y in near if round(cos(x, y), 9) >= 0.2})
+    scan = {(x.a, x.b): x.score for x in causal.scan_in_time(frame).collect()}
+    score = lambda x, y, c: min(1, 0.15 * (x[5] + y[5]) + 0.1 + 0.1 * (x[2] is not None and x[2] == y[2]) + 0.05 * (min(x[4], y[4]) > 100) + 0.05 * (min(x[4], y[4]) > 300) + 0.1 * (0.5 <= c <= 0.8))
+    assert scan == pytest.approx({(x[0], y[0]): score(x, y, round(cos(x, y), 9)) for x, y in near if 0.5 <= round(cos(x, y), 9) <= 0.9})
