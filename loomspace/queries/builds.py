@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import birch
 from ..sources import tables as t
+from ..sources.code_store import CodeStore
 from ..sources.graph_store import GraphStore
 from ..streaming import clusters
 from . import register
@@ -77,3 +78,36 @@ def stream_clusters(spark, d):
         spark.conf.set(name, before) if before else spark.conf.unset(name)
     out = spark.read.schema(clusters.OUT).parquet(f"{where}/out")
     return out.groupBy("space").agg(F.count(F.when(F.col("kind") == "insert", 1)).alias("n_inserted"), F.count(F.when(F.col("kind") == "recluster", 1)).alias("n_reclustered"))
+
+
+def code_store(spark, d):
+    """Pages as entities, in three batches: all of them, every seventh under a new name and signature, and a tenth deleted."""
+    host, number = F.regexp_extract("url", "://([^/?#]*)", 1), F.regexp_extract("url", "://[^/?#]*/([a-z]+)/([0-9]+)", 2)
+    lang = F.regexp_extract("url", "://[^/?#]*/([a-z]+)/([0-9]+)", 1)
+    rows = t.read(spark, d, "pages").select(
+        F.col("page_id").alias("id"), F.lit("page").alias("entity_type"), F.concat_ws("_", lang, number).alias("name"), F.substring("html", 1, 40).alias("code"), lang.alias("language"),
+        host.alias("file_path"), F.lit(1).cast("long").alias("line_start"), F.lit(1).cast("long").alias("line_end"), F.concat(F.lit("page("), lang, F.lit(", "), (F.length("html") % 20).cast("string"), F.lit(")")).alias("signature"))
+    store = CodeStore(spark, folder(spark))
+    store.upsert(rows, 0)
+    store.upsert(rows.filter("id % 7 = 0").withColumn("name", F.concat(F.lit("new_"), "name")).withColumn("signature", F.lit("renamed()")), 1)
+    store.upsert(rows.limit(0), 2, rows.filter("id % 10 = 3").select("id"))
+    return store
+
+
+C = r"WITH p AS (SELECT page_id AS id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*/([a-z]+)/([0-9]+)', 1) AS lang, regexp_extract(url, '://[^/?#]*/([a-z]+)/([0-9]+)', 2) AS no, length(html) % 20 AS k FROM pages WHERE page_id % 10 <> 3), c AS (SELECT id, host AS file_path, CASE WHEN id % 7 = 0 THEN 'new_' ELSE '' END || concat_ws('_', lang, no) AS name, CASE WHEN id % 7 = 0 THEN 'renamed()' ELSE 'page(' || lang || ', ' || k || ')' END AS signature FROM p)"
+
+
+@register("code_by_name_prefix", C + " SELECT id, name FROM c WHERE starts_with(name, 'en_1')")
+def code_by_name_prefix(spark, d):
+    return code_store(spark, d).by_name_prefix("en_1").select("id", "name")
+
+
+@register("code_by_signature", C + " SELECT id, name, signature FROM c WHERE signature IN ('page(en, 3)', 'renamed()')")
+def code_by_signature(spark, d):
+    store = code_store(spark, d)
+    return store.by_key("by_signature", "page(en, 3)").unionByName(store.by_key("by_signature", "renamed()")).select("id", "name", "signature")
+
+
+@register("code_files", C + " SELECT file_path, count(*) AS n FROM c GROUP BY file_path")
+def code_files(spark, d):
+    return code_store(spark, d).files()

@@ -1,9 +1,7 @@
 """A stored exact k-NN graph that takes batches of memories: the sink of an incremental graph build.
 
-Three tables of Parquet, partitioned by batch: ``memories`` (memory_id, v; null v: removed), ``lists`` (source, near: its k nearest with
-their similarities; null: removed) and ``commits``. A batch writes its memories and the lists that it changes, then its commit. Readers
-take committed batches alone, and of each memory and list the latest one. So a batch that fails midway leaves nothing that is
-read, one that is replayed after its commit is skipped, and one replayed before it overwrites its own files with the same rows.
+Two tables by batch: ``memories`` (memory_id, v; null v: removed) and ``lists`` (source, near: its k nearest with their similarities; null:
+removed). A batch writes its memories and the lists that it changes, then its commit.
 
 A batch meets the stored memories once in blocks of products: new memories find their k nearest among all, and a list takes new memories that
 beat its last. Memories whose vector changes, or that are removed, go from all lists; a list that loses one is made anew.
@@ -18,37 +16,21 @@ from pyspark.sql import functions as F
 from ..operators import neighbours
 from ..session import written
 from ..streaming import jobs
+from .batches import BatchStore
 
 MEMORIES = "memory_id long, v array<double>"
 LISTS = "source long, near array<struct<target: long, sim: double>>"
 
 
-class GraphStore:
+class GraphStore(BatchStore):
     def __init__(self, spark: SparkSession, path: str, k: int = 5):
-        self.spark, self.path, self.k = spark, path.rstrip("/"), k
-
-    def _read(self, table: str, schema: str) -> DataFrame:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-            return self.spark.createDataFrame([], f"{schema}, batch long")
-        return self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.path}/{table}")
-
-    def _write(self, rows: DataFrame, table: str, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
-
-    def committed(self) -> list[int]:
-        return sorted(r.batch for r in self._read("commits", "k int").select("batch").distinct().collect())  # a row a batch
-
-    def _latest(self, table: str, schema: str, key: str, value: str) -> DataFrame:
-        """The latest committed row of each key."""
-        own = self._read(table, schema).join(F.broadcast(self._read("commits", "k int").select("batch").distinct()), "batch")
-        return own.groupBy(key).agg(F.max_by(value, "batch").alias(value), F.max("batch").alias("batch")).filter(F.col(value).isNotNull())
+        super().__init__(spark, path)
+        self.k = k
 
     def memories(self) -> DataFrame:
         return self._latest("memories", MEMORIES, "memory_id", "v").select("memory_id", "v")
 
     def lists(self) -> DataFrame:
-        # a null list is removed: max_by takes the latest row, whatever its value
         return self._latest("lists", LISTS, "source", "near").select("source", "near")
 
     def edges(self) -> DataFrame:
@@ -90,7 +72,7 @@ class GraphStore:
         empty = renew.select(F.col("memory_id").alias("source")).join(made, "source", "left_anti").select("source", F.array().cast("array<struct<target: long, sim: double>>").alias("near"))
         self._write(rows, "memories", batch)
         self._write(made.unionByName(written(removed)).unionByName(written(empty)), "lists", batch)
-        self._write(self.spark.createDataFrame([(self.k,)], "k int").coalesce(1), "commits", batch)
+        self._commit(batch)
         return True
 
     def compact(self, path: str) -> GraphStore:
@@ -100,7 +82,7 @@ class GraphStore:
             out._write(self.memories(), "memories", batches[-1])
             out._write(self.lists(), "lists", batches[-1])
             for batch in batches:  # replays of any of them are still known
-                out._write(self.spark.createDataFrame([(self.k,)], "k int").coalesce(1), "commits", batch)
+                out._commit(batch)
         return out
 
 

@@ -50,14 +50,11 @@ def test_a_batch_without_its_commit_is_not_read_and_can_be_replayed(spark, tmp_p
     store = GraphStore(spark, str(tmp_path / "g"), 3)
     store.upsert(spark.createDataFrame(rows[:20], ROW), 0)
     before = edges(store.edges())
-    write = store._write
 
-    def broken(frame, table, batch):
-        if table == "commits":
-            raise OSError("lost")
-        write(frame, table, batch)
+    def broken(batch):
+        raise OSError("lost")
 
-    store._write = broken
+    store._commit = broken
     with pytest.raises(OSError):
         store.upsert(spark.createDataFrame(rows[20:], ROW), 1)
     again = GraphStore(spark, store.path, 3)
