@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import birch
+from ..plans import chunks
 from ..sources import tables as t
 from ..sources.code_store import CodeStore
 from ..sources.graph_store import GraphStore
@@ -111,3 +113,13 @@ def code_by_signature(spark, d):
 @register("code_files", C + " SELECT file_path, count(*) AS n FROM c GROUP BY file_path")
 def code_files(spark, d):
     return code_store(spark, d).files()
+
+
+@register("code_chunk_lines", "SELECT page_id, len(string_split(html, chr(10))) AS lines, length(regexp_replace(html, '[ \\t\\n\\r\\f\\v]', '', 'g')) AS characters, true AS in_order FROM pages WHERE length(regexp_replace(html, '[ \\t\\n\\r\\f\\v]', '', 'g')) > 0")
+def code_chunk_lines(spark, d):
+    """Chunks of the pages' markup: together they are all lines and characters, in order."""
+    pages = t.spread(t.read(spark, d, "pages")).select("page_id", "html", F.lit("javascript").alias("kind"))
+    own = chunks.chunked_code(pages, "page_id", "html", "kind")
+    before = F.lag("line_end").over(W.partitionBy("page_id").orderBy("chunk"))
+    own = own.withColumn("ok", F.col("line_start") == F.coalesce(before, F.lit(0)) + 1)
+    return own.groupBy("page_id").agg(F.max("line_end").alias("lines"), F.sum("characters").alias("characters"), F.bool_and("ok").alias("in_order"))
