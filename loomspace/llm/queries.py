@@ -26,4 +26,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc_revisits": warc.SQL,
     "op9_suffix_dedup": repeats.SQL,
     "op11_url_filter": url_templates.SQL,
+    "op12_importance_resampling": resampling.SQL,
+    "op13_conversation_repair": turns.SQL,
 }

@@ -257,3 +257,42 @@ def resampled(docs: DataFrame, target: DataFrame, share: int = SHARE, least_word
 
 def query(spark, sf_dir: str) -> DataFrame:
     return resampled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: The query in SQL, with every feature as a string and its CRC-32 by a table.
+SQL = r"""
+WITH crc AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)
+), texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, true AS raw FROM documents
+  UNION ALL
+  SELECT NULL, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), false FROM benchmark
+), runs AS MATERIALIZED (
+  SELECT r, doc_id, raw, len(w) AS n, list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS f FROM texts
+), each AS MATERIALIZED (
+  SELECT r, raw, feature, count(*) AS n FROM (SELECT r, raw, unnest(f) AS feature FROM runs) GROUP BY ALL
+), hashed AS (
+  SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM each)
+), buckets AS MATERIALIZED (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hashed, crc
+), counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE raw), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT raw), 0) AS t FROM each JOIN buckets USING (feature) GROUP BY bucket
+), totals AS (
+  SELECT sum(s)::DOUBLE + 10000 AS s, sum(t)::DOUBLE + 10000 AS t FROM counts
+), gains AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((c.t::DOUBLE + 1) * totals.s / ((c.s::DOUBLE + 1) * totals.t)))::BIGINT AS gain FROM counts c, totals
+), sums AS (
+  SELECT r, sum(gain * n) AS g FROM each JOIN buckets USING (feature) JOIN gains USING (bucket) WHERE raw GROUP BY r
+), scored AS (
+  SELECT doc_id, n AS n_words, len(f) AS n_features, CASE WHEN len(f) > 0 THEN floor(g / len(f))::BIGINT ELSE 0 END AS weight,
+    ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM runs LEFT JOIN sums USING (r) WHERE raw
+), noised AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored
+), fit AS (
+  SELECT count(*) * 25 // 100 AS most FROM noised WHERE n_words >= 20
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS k FROM noised
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= most THEN k END AS rank, n_words FROM ranked, fit
+"""

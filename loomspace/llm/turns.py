@@ -285,3 +285,64 @@ def repaired(conversations: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return _solved(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), False)
+
+
+#: The query in SQL: CRC-32 by a table, costs by a recursion from the last turn, edits by one from the first.
+SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), acts AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda c: ord(c)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS act FROM named, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE act WHEN 4 THEN 'user' ELSE role END AS role, CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE act WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM acts WHERE act <> 0
+), placed AS (
+  SELECT conv_id, turn, role, text, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), counted AS (
+  SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) AS nth FROM placed
+), faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial FROM counted
+), turns AS MATERIALIZED (
+  SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more,
+    CASE WHEN i > 1 AND lag(initial) OVER (PARTITION BY g ORDER BY i) || initial NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal FROM faults
+), sizes AS MATERIALIZED (
+  SELECT g, any_value(conv_id) AS conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, sum(illegal)::BIGINT AS illegal FROM turns GROUP BY g
+), costs AS (
+  SELECT g, n AS i, [0, 6, 3, 0] AS b FROM sizes
+  UNION ALL
+  SELECT g, i, [least(x[1], u + 3), least(x[2], u + 3), u, a] FROM (
+    SELECT g, i, x, least(x[3], x[4] + 3) AS u, least(x[4], x[3] + 3) AS a FROM (
+      SELECT c.g, c.i - 1 AS i, [
+        least(b[1] + 4, CASE WHEN NOT gone THEN more + least(CASE initial WHEN 's' THEN b[2] WHEN 'u' THEN b[3] END, b[3] + 3) END),
+        least(b[2] + 4, CASE WHEN NOT gone THEN more + least(CASE initial WHEN 'u' THEN b[3] END, b[3] + 3) END),
+        least(b[3] + 4, CASE WHEN NOT gone THEN more + least(CASE initial WHEN 'a' THEN b[4] END, b[4] + 3) END),
+        least(b[4] + 4, CASE WHEN NOT gone THEN more + least(CASE initial WHEN 'u' THEN b[3] END, b[3] + 3) END)] AS x
+      FROM costs c JOIN turns t ON t.g = c.g AND t.i = c.i))
+), held AS MATERIALIZED (SELECT * FROM costs
+), trace AS (
+  SELECT g, n, 0::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS said, 0 AS spoken FROM sizes
+  UNION ALL
+  SELECT g, n, CASE op WHEN 'I' THEN i ELSE i + 1 END, CASE op WHEN 'D' THEN q WHEN 'K' THEN kept ELSE fresh END, audit || op,
+    CASE op WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) WHEN 'I' THEN list_append(said, speaker || ':') ELSE list_append(said, speaker || ':' || text) END,
+    spoken + CASE WHEN op = 'D' OR (op = 'K' AND kept = 2) THEN 0 ELSE 1 END
+  FROM (
+    SELECT *, CASE WHEN i < n AND nb[q] + 4 = b[q] THEN 'D' WHEN i = n OR b[fresh] + 3 = b[q] THEN 'I' WHEN NOT gone AND kept IS NOT NULL AND nb[kept] + more = b[q] THEN 'K' ELSE 'R' END AS op,
+      CASE spoken % 2 WHEN 0 THEN 'user' ELSE 'assistant' END AS speaker
+    FROM (
+      SELECT k.*, h.b, h2.b AS nb, t.gone, t.more, t.role, t.text, CASE q WHEN 3 THEN 4 ELSE 3 END AS fresh,
+        CASE WHEN q = 1 AND t.initial = 's' THEN 2 WHEN q <> 3 AND t.initial = 'u' THEN 3 WHEN q = 3 AND t.initial = 'a' THEN 4 END AS kept
+      FROM trace k JOIN held h ON h.g = k.g AND h.i = k.i LEFT JOIN held h2 ON h2.g = k.g AND h2.i = k.i + 1 LEFT JOIN turns t ON t.g = k.g AND t.i = k.i + 1
+      WHERE k.i < k.n OR k.q IN (2, 3)))
+), found AS (
+  SELECT conv_id, gaps, blank, duplicate, truncated, illegal, h.b[1]::BIGINT AS cost, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256
+  FROM trace k JOIN sizes USING (g) JOIN held h ON h.g = k.g AND h.i = 0 WHERE k.i = k.n AND k.q IN (1, 4)
+)
+SELECT o.id AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id AS id FROM conversations) o LEFT JOIN found ON found.conv_id IS NOT DISTINCT FROM o.id
+"""
