@@ -42,8 +42,7 @@ G = M + ", g AS (" + " UNION ALL ".join(f"SELECT source, target, '{s}' AS space,
 
 
 def graphs(spark, d):
-    x = [knn(spark, d, s).withColumn("space", F.lit(s)) for s in ("E1", "E7", "E9", "E11")]
-    return x[0].unionByName(x[1]).unionByName(x[2]).unionByName(x[3])
+    return graph.knn_spaces(t.vectors(spark, d), K, {s: t.SLICES[s] for s in ("E1", "E7", "E9", "E11")}, F.col("E1"))
 
 
 @register("unified_neighbors", G + ", r AS (SELECT *, row_number() OVER (PARTITION BY source, space ORDER BY round(sim, 12) DESC, target) AS n FROM g), w(space, w) AS (VALUES ('E1', 0.35), ('E7', 0.21), ('E9', 0.02), ('E11', 0.0)), x AS (SELECT source AS query_id, target AS memory_id, sum(w::DOUBLE / (n + 60)) AS score FROM r JOIN w USING (space) WHERE source % 100 = 0 AND w > 0 GROUP BY ALL)" + TOP.format("x", 10))
