@@ -2,7 +2,8 @@
 
 Candidates are base64 or hex runs. Each is decoded and reported only if it is private key material by its structure: DER by
 nested tags and lengths and the fields of PKCS#1, PKCS#8 (plain and encrypted), SEC1 and DSA private keys, OpenSSH
-private keys by their length-prefixed fields, signed tokens by a JSON header that names an algorithm. Public keys,
+private keys by their length-prefixed fields, OpenPGP secret keys by their packets, signed tokens by a JSON header that names an algorithm.
+Armour counts with line breaks escaped as in JSON, quoted or commented lines, and bare base64 in either alphabet. Public keys,
 certificates and other DER are no secrets and aren't reported. An armoured body with encryption headers is ciphertext:
 its headers and its whole blocks are checked. Beside these, base kinds are reported as they match: assign, access and hex.
 
@@ -34,18 +35,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 # Candidates of the structural kinds.
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----[ \t]*\r?\n?((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+# a JSON object begins with a brace and a quote or white space: eyJ, eyA, ew0, ewo, ewk
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+# line breaks may be escaped, as in JSON, and lines may be quoted, commented out or concatenated
+BREAK = r"(?:\\r|\\n|[\s>#*|\"',+\\])"
+ARMOUR = re.compile(rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----({BREAK}*+(?:[A-Za-z][A-Za-z0-9-]*:(?:(?!\\r|\\n)[^\r\n])*+(?:\\r|\\n|[\r\n])++{BREAK}*+)*+)((?:[A-Za-z0-9+/=_]|{BREAK})++)-----END \1-----")
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P][A-Za-z0-9+/]|b3B)[A-Za-z0-9+/]{37,}={0,2}")
+ENCODED_URL = re.compile(r"(?<![A-Za-z0-9_-])(?:M[A-P][A-Za-z0-9_-]|b3B)[A-Za-z0-9_-]{37,}={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 #: kind -> what a text must hold, as one RE2 pattern each
 MAY = {
     "assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
-    "signed": r"eyJ[A-Za-z0-9_-]{8,}\.",
-    "armour": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----",
+    "signed": r"e[yw][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.",
+    "armour": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----",
     "encoded": r"(?:M[A-P][A-Za-z0-9+/]|b3B)[A-Za-z0-9+/]{37}",
+    "encoded_url": r"(?:M[A-P][A-Za-z0-9_-]|b3B)[A-Za-z0-9_-]{37}",
     "hex_der": r"30[0-9A-Fa-f]{38}",
 }
 # Object identifiers of the encryptions of private keys (PBES2, and the arcs of PBES1 and PKCS#12).
@@ -163,19 +169,78 @@ def ciphered(headers: str, body: bytes | None) -> bool:
     return kind == "4,ENCRYPTED" and bool(re.fullmatch(r"[0-9A-Fa-f]{16,64}", salt)) and bool(body) and len(body) >= 32 and len(body) % block == 0
 
 
+def packets(data: bytes) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of OpenPGP packets, if they fill ``data``; lengths of unknown extent don't count."""
+    out, at = [], 0
+    while at < len(data):
+        head, at = data[at], at + 1
+        if not head & 0x80 or at >= len(data):
+            return None
+        if head & 0x40:
+            tag, size, n = head & 0x3F, data[at], 1
+            if 192 <= size < 224 and at + 1 < len(data):
+                size, n = (size - 192 << 8) + data[at + 1] + 192, 2
+            elif size == 255:
+                size, n = int.from_bytes(data[at + 1 : at + 5], "big"), 5
+            elif size >= 224:
+                return None
+        else:
+            tag, n = head >> 2 & 0xF, (1, 2, 4, 0)[head & 3]
+            if not n:
+                return None
+            size = int.from_bytes(data[at : at + n], "big")
+        at += n
+        if at + size > len(data):
+            return None
+        out.append((tag, at, at + size))
+        at += size
+    return out
+
+
+def pgp_private(body: str) -> bool:
+    """Whether an armoured body is a block of OpenPGP packets that begins with a secret key: its version, and a public-key algorithm; a
+    checksum of 24 bits, where there is one, holds."""
+    main, mark, check = body.rstrip("=").rpartition("=") if re.search(r"=[A-Za-z0-9+/]{4}$", body) else (body, "", "")
+    data = decoded(main.rstrip("="))
+    if not data or not (own := packets(data)):
+        return False
+    if mark:
+        crc = 0xB704CE
+        for byte in data:
+            crc ^= byte << 16
+            for _ in range(8):
+                crc = crc << 1 ^ (0x1864CFB if crc & 0x800000 else 0)
+        if decoded(check) != crc.to_bytes(3, "big"):
+            return False
+    tag, start, end = own[0]
+    known = end - start > 6 and data[start] in (3, 4, 5, 6)
+    algorithm = data[start + (7 if known and data[start] == 3 else 5)] if known and end - start > 7 else 0
+    return tag == 5 and known and algorithm in (1, 2, 3, 16, 17, 18, 19, 22, 25, 26, 27, 28)
+
+
 def structures(text: str, may: set[str]) -> Iterator[tuple[int, int, str]]:
     """Confirmed spans (start, end, kind) of one text."""
     if "signed" in may:
         yield from ((*m.span(), "signed_token") for m in SIGNED.finditer(text) if signed(m[1]) and decoded(m[2], True) is not None)
     if "armour" in may:
         for m in ARMOUR.finditer(text):
-            body = decoded(re.sub(r"\s+", "", m[3]))
-            if kind := key_kind(body) or ("encrypted" if m[2] and ciphered(m[2], body) else None):
+            text_body = re.sub(BREAK, "", m[3])
+            if m[1].endswith("BLOCK"):
+                if pgp_private(text_body):
+                    yield *m.span(), "pgp_private"
+                continue
+            body = decoded(text_body, "_" in text_body)
+            headers = re.sub(r"\\r|\\n", "\n", m[2])
+            if kind := key_kind(body) or ("encrypted" if ":" in headers and ciphered(re.sub(rf"(?m)^{BREAK}+", "", headers), body) else None):
                 yield *m.span(), f"pem_{kind}"
     if "encoded" in may:
         for m in ENCODED.finditer(text):
             if kind := key_kind(decoded(m[0])):
                 yield *m.span(), f"base64_{kind}"
+    if "encoded_url" in may:
+        for m in ENCODED_URL.finditer(text):
+            if ("-" in m[0] or "_" in m[0]) and (kind := key_kind(decoded(m[0], True))):
+                yield *m.span(), f"base64_{kind}"
     if "hex_der" in may:
         for m in HEX_DER.finditer(text):
             data = bytes.fromhex(m[0][: min(len(m[0]), 2 * LONGEST) // 2 * 2])

@@ -449,7 +449,60 @@ def test_encrypted_armour():
     assert kinds(armour(OPENSSH, "OPENSSH PRIVATE KEY")) >= {"pem_openssh"}
 
 
+def pgp(packet, checksum=True):
+    crc = 0xB704CE
+    for byte in packet:
+        crc ^= byte << 16
+        for _ in range(8):
+            crc = crc << 1 ^ (0x1864CFB if crc & 0x800000 else 0)
+    body = base64.b64encode(packet).decode()
+    lines = "\n".join(body[k : k + 64] for k in range(0, len(body), 64))
+    tail = "\n=" + base64.b64encode(crc.to_bytes(3, "big")).decode() if checksum else ""
+    return f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: X 1.0\n\n{lines}{tail}\n-----END PGP PRIVATE KEY BLOCK-----"
+
+
+@pytest.mark.parametrize("name", PRIVATE)
+def test_forms_of_armour(name):
+    """Escaped as in JSON, quoted, commented out, concatenated, indented and in the other alphabet."""
+    data = PRIVATE[name]
+    plain = armour(data)
+    forms = {
+        "json": plain.replace("\n", "\\n"), "windows json": plain.replace("\n", "\\r\\n"), "mail": "\n".join("> " + x for x in plain.split("\n")),
+        "twice quoted": "\n".join(">> " + x for x in plain.split("\n")), "comment": "\n".join("# " + x for x in plain.split("\n")), "block comment": "\n".join(" * " + x for x in plain.split("\n")),
+        "source": "\n".join(f'"{x}\\n" +' for x in plain.split("\n")), "env": 'KEY="' + plain.replace("\n", "\\n") + '"', "crlf": plain.replace("\n", "\r\n"), "indented": plain.replace("\n", "\n    "),
+    }
+    for form, text in forms.items():
+        assert "pem_der" in kinds(f"x {text} y"), form
+        assert "-----BEGIN" not in secrets.redact(pa.array([f"x {text} y"]))[0], form
+    url = base64.urlsafe_b64encode(data).decode().rstrip("=")
+    assert kinds(f"x {url} y") == {"base64_der"}
+    for other in OTHER.values():
+        text = armour(other).replace("\n", "\\n") + " " + base64.urlsafe_b64encode(other).decode()
+        assert not kinds(text)
+
+
+def test_openpgp_blocks():
+    key = bytes([4]) + b"\0\0\0\1" + bytes([22]) + bytes(range(60))
+    old, new, long = b"\x95" + len(key).to_bytes(2, "big") + key, b"\xc5" + bytes([len(key)]) + key, b"\xc5\xff" + len(key).to_bytes(4, "big") + key
+    user = b"\xcd\x03abc"
+    for packet in (old, new, long, new + user):
+        assert kinds(pgp(packet)) == {"pgp_private"} and kinds(pgp(packet, False)) == {"pgp_private"}
+        assert kinds(pgp(packet).replace("\n", "\\n")) == {"pgp_private"}
+    public = b"\xc6" + bytes([len(key)]) + key
+    for packet in (public, new[:-1], user + new, b"\xc5\x03\x04ab", bytes(80)):
+        assert not kinds(pgp(packet))
+    assert not kinds(pgp(new).replace("\n=", "\n=A", 1))
+
+
+def test_long_runs_stay_linear():
+    for text in ("-----BEGIN " + "A" * 200_000, "-----BEGIN PRIVATE KEY-----" + "\\n> a: b" * 50_000, "-----BEGIN PRIVATE KEY-----" * 3_000, "ey" + "A" * 300_000 + ".", "M" + "A-" * 200_000):
+        assert not kinds(text)
+
+
 def test_signed_tokens():
+    for header in ('{ "alg": "HS256" }', '{\n  "alg": "none"}', '{\t"typ":"JWT","alg":"RS256"}', '{\r\n"alg":"x"}'):
+        token = base64.urlsafe_b64encode(header.encode()).decode().rstrip("=") + ".e30.c2ln"
+        assert kinds(f"x {token} y") == {"signed_token"}
     part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
     token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 1})}.c2ln"
     assert kinds(f"x {token} y") == {"signed_token"}
