@@ -43,7 +43,7 @@ def keyword_boost(word: Column) -> Column:
     return F.greatest(F.lit(0.5), F.least(F.lit(2.0), b))
 
 
-# Markers of code and of programming languages.
+# Markers of code and of programming languages, a selection.
 CODE = ("fn ", "def ", "class ", "import ", "return ", "->", "=>", "::", "();", "{}")
 LANGUAGES = {"rust": ("fn ", "let mut", "impl "), "python": ("def ", "import ", "self."), "javascript": ("function ", "const ", "=>"), "go": ("func ", ":=", "package ")}
 

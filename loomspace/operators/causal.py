@@ -38,21 +38,60 @@ def prediction(e1: Column, e5: Column) -> Column:
     return F.least(F.lit(1.0), (0.8 * e1 + 0.2 * e5) * 1.2)
 
 
-# Phrases that ask for causes or effects.
-CAUSE_PHRASES = ("why", "what caused", "because", "reason for", "due to", "root cause", "led to")
-EFFECT_PHRASES = ("what happens", "effect of", "result of", "consequence", "impact of", "leads to", "what if")
+# Phrases that ask for causes, for effects, and words that negate what follows.
+# fmt: off
+CAUSE_PHRASES = (
+    "why ", "why?", "what cause", "what causes", "what caused", "reason for", "reasons for", "reason behind", "because of what", "due to what",
+    "what led to", "what leads to", "explain why", "how come", "diagnose", "root cause", "investigate", "debug", "troubleshoot", "trigger",
+    "source of", "origin of", "culprit", "underlying", "responsible for", "attributed to", "blame", "how did", "where did", "when did",
+    "failure mode", "etiology", "pathogenesis", "root of", "is attributed to", "driven by", "is mediated by", "contributes to", "accounts for",
+    "determines the", "influences the", "regulates the", "was caused by", "resulted from", "stems from", "arises from", "originates from",
+    "derives from", "emerged from", "factor in", "factors in", "basis of", "basis for", "driving force", "primary driver", "key driver", "depends on",
+    "dependent on", "contingent on", "conditional on", "prerequisite for", "causation", "causal mechanism", "causal factor", "antecedent",
+    "precursor", "precipitating factor", "determinant of", "mechanism underlying", "pathways leading to", "factors influencing",
+    "variables affecting", "predictors of", "correlates of", "we hypothesize that", "our hypothesis is", "posit that", "we propose that",
+    "we suggest that", "molecular basis of", "regulatory mechanisms", "signaling cascade", "feedback loop", "upstream regulator",
+    "transcriptional control", "epigenetic modification", "gene expression", "protein interaction", "independent variable", "controlled experiment",
+    "manipulated variable", "treatment group", "intervention study", "causes ", "what drives", "drives ", " via ", "by what pathway",
+    "through what mechanism", "by what causal",
+)
+EFFECT_PHRASES = (
+    "what happen", "what will happen", "what would happen", "consequence of", "consequences of", "result of", "results of", "effect of", "effects of",
+    "impact of", "outcome of", "if i ", "if you ", "what does it do", "what will it do", "then what", "leads to", "lead to", "led to", "downstream",
+    "cascades to", "cascading", "propagates to", "ripple effect", "side effect", "collateral", "knock-on", "ramifications", "predict", "forecast",
+    "anticipate", "expect", "prognosis", "complications", "sequelae", "results in", "result in", "resulted in", "causes an increase",
+    "causes a decrease", "produces a decrease", "induces changes", "initiates the process", "as a consequence", "as a result", "consequently",
+    "therefore", "hence", "thus", "accordingly", "brings about", "gives rise to", "culminates in", "eventuates in", "manifests as",
+    "correlation with", "associated with", "linked to", "related outcome", "secondary effect", "tertiary effect", "downstream effect", "will lead to",
+    "will result in", "would cause", "could result", "might lead to", "likely to cause", "implications of", "repercussions of", "aftermath of",
+    "fallout from", "phenotypic outcome", "downstream target", "end result", "clinical manifestation", "observable effect", "measurable outcome",
+    "functional consequence", "biological response", "physiological change", "statistically significant", "p-value indicates", "confidence interval",
+    "significant difference", "significant increase", "significant decrease", "dose-response relationship", "therapeutic effect", "adverse outcome",
+    "treatment outcome", "clinical outcome", "dependent variable", "outcome measure", "response variable", "experimental outcome", "study endpoint",
+    "causes ", "how does this affect", "how will this affect", "what changes when", "how does this impact", "what is the result",
+    "what are the effects", "what are the consequences", "what's the impact", "results from", "outcomes of", "what follows", "follows from",
+    "affect ", "cascade ", "escalate ",
+)
+NEGATIONS = (
+    "not ", "no ", "never ", "n't ", "neither ", "without ", "cannot ", "can't ", "won't ", "doesn't ", "don't ", "isn't ",
+)
+# fmt: on
+NEGATED = 15  #: characters before a phrase in which a negation counts
 
 
 def phrase_count(text: Column, phrases: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    return sum((low.contains(p).cast("int") for p in phrases), F.lit(0))
+    """How many of the phrases a lower-case text holds whose first place isn't negated."""
+    place = lambda p: F.call_function("locate", p, text)
+    before = lambda p: F.substr(text, F.greatest(F.lit(1), place(p) - NEGATED), F.least(F.lit(NEGATED + 1), place(p)))
+    negated = lambda p: F.exists(F.array(*map(F.lit, NEGATIONS)), lambda n: F.contains(before(p), n))
+    return F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: (place(p) > 0) & ~negated(p)))
 
 
 def intent(text: Column) -> Column:
-    """cause, effect or unknown: which kind of phrase is asked for more often; a negated question asks for neither."""
-    c, e = phrase_count(text, CAUSE_PHRASES), phrase_count(text, EFFECT_PHRASES)
-    negated = F.lower(text).rlike("\\b(not|never|no)\\b[^.?!]{0,20}\\b(caus|effect|reason)")
-    return F.when(negated | (c == e), "unknown").when(c > e, "cause").otherwise("effect")
+    """cause, effect or unknown: which kind of phrase is held more often; cause if both are equally often, but not none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    c, e = phrase_count(low, CAUSE_PHRASES), phrase_count(low, EFFECT_PHRASES)
+    return F.when((c >= e) & (c > 0), "cause").when(e > c, "effect").otherwise("unknown")
 
 
 # Phrases of the scanner that speak of causes and of effects.

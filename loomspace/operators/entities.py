@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as v
 
-# Known names and their types.
+# Known names and their types, a selection.
 KNOWN = {"python": "language", "rust": "language", "spark": "framework", "postgres": "database", "linux": "system", "apache": "organisation", "mit": "organisation", "gnu": "organisation"}
 # Relations and their inverses.
 RELATIONS = {"uses": "used_by", "depends_on": "required_by", "part_of": "contains", "causes": "caused_by", "related_to": "related_to", "implements": "implemented_by"}

@@ -73,7 +73,14 @@ def chain(spark, d):
     return graph.greedy_path(edges, m.filter("memory_id % 100 = 0"), 5).withColumn("score", F.round("score", 6))
 
 
-@register("causal_intent", "WITH x AS (SELECT doc_id AS memory_id, lower(text) AS t FROM documents), y AS (SELECT memory_id, t, " + " + ".join(f"contains(t, '{p}')::INT" for p in causal.CAUSE_PHRASES) + " AS c, " + " + ".join(f"contains(t, '{p}')::INT" for p in causal.EFFECT_PHRASES) + " AS e FROM x) SELECT memory_id, CASE WHEN regexp_matches(t, '\\b(not|never|no)\\b[^.?!]{0,20}\\b(caus|effect|reason)') OR c = e THEN 'unknown' WHEN c > e THEN 'cause' ELSE 'effect' END AS intent FROM y")
+def _held(phrases) -> str:
+    """The SQL of ``phrase_count`` of a column t."""
+    words = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    before = f"substr(t, greatest(1, instr(t, p) - {causal.NEGATED}), least({causal.NEGATED + 1}, instr(t, p)))"
+    return f"len(list_filter({words(phrases)}, lambda p: instr(t, p) > 0 AND len(list_filter({words(causal.NEGATIONS)}, lambda n: contains({before}, n))) = 0))"
+
+
+@register("causal_intent", f"WITH x AS (SELECT doc_id AS memory_id, lower(coalesce(text, '')) AS t FROM documents), y AS (SELECT memory_id, {_held(causal.CAUSE_PHRASES)} AS c, {_held(causal.EFFECT_PHRASES)} AS e FROM x) SELECT memory_id, CASE WHEN c >= e AND c > 0 THEN 'cause' WHEN e > c THEN 'effect' ELSE 'unknown' END AS intent FROM y")
 def intent(spark, d):
     return t.read(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), causal.intent(F.col("text")).alias("intent"))
 

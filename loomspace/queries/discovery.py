@@ -12,7 +12,7 @@ from . import register
 from .search import S, scores
 from .vectors import M, asked
 
-# Phrases that ask for a link's source or its target, and markers of links.
+# Phrases that ask for a link's source or its target, and markers of links, a selection.
 SOURCE = ("what uses", "what depends on", "who calls", "imported by", "required by")
 TARGET = ("what does", "depends on what", "calls what", "imports", "requires")
 MARKERS = ("uses", "calls", "imports", "extends", "depends")
