@@ -6,34 +6,41 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import fusion, graph, retrieval
+from ..plans import markers
 from ..plans import weights as ws
 from ..sources import tables as t
 from . import register
 from .search import S, scores
 from .vectors import M, asked
 
-# Phrases that ask for a link's source or its target, and markers of links, a selection.
+# Phrases that ask for a link's source or its target, a selection.
 SOURCE = ("what uses", "what depends on", "who calls", "imported by", "required by")
 TARGET = ("what does", "depends on what", "calls what", "imports", "requires")
-MARKERS = ("uses", "calls", "imports", "extends", "depends")
+MARKERS = tuple(w for words in markers.GRAPH.values() for w in words)
 
 
 def _count(words, column="t"):
     return " + ".join(f"contains({column}, '{w}')::INT" for w in words)
 
 
-@register("graph_pair_scan", M + f""", y AS (SELECT memory_id, e, coalesce(lower(text), '') AS t, length(coalesce(text, '')) AS n FROM m LEFT JOIN documents ON doc_id = memory_id), z AS (SELECT memory_id, e, n, {_count(MARKERS)} AS k FROM y),
+@register("graph_pair_scan", M + f""", y AS (SELECT memory_id, e, coalesce(lower(text), '') AS t, length(coalesce(text, '')) AS n FROM m LEFT JOIN documents ON doc_id = memory_id), z AS (SELECT memory_id, e, n, {markers.counted_sql(MARKERS)} AS k FROM y),
  p AS (SELECT a.memory_id AS a, b.memory_id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS sim, a.k + b.k AS k, least(a.n, b.n) AS n FROM z a JOIN z b ON a.memory_id < b.memory_id),
  s AS (SELECT a, b, round(least(1, least(0.4, 0.1 * k) + CASE WHEN n > 100 THEN 0.05 ELSE 0 END + CASE WHEN n > 300 THEN 0.05 ELSE 0 END + CASE WHEN sim BETWEEN 0.4 AND 0.8 THEN 0.1 ELSE 0 END), 6)::DOUBLE AS score FROM p WHERE sim BETWEEN 0.3 AND 0.95)
  SELECT a, b, score FROM s WHERE score >= 0.2 ORDER BY score DESC, a, b LIMIT 100""")
 def graph_scan(spark, d):
     """The scanner's 100 best candidates for a link over all pairs of memories with a cosine in [.3, .95]."""
-    low = F.lower(F.coalesce("content", F.lit("")))
-    marks = sum((low.contains(m).cast("int") for m in MARKERS), F.lit(0))
-    z = t.memories(spark, d).select("memory_id", "E1", marks.alias("marks"), F.length(F.coalesce("content", F.lit(""))).alias("n"))
+    z = t.memories(spark, d).select("memory_id", "E1", markers.all_markers(F.col("content")).alias("marks"), F.length(F.coalesce("content", F.lit(""))).alias("n"))
     return graph.scan_pairs(z, "E1").select("a", "b", F.round("score", 6).alias("score"))
 
 
+@register("suspected_types", "WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), y AS (SELECT doc_id, unnest([" + ", ".join(f"{{'type': '{k}', 'n': {markers.counted_sql(w)}}}" for k, w in markers.GRAPH.items()) + "]) AS z FROM x) SELECT doc_id, z.type AS type, z.n::BIGINT AS n FROM y WHERE z.n > 0")
+def suspected_types(spark, d):
+    """The types of relationship that a document's words suggest, with the number of markers."""
+    docs = t.spread(t.read(spark, d, "documents"))
+    types = F.array(*(F.struct(F.lit(k).alias("type"), markers.counted(F.col("text"), w).cast("long").alias("n")) for k, w in markers.GRAPH.items()))
+    return docs.select("doc_id", F.explode(types).alias("x")).filter("x.n > 0").select("doc_id", "x.type", "x.n")
+
+
 @register("scan_clusters")
 def scan_clusters(spark, d):
     """The scanner's clusters: leaders in the order of ids, each with the memories left at a cosine in [.3, .95] of it."""
