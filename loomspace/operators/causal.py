@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..session import written
 from ..sources.tables import part
+from .neighbours import across
 from .temporal import pairs_in_time
 
 ATTENUATION, LONGEST = 0.9, 10  # fixed values of chain scoring
@@ -128,3 +132,25 @@ def scan_in_time(memories: DataFrame, low: int = 10, high: int = 86_400, near: t
         return pd.DataFrame({"a": p["memory_id"].to_numpy(), "b": q["memory_id"].to_numpy(), "score": np.clip(raw, 0, 1)})
 
     return pairs_in_time(memories, "E1", low, high, found, "a long, b long, score double")
+
+
+def effect_chains(memories: DataFrame, starts: DataFrame, at_least: float = 0.5, longest: int = LONGEST) -> DataFrame:
+    """(start, hop, memory_id, sim): from each start's vector (start, v) the memory (memory_id, cause, effect) whose cause is nearest by raw
+    cosine, then from that one's effect the next that isn't in the chain yet, while the cosine is ``at_least``; ties by the smaller id.
+
+    A hop is one product of all chains' ends with all causes: of each end's hop + 1 nearest, one at least is new."""
+    causes = written(memories.filter("memory_id is not null").select("memory_id", F.col("cause").alias("v"), "effect"))
+    ends = written(starts.select("start", "v", F.array().cast("array<bigint>").alias("seen")))
+    out = []
+    for hop in range(1, longest + 1):
+        near = across(ends.select(F.col("start").alias("memory_id"), "v"), causes.select("memory_id", "v"), hop, itself=True)
+        near = near.select(F.col("source").alias("start"), F.col("target").alias("memory_id"), F.round(2 * F.col("sim") - 1, 9).alias("sim")).filter(F.col("sim") >= at_least)
+        fresh = ends.select("start", "seen").join(near, "start").filter(~F.array_contains("seen", F.col("memory_id")))
+        best = fresh.groupBy("start").agg(F.min(F.struct((-F.col("sim")).alias("less"), "memory_id", "seen")).alias("b")).select("start", F.col("b.memory_id").alias("memory_id"), (-F.col("b.less")).alias("sim"), "b.seen")
+        step = written(best.join(causes.select("memory_id", "effect"), "memory_id"))
+        if step.isEmpty():
+            break
+        out.append(step.select("start", F.lit(hop).alias("hop"), "memory_id", "sim"))
+        ends = step.select("start", F.col("effect").alias("v"), F.concat("seen", F.array("memory_id")).alias("seen"))
+    none = memories.sparkSession.createDataFrame([], "start long, hop int, memory_id long, sim double")
+    return reduce(DataFrame.unionByName, out) if out else none

@@ -119,8 +119,9 @@ def nn_descent(memories: DataFrame, k: int, vector: Column, pool: int = 30, roun
     return best(lists, k)
 
 
-def across(left: DataFrame, right: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(source, target, sim): the exact k nearest rows of ``right`` for each of ``left``, both (memory_id, v), but not itself.
+def across(left: DataFrame, right: DataFrame, k: int, block: int = 2048, itself: bool = False) -> DataFrame:
+    """(source, target, sim): the exact k nearest rows of ``right`` for each of ``left``, both (memory_id, v), but not the one of its own
+    id unless ``itself``.
 
     Both sides are dealt into blocks; a pair of blocks is a matrix product and a task's work, of which k rows a row of the left
     block are shuffled."""
@@ -137,7 +138,8 @@ def across(left: DataFrame, right: DataFrame, k: int, block: int = 2048) -> Data
             return pd.DataFrame({"source": [], "target": [], "sim": []}).astype({"source": "int64", "target": "int64"})
         x, z, i, j = units(p["v"]), units(q["v"]), p["memory_id"].to_numpy(), q["memory_id"].to_numpy()
         sim = mapped(x @ z.T, x.any(axis=1)[:, None] & z.any(axis=1)[None])
-        sim[i[:, None] == j[None]] = -1
+        if not itself:
+            sim[i[:, None] == j[None]] = -1
         order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
         at = np.repeat(np.arange(len(i)), order.shape[1])
         out = pd.DataFrame({"source": i[at], "target": j[order.ravel()], "sim": sim[at, order.ravel()]})

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from . import fusion
+from .retrieval import ROWS, blocks
 
 # Six groups of the 13 spaces (from 0), four runs of them, and three domains of groups.
 GROUPS = {"factual": (0, 11, 12), "temporal": (1, 2, 3), "causal": (4, 6), "relational": (7, 10), "qualitative": (8, 9), "implementation": (5,)}
@@ -28,6 +30,52 @@ def strategy_scores(a: Column, b: Column) -> dict[str, Column]:
     return {"cosine": profile, "euclidean": 1 / (1 + v.euclidean(a, b)), "grouped": 0.6 * groups + 0.4 * profile, "correlated": 0.75 * correlation + 0.25 * profile}
 
 
+def components(p: np.ndarray) -> list[np.ndarray]:
+    """Unit rows of profiles, of their 78 correlations and of their six group means; rows without length stay 0."""
+    i, j = np.triu_indices(13, 1)
+    parts = p, np.sqrt(np.maximum(p[:, i] * p[:, j], 0)), np.stack([p[:, list(ks)].mean(1) for ks in GROUPS.values()], 1)
+    return [np.divide(x, n, out=np.zeros_like(x), where=n > 0) for x in parts for n in [np.linalg.norm(x, axis=1, keepdims=True)]]
+
+
+def retrieved(queries: DataFrame, memories: DataFrame, k: int = 10, at_least: float = 0.3, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), group: str | None = None) -> DataFrame:
+    """(query_id, memory_id, score, profile, correlation, grouped, rank): the best k memories (memory_id, profile) of each query (query_id,
+    profile) by the weighted mean of three cosines; with ``group`` those alone whose strongest group it is, or who have more than .6 of it.
+
+    A block of queries meets each batch in three matrix products, and a batch's own best k a query are shuffled."""
+    total, names = sum(weights), list(GROUPS)
+
+    def scored(block: pd.DataFrame):
+        ids, own = block["query_id"].to_numpy("int64"), components(np.stack(block["profile"].to_numpy()))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), ROWS):
+                    rows = batch.iloc[at : at + ROWS].sort_values("memory_id")
+                    p = np.stack(rows["profile"].to_numpy())
+                    sims = [np.clip(a @ b.T, -1, 1) for a, b in zip(own, components(p))]
+                    score = np.round(sum(w * x for w, x in zip(weights, sims)) / total, 12) if total > 0 else np.zeros_like(sims[0])
+                    ok = (score >= at_least) & (ids[:, None] != rows["memory_id"].to_numpy()[None])
+                    if group is not None:
+                        means = np.stack([p[:, list(ks)].mean(1) for ks in GROUPS.values()], 1)
+                        g = names.index(group)
+                        ok &= ((means.argmax(1) == g) | (means[:, g] > 0.6))[None]
+                    best = np.argsort(np.where(ok, -score, np.inf), axis=1, kind="stable")[:, :k]
+                    i = np.repeat(np.arange(len(ids)), best.shape[1])
+                    j = best.ravel()
+                    i, j = i[ok[i, j]], j[ok[i, j]]
+                    yield pd.DataFrame({"query_id": ids[i], "memory_id": rows["memory_id"].to_numpy()[j], "score": score[i, j]} | {c: x[i, j] for c, x in zip(("profile", "correlation", "grouped"), sims)})
+
+        return run
+
+    schema = "query_id long, memory_id long, score double, profile double, correlation double, grouped double"
+    out = memories.sparkSession.createDataFrame([], schema)
+    for part in blocks(queries.select("query_id", "profile")):
+        block = part.toPandas()
+        if len(block):
+            out = out.unionByName(memories.select("memory_id", "profile").mapInPandas(scored(block), schema))
+    return fusion.top(out, k)
+
+
 def fused(p: Column) -> tuple[Column, Column, Column]:
     """(mean, mean of the four runs, confidence) of a profile: confidence is the half sum of both times the share above .1."""
     mean = v.total(p) / 13

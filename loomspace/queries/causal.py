@@ -73,6 +73,17 @@ def chain(spark, d):
     return graph.greedy_path(edges, m.filter("memory_id % 100 = 0"), 5).withColumn("score", F.round("score", 6))
 
 
+_HOP = ", h{0} AS (SELECT start, memory_id, sim, seen, f FROM (SELECT start, m.memory_id, round(list_cosine_similarity(h.f, m.e[1:16]), 9) AS sim, list_append(seen, m.memory_id) AS seen, m.e[17:32] AS f, row_number() OVER (PARTITION BY start ORDER BY round(list_cosine_similarity(h.f, m.e[1:16]), 9) DESC, m.memory_id) AS n FROM h{1} h JOIN m ON NOT list_contains(seen, m.memory_id)) WHERE n = 1 AND sim >= 0.5)"
+
+
+@register("effect_chains", M + ", h0 AS (SELECT memory_id AS start, e[17:32] AS f, []::BIGINT[] AS seen FROM m WHERE memory_id % 100 = 0)" + "".join(_HOP.format(k, k - 1) for k in range(1, 11)) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT start, {k}::BIGINT AS hop, memory_id, round(sim, 6) AS sim FROM h{k}" for k in range(1, 11)) + ")")
+def effect_chains(spark, d):
+    """Greedy chains of at most ten memories from the effects of the stated set: each one's cause is the nearest to the last one's effect."""
+    m = t.vectors(spark, d).select("memory_id", t.part("E5_cause").alias("cause"), t.part("E5_effect").alias("effect"))
+    starts = m.filter("memory_id % 100 = 0").select(F.col("memory_id").alias("start"), F.col("effect").alias("v"))
+    return causal.effect_chains(m, starts).select("start", F.col("hop").cast("long").alias("hop"), "memory_id", F.round("sim", 6).alias("sim"))
+
+
 def _held(phrases) -> str:
     """The SQL of ``phrase_count`` of a column t."""
     words = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"

@@ -96,3 +96,25 @@ def match(spark, d):
     name = F.when(F.expr("c >= k and c >= t and c > 0"), "code").when(F.expr("k >= t and k > 0"), "causal").when(F.col("t") > 0, "temporal").otherwise("general")
     return x.select("doc_id", name.alias("profile"), F.round(0.2 * F.greatest("c", "k", "t"), 6).alias("score"))
 
+
+
+_R = P.replace(", n AS (", ", q AS (SELECT memory_id AS query_id, p AS a FROM p WHERE memory_id % 100 = 0), w AS (SELECT query_id, memory_id, a, p AS b FROM q JOIN p ON memory_id <> query_id), n AS (") + f", s AS (SELECT query_id, memory_id, b, list_cosine_similarity(a, b) AS profile, list_cosine_similarity({_C('a')}, {_C('b')}) AS correlation, list_cosine_similarity({_G('a')}, {_G('b')}) AS grouped FROM w), x AS (SELECT *, round(0.5 * profile + 0.3 * correlation + 0.2 * grouped, 12) AS score FROM s)"
+_SHOWN = " SELECT query_id, memory_id, rank, round(score, 6) AS score, round(profile, 6) AS profile, round(correlation, 6) AS correlation, round(grouped, 6) AS \"grouped\" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) - 1 AS rank FROM x WHERE score >= 0.3{}) WHERE rank < 10"
+
+
+def retrieved(spark, d, group=None):
+    p = profiles(spark, d)
+    asked = p.filter("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), "profile")
+    return te.retrieved(asked, p, group=group).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"), *(F.round(c, 6).alias(c) for c in ("score", "profile", "correlation", "grouped")))
+
+
+@register("profile_retrieval", _R + _SHOWN.format(""))
+def profile_retrieval(spark, d):
+    """The best ten memories by profile, correlations and groups."""
+    return retrieved(spark, d)
+
+
+@register("profile_retrieval_causal", _R + f", g AS (SELECT *, {_G('b')} AS gs FROM x)" + _SHOWN.format(" AND (list_position(gs, list_max(gs)) = 3 OR gs[3] > 0.6)").replace("FROM x WHERE", "FROM g WHERE"))
+def profile_retrieval_causal(spark, d):
+    """The best ten among memories that are causal above all, or strongly."""
+    return retrieved(spark, d, "causal")
