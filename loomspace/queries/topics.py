@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from ..operators import clustering, sets, topics
 from ..plans import weights as ws
 from ..session import written
 from ..sources import tables as t
+from ..sources.portfolio import PortfolioStore
 from . import register
+from .indexes import folder
 from .vectors import M
 
 #: clusters that SQL can state: E1 by label, others by the signs of two dimensions
@@ -190,3 +194,16 @@ def merged(spark, d):
     p = topics.profiles(tp, mb).groupBy("topic").agg(F.map_from_entries(F.collect_list(F.struct("space", "strength"))).alias("p")).join(tp.groupBy("topic").agg(F.count("*").alias("size")), "topic")
     p = p.select("topic", "size", F.array(*(F.coalesce(F.col("p")[s], F.lit(0.0)) for s in ws.SPACES)).alias("p"))
     return topics.merged(p)
+
+
+@register("portfolio_restored", PF + ", ag AS (SELECT topic, least(8.5, sum(strength * cw)) AS a FROM pf JOIN cw USING (space) GROUP BY topic) SELECT topic, size, round(a, 6) AS agreement, round(a / 8.5, 6) AS confidence, a >= 2.5 AS valid FROM ag JOIN sz USING (topic)")
+def portfolio_restored(spark, d):
+    """The portfolio of a session, restored after another session has saved its own."""
+    mb = members(spark, d)
+    tp = written(topics.synthesise(mb))
+    store = PortfolioStore(spark, folder(spark))
+    store.save(tp, topics.profiles(tp, mb), "first", dt.datetime(2024, 1, 1), 0)
+    half = tp.filter("topic % 2 = 0")
+    store.save(half, topics.profiles(half, mb), "second", dt.datetime(2024, 1, 2), 1)
+    out = PortfolioStore(spark, store.path)
+    return out.summary(out.latest("first")).select("topic", "size", F.round("agreement", 6).alias("agreement"), F.round("confidence", 6).alias("confidence"), "valid")
