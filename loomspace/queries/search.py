@@ -276,3 +276,43 @@ def divergence(spark, d):
     u = k.select("query_id", "memory_id", F.explode(F.array(*(F.struct(F.lit(x).alias("space"), F.col(x).alias("sim")) for x in ("E1", "E7", "E10")))).alias("x")).select("query_id", "memory_id", "x.*")
     u = u.filter(F.col("sim") < ws.looked_up(F.col("space"), ws.LOW))
     return u.select("query_id", "memory_id", "space", F.round("sim", 6).alias("sim"), F.when(F.col("sim") < 0.10, "high").when(F.col("sim") < 0.20, "medium").otherwise("low").alias("severity"))
+
+
+STAND_INS = ("E1", "E5", "E7", "E8", "E9", "E10", "E11")
+
+
+def _profiled_sql(profiles) -> str:
+    rows = ", ".join(f"('{p}', '{s}', {w!r}::DOUBLE)" for p, x in profiles.items() for s, w in x.items() if s in STAND_INS and w > 0)
+    return s_sql(STAND_INS) + f", pw(profile, space, pw) AS (VALUES {rows}), f AS (SELECT profile, query_id, memory_id, sum(pw / (60 + rank + 1)) AS score FROM r JOIN pw USING (space) WHERE rank < 20 GROUP BY ALL) SELECT profile, query_id, memory_id, rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY profile, query_id ORDER BY round(score, 12) DESC, memory_id) - 1 AS rank FROM f) WHERE rank < 5"
+
+
+def by_profiles(spark, d, profiles):
+    """The best five memories of each query under every weight profile, by the weighted ranks of one set of lists."""
+    table_ = ws.table(spark, {p: ws.validate(w) for p, w in profiles.items()}).filter("w > 0")  # profiles * 13 rows
+    own = lists(spark, d, 20, STAND_INS).join(F.broadcast(table_), "space")
+    score = own.groupBy("profile", "query_id", "memory_id").agg(F.round(F.sum(F.col("w") / (F.col("rank") + 61)), 12).alias("score"))
+    return fusion.top(score, 5, ("profile", "query_id")).select("profile", "query_id", "memory_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
+
+
+@register("search_by_profile", _profiled_sql(ws.PROFILES))
+def search_by_profile(spark, d):
+    return by_profiles(spark, d, ws.PROFILES)
+
+
+@register("search_by_profile_without_e11", _profiled_sql({p: ws.without(w, "E11") for p, w in ws.PROFILES.items()}))
+def search_by_profile_without_e11(spark, d):
+    """As above with E11 left out and its weight dealt over the others."""
+    return by_profiles(spark, d, {p: ws.without(w, "E11") for p, w in ws.PROFILES.items()})
+
+
+_LIMITS = ", ".join(f"('{s}', {ws.HIGH[s]!r}::DOUBLE, {ws.LOW[s]!r}::DOUBLE, {ws.EDGE[s]!r}::DOUBLE, {ws.CATEGORY[s]!r}::DOUBLE)" for s in STAND_INS)
+
+
+@register("threshold_hits", s_sql(STAND_INS) + f", k(space, hi, lo, edge, cw) AS (VALUES {_LIMITS}) SELECT space, count(*) AS n, count(*) FILTER (WHERE sim >= hi) AS n_high, count(*) FILTER (WHERE sim < lo) AS n_low, count(*) FILTER (WHERE sim >= edge) AS n_edge, round(sum(CASE WHEN sim >= edge THEN cw ELSE 0 END), 6)::DOUBLE AS agreement FROM s JOIN k USING (space) GROUP BY space")
+def threshold_hits(spark, d):
+    """Of each space, how many of the queries' pairs reach its high and its edge threshold, or miss its low one, and the category weight
+    that the edges bring together."""
+    own = scores(spark, d, STAND_INS)
+    high, low, edge, cw = (ws.looked_up(F.col("space"), x) for x in (ws.HIGH, ws.LOW, ws.EDGE, ws.CATEGORY))
+    n = lambda c: F.count(F.when(c, 1))
+    return own.groupBy("space").agg(F.count("*").alias("n"), n(F.col("sim") >= high).alias("n_high"), n(F.col("sim") < low).alias("n_low"), n(F.col("sim") >= edge).alias("n_edge"), F.round(F.sum(F.when(F.col("sim") >= edge, cw).otherwise(0.0)), 6).alias("agreement"))
