@@ -10,7 +10,9 @@ from ..operators import fusion, retrieval, sparse
 from ..plans.chunks import chunked
 from ..session import written
 from ..sources import tables as t
+from ..sources.postings import PostingStore
 from . import register
+from .indexes import folder
 from .search import SIM, TOP, shown
 from .vectors import asked
 
@@ -112,3 +114,14 @@ def tie_breaker(spark, d):
 @register("code_query_types", "SELECT doc_id AS memory_id, CASE WHEN contains(text, 'fn ') OR contains(text, 'def ') OR contains(text, 'class ') OR contains(text, 'import ') OR contains(text, 'return ') OR contains(text, '->') OR contains(text, '=>') OR contains(text, '::') OR contains(text, '();') OR contains(text, '{}') THEN 'code2code' WHEN regexp_matches(lower(text), '\\b(function|code|implement|method|class)\\b') THEN 'text2code' ELSE 'non_code' END AS kind FROM documents")
 def code_types(spark, d):
     return docs(spark, d).select("memory_id", tx.code_query_type(F.col("content")).alias("kind"))
+
+
+@register("stored_recall_bm25", P.replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 3)", 1) + f", x AS (SELECT query_id, memory_id, round(sum({_TERM['bm25']}), 6) AS score FROM q JOIN df USING (term) JOIN post USING (term), n WHERE memory_id <> query_id GROUP BY ALL)" + TOP.format("x", 10))
+def stored_recall(spark, d):
+    """BM25 recall from a stored index, after a batch of all documents, one that mends some and one that deletes a tenth."""
+    store, x = PostingStore(spark, folder(spark)), docs(spark, d)
+    store.upsert(x.withColumn("content", F.when(F.col("memory_id") % 7 == 0, F.lit("wrong words")).otherwise(F.col("content"))), 0)
+    store.upsert(x.filter("memory_id % 7 = 0"), 1)
+    store.upsert(x.filter("memory_id % 10 = 3").withColumn("content", F.lit(None).cast("string")), 2)
+    asked_ = sparse.postings(x.filter("memory_id % 100 = 0")).select(F.col("memory_id").alias("query_id"), "term", "w")
+    return shown(fusion.top(store.recall(asked_).withColumn("score", F.round("score", 6)), 10))

@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def buckets(wanted: DataFrame) -> list[int]:
+    """The numbers in the column ``bucket``, of which a store has a fixed few, for a filter that reaches the partitions."""
+    return [r.bucket for r in wanted.select("bucket").distinct().collect()]
+
+
 class BatchStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
-from .batches import BatchStore
+from .batches import BatchStore, buckets
 
 BUCKETS = 32
 ENTITY = "entity_type string, name string, code string, language string, file_path string, line_start long, line_end long, signature string"
@@ -61,9 +61,9 @@ class CodeStore(BatchStore):
         return self._latest("entities", STORED, "id", "entity").select("id", "entity.*")
 
     def _of(self, found: DataFrame) -> DataFrame:
-        """The entities of ids that an index gave, each id's bucket being a partition that a join can prune."""
-        ids = found.select("id", bucket("id").alias("bucket")).distinct()
-        own = self._rows("entities", STORED).join(ids, ["bucket", "id"]).groupBy("id").agg(F.max_by("entity", "batch").alias("entity"))
+        """The entities of ids that an index gave, read from the partitions of those ids."""
+        ids = written(found.select("id", bucket("id").alias("bucket")).distinct())
+        own = self._rows("entities", STORED).filter(F.col("bucket").isin(buckets(ids))).join(ids, ["bucket", "id"]).groupBy("id").agg(F.max_by("entity", "batch").alias("entity"))
         return own.filter("entity is not null").select("id", "entity.*")
 
     def get(self, ids: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ class CodeStore(BatchStore):
     def of_files(self, files: DataFrame) -> DataFrame:
         """(file_path, id) of many files at once, such as those to delete."""
         wanted = files.select(F.col("file_path").alias("key"), bucket("file_path").alias("bucket")).distinct()
-        own = self._rows("by_file", INDEX).join(wanted, ["bucket", "key"]).groupBy("key", "id").agg(F.max_by("live", "batch").alias("live"))
+        own = self._rows("by_file", INDEX).filter(F.col("bucket").isin(buckets(wanted))).join(wanted, ["bucket", "key"]).groupBy("key", "id").agg(F.max_by("live", "batch").alias("live"))
         return own.filter("live").select(F.col("key").alias("file_path"), "id")
 
     def delete_files(self, files: DataFrame, batch: int) -> bool:
