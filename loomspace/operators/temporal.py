@@ -60,8 +60,16 @@ def pairs_in_time(rows: DataFrame, vector: str, low: int, high: int, found, sche
     one task, if their spans can hold a pair. So a time with most of the rows is as many blocks as it needs, and no day or second
     is a key. Rows without a time meet nothing."""
     own = rows.filter("s is not null")
-    nth = F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / block)
-    own = written(own.repartitionByRange("s", F.xxhash64(F.struct(*[c for c in own.columns if c != vector]))).sortWithinPartitions("s").withColumn("_b", F.concat_ws("-", F.spark_partition_id(), nth)))
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    spread = F.xxhash64(F.struct(*[c for c in own.columns if c != vector]))
+    own = written(own.repartitionByRange("s", spread).sortWithinPartitions("s").withColumn("_p", F.spark_partition_id()).withColumn("_n", nth))
+    # places over all partitions, so that blocks are full however many there are
+    starts, total = [], 0
+    for r in own.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():  # a row a partition
+        starts.append((r["_p"], total))
+        total += r["n"]
+    before = F.broadcast(own.sparkSession.createDataFrame(starts, "_p int, _o long"))
+    own = own.join(before, "_p").withColumn("_b", F.floor((F.col("_o") + F.col("_n")) / block)).drop("_p", "_n", "_o")
     spans = own.groupBy("_b").agg(F.min("s").alias("first"), F.max("s").alias("last"))
     step = max(1, high)
     slots = lambda a, b: F.explode(F.sequence(F.floor(a / step), F.floor(b / step))).alias("slot")
