@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import temporal as tf
@@ -48,34 +49,38 @@ MEM = PAIRS + f", tm AS (SELECT event_id AS memory_id, ts FROM events), ao AS (S
 
 
 def timed(spark, d):
-    m = t.vectors(spark, d)
-    p = retrieval.pairs(asked(spark, d), m.select("memory_id", "E1")).select("query_id", "memory_id", retrieval.dense("E1").alias("sim"))
+    """Memories with the time and age of their event."""
     ev = aged(spark, d).select(F.col("event_id").alias("memory_id"), "ts", "age")
-    return p.join(ev, "memory_id")
+    return t.vectors(spark, d).select("memory_id", "E1").join(ev, "memory_id")
+
+
+def best_timed(spark, d, m, score):
+    """The best ten by a score of E1 and of a memory's own column ``x``, which is taken before memories meet queries."""
+    return shown(retrieval.best(asked(spark, d), m.select("memory_id", "E1", "x"), ("E1",), lambda s, q, m: score(s["E1"], m["x"].to_numpy("float64")[None]), 10))
 
 
 @register("search_recent", MEM + ", x AS (SELECT query_id, memory_id, sim * greatest(0.8, least(1.2, 1 + 0.3 * (exp(-age * 0.693::DOUBLE / 151200) - 0.5))) AS score FROM z)" + TOP.format("x", 10))
 def recent(spark, d):
-    s = timed(spark, d).withColumn("score", tf.boosted(F.col("sim"), tf.tool_recency(F.col("age"), tf.HORIZON["macro"]), 0.3))
-    return shown(fusion.top(s.select("query_id", "memory_id", "score"), 10))
+    m = timed(spark, d).withColumn("x", tf.boosted(F.lit(1.0), tf.tool_recency(F.col("age"), tf.HORIZON["macro"]), 0.3))
+    return best_timed(spark, d, m, np.multiply)
 
 
 @register("search_periodic", MEM + ", x AS (SELECT query_id, memory_id, sim * greatest(0.8, least(1.2, 1 + 0.3 * ((1 - least(abs(hour(ts) - 9), 24 - abs(hour(ts) - 9)) / 12.0::DOUBLE) - 0.5))) AS score FROM z)" + TOP.format("x", 10))
 def search_periodic(spark, d):
-    s = timed(spark, d).withColumn("score", tf.boosted(F.col("sim"), tf.periodic(F.col("ts"), 9), 0.3))
-    return shown(fusion.top(s.select("query_id", "memory_id", "score"), 10))
+    m = timed(spark, d).withColumn("x", tf.boosted(F.lit(1.0), tf.periodic(F.col("ts"), 9), 0.3))
+    return best_timed(spark, d, m, np.multiply)
 
 
 @register("temporal_blend", MEM + f", x AS (SELECT query_id, memory_id, sim * 0.7::DOUBLE + 0.3::DOUBLE * ({0.5 / 0.65!r} * exp(-age * {math.log(2)!r} / 43200) + {0.15 / 0.65!r} * ((1 - least(abs(hour(ts) - 9), 24 - abs(hour(ts) - 9)) / 12.0::DOUBLE))) AS score FROM z)" + TOP.format("x", 10))
 def blend(spark, d):
-    s = timed(spark, d)
-    score = tf.blended(F.col("sim"), 0.3, recency=tf.exponential(F.col("age"), tf.HALF_LIFE["macro"]), periodic=tf.periodic(F.col("ts"), 9))
-    return shown(fusion.top(s.select("query_id", "memory_id", score.alias("score")), 10))
+    m = timed(spark, d).withColumn("x", tf.blended(F.lit(0.0), 0.3, recency=tf.exponential(F.col("age"), tf.HALF_LIFE["macro"]), periodic=tf.periodic(F.col("ts"), 9)))
+    return best_timed(spark, d, m, lambda s, x: 0.7 * s + x)
 
 
 @register("search_time_window", MEM + ", x AS (SELECT query_id, memory_id, sim AS score FROM z WHERE age BETWEEN 0 AND 86400)" + TOP.format("x", 10))
 def window(spark, d):
-    return shown(fusion.top(timed(spark, d).filter(F.col("age").between(0, 86400)).withColumnRenamed("sim", "score").select("query_id", "memory_id", "score"), 10))
+    m = timed(spark, d).filter(F.col("age").between(0, 86400)).withColumn("x", F.lit(1.0))
+    return best_timed(spark, d, m, np.multiply)
 
 
 @register("asof_previous_event", "WITH r AS (SELECT event_id, user_id, ts - INTERVAL 1 HOUR AS at FROM events WHERE event_type = 'error'), s AS (SELECT user_id, ts AS snapshot_ts, event_id AS snapshot_id FROM events WHERE event_type = 'view') SELECT r.event_id, r.user_id, s.snapshot_id, s.snapshot_ts FROM r ASOF LEFT JOIN s ON r.user_id = s.user_id AND r.at >= s.snapshot_ts")
