@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..operators import entities as en
 from ..operators import fusion, retrieval
 from ..sources import tables as t
 from . import register
-from .search import PAIRS, SIM, TOP, shown
+from .search import PAIRS, SIM, TOP, best, shown
 from .sparse import docs
 from .vectors import M, asked
 
@@ -78,9 +79,13 @@ def validate(spark, d):
 
 @register("find_related_entities", M + f", rel(name, r) AS (VALUES {_REL.split('), (')[0]})), x AS (SELECT a.memory_id AS query_id, b.memory_id AS memory_id, {_TE.replace('h[i]', 'a.e[i]').replace('t[i]', 'b.e[i]')} AS score FROM m a JOIN m b ON a.memory_id <> b.memory_id, rel WHERE a.memory_id % 100 = 0)" + TOP.format("x", 10))
 def related(spark, d):
-    r = F.lit(en.relation_vector(next(iter(en.RELATIONS)), 64))
-    p = retrieval.pairs(asked(spark, d), t.vectors(spark, d).select("memory_id", "E1"))
-    return shown(fusion.top(p.select("query_id", "memory_id", en.transe(F.col("q"), r, F.col("E1")).alias("score")), 10))
+    r = np.array(en.relation_vector(next(iter(en.RELATIONS)), 64))
+
+    def score(_, q, m):
+        h, x = np.array(q["q"].tolist()) + r, np.array(m["E1"].tolist())
+        return -np.sqrt(np.maximum(0, (h * h).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * h @ x.T))
+
+    return shown(best(spark, d, (), score))
 
 
 @register("entity_types_per_source", E + ", g AS (SELECT source, coalesce(entity_type, 'unknown') AS entity_type, count(*) AS n FROM en LEFT JOIN kn USING (entity) JOIN documents ON doc_id = memory_id GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, entity_type) AS place FROM g")
