@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspace.operators import fusion, retrieval, wide
-from loomspace.queries import QUERIES
+from loomspace.operators import fusion, graph, retrieval, wide
+from loomspace.catalog import QUERIES
 
 SPACES = ("E1", "E5", "E7", "E10")
 WEIGHTS = {"E1": 0.5, "E5": 0.2, "E7": 0.3, "E10": 0.0}
@@ -65,3 +65,26 @@ def test_best_of_a_score(sides, long, monkeypatch):
 def test_pairs_are_not_shuffled_to_meet_their_spaces(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not [y for y in plan.split("hashpartitioning(")[1:] if "memory_id" in y.split(")")[0]]
+
+
+def test_nearest_columns_are_those_of_doubles(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 16)).round(1)
+    x[600:] = x[:100]  # ties
+    x[[3, 650]] = 0
+    ids = rng.permutation(700)
+    size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+    sim = np.round(np.where(size > 0, (np.clip(x @ x.T / np.where(size > 0, size, 1), -1, 1) + 1) / 2, 0.0), 12)
+    np.fill_diagonal(sim, -1)
+    for k in (1, 5, 699, 800):
+        r, c, s = graph.nearest_columns(x, x, ids, ids, k, tile=128)
+        expected = [np.lexsort((ids, -row))[: min(k, 699)] for row in sim]
+        assert (c.reshape(700, -1) == np.array(expected)).all()
+        assert np.allclose(s, sim[r, c], atol=1e-12)
+
+
+def test_two_blocks_meet_once(spark):
+    m = spark.range(200).select(F.col("id").alias("memory_id"), F.array(*(F.sin(F.col("id") * k) for k in range(1, 9))).alias("v"))
+    rows = graph.knn(m, 3, F.col("v"), block=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "least" in rows and "CoGroup" not in rows
+    assert {tuple(r) for r in graph.knn(m, 3, F.col("v"), block=50).select("source", "target").collect()} == {tuple(r) for r in graph.knn(m, 3, F.col("v"), target=F.col("v"), block=70).select("source", "target").collect()}
