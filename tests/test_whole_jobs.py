@@ -164,3 +164,23 @@ def test_pairs_in_time_over_blocks(spark, block):
     scan = {(x.a, x.b): x.score for x in causal.scan_in_time(frame).collect()}
     score = lambda x, y, c: min(1, 0.15 * (x[5] + y[5]) + 0.1 + 0.1 * (x[2] is not None and x[2] == y[2]) + 0.05 * (min(x[4], y[4]) > 100) + 0.05 * (min(x[4], y[4]) > 300) + 0.1 * (0.5 <= c <= 0.8))
     assert scan == pytest.approx({(x[0], y[0]): score(x, y, round(cos(x, y), 9)) for x, y in near if 0.5 <= round(cos(x, y), 9) <= 0.9})
+
+
+def test_density_where_lists_end_inside_components(spark, monkeypatch):
+    """Blobs of more memories than a list has: their lists can't tell the edges between them, and one space has a memory without a distance."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(7, 8))
+    rows = [("blobs", k * 11 % 307, (centres[k % 7] + r.normal(size=8) * 0.05).tolist()) for k in range(150)] + [("same", k, [1.0] * 8) for k in range(30)]
+    rows += [("plain", k, v.tolist()) for k, v in enumerate(r.normal(size=(40, 8)))]
+    frame = spark.createDataFrame(rows, "space string, memory_id long, v array<double>").cache()
+    seen = lambda: {(y.space, y.memory_id): (y.cluster, y.probability, y.core) for y in clustering.density(frame).collect()}
+    small = seen()
+    rounds = []
+    monkeypatch.setattr(clustering, "EXACT", 5)
+    monkeypatch.setattr(clustering, "LIST", 4)
+    kept = clustering._least
+    monkeypatch.setattr(clustering, "_least", lambda *a: rounds.append(1) or kept(*a))
+    assert seen() == small and len({c for (s, _), (c, _, _) in small.items() if s == "blobs"}) >= 7 and 0 < len(rounds) < 6
+    odd = frame.union(spark.createDataFrame([("plain", 900, [float("nan")] * 8)], frame.schema))
+    found = {y.memory_id: y.cluster for y in clustering.density(odd).filter("space = 'plain'").collect()}
+    assert found == {m: c for (s, m), (c, _, _) in small.items() if s == "plain"} | {900: -1}
