@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 BITS = 10_000  # fixed value
 
@@ -56,8 +57,16 @@ def coded(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInPandas(run, f"{key} long, code binary")
 
 
+@F.pandas_udf(DoubleType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    some = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    if some.any():
+        x, y = (np.frombuffer(b"".join(c[some]), np.uint8).reshape(some.sum(), -1) for c in (a, b))
+        out[some] = 1 - np.bitwise_count(x ^ y).sum(axis=1) / BITS
+    return pd.Series(out).where(some, None)
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """1 - hamming / bits of two codes, as hex digits compared by the JVM."""
-    split = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BITS // 32)), lambda k: F.conv(F.substring(F.rpad(F.hex(c), (BITS // 32 + 1) * 8, "0"), k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    differ = F.aggregate(F.zip_with(split(a), split(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return 1 - differ / F.lit(float(BITS))
+    """1 - hamming / bits of two codes, a batch at a time."""
+    return _alike(a, b)

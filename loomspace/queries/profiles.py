@@ -82,8 +82,8 @@ def tucker(spark, d):
 @register("hyperdimensional_similarity")
 def hyperdimensional(spark, d):
     """Codes of every document, compared with the next document's."""
-    c = hyper.coded(t.read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
-    n = c.join(c.select((F.col("doc_id") - 1).alias("doc_id"), F.col("code").alias("next")), "doc_id")
+    c = hyper.coded(t.spread(t.read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    n = t.beside(c, "doc_id", "code").select("doc_id", F.explode("own").alias("code"), "next").select("doc_id", "code", F.explode("next").alias("next"))
     return n.select("doc_id", F.round(hyper.similarity(F.col("code"), F.col("next")), 6).alias("similarity"))
 
 

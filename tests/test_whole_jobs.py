@@ -184,3 +184,20 @@ def test_density_where_lists_end_inside_components(spark, monkeypatch):
     odd = frame.union(spark.createDataFrame([("plain", 900, [float("nan")] * 8)], frame.schema))
     found = {y.memory_id: y.cluster for y in clustering.density(odd).filter("space = 'plain'").collect()}
     assert found == {m: c for (s, m), (c, _, _) in small.items() if s == "plain"} | {900: -1}
+
+
+def test_rows_beside_those_of_the_next_id(spark):
+    from loomspace.sources import tables
+
+    ids = [0, 1, 2, 3, 3, 4, 6, 7, 255, 256, 257, -1, None, 511, 512]
+    rows = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "id long, x string").repartition(3)
+    for run in (2, 3, 256):
+        got = {r.id: (sorted(r.own), sorted(r.next)) for r in tables.beside(rows, "id", "x", run).collect()}
+        own = {i: sorted(f"t{n}" for n, j in enumerate(ids) if j == i) for i in ids if i is not None}
+        assert got == {i: (own[i], own[i + 1]) for i in own if i + 1 in own}
+
+
+@pytest.mark.parametrize("name", ["hyperdimensional_similarity", "sparse_similarity"])
+def test_neighbours_take_one_shuffle(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "Join" not in plan
