@@ -28,3 +28,27 @@ def test_best(spark, monkeypatch, how):
 def test_no_row_for_every_pair_is_shuffled(spark):
     plan = QUERIES["keyword_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.split("hashpartitioning(")[1:] if "memory_id" in x.split(")")[0]]
+
+
+def test_bonus_of_close_scores_from_few_rows(spark, monkeypatch):
+    """Many documents of like scores: as with all rows, though few leave the tasks."""
+    from pyspark.sql import Window as W
+
+    monkeypatch.setattr(sparse, "BATCH", 16)
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choices(words, range(60, 20, -1), k=rng.randrange(5, 60))) for _ in range(500)]
+    texts += texts[:40]  # equal scores
+    docs = spark.createDataFrame(list(enumerate(texts)), "memory_id long, content string").repartition(3).persist()
+    post = sparse.postings(docs)
+    q = post.filter("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), "term", "w")
+    found = sparse.best(q, docs, "keyword", 10, bonus=0.05).persist()
+
+    def final(rows):
+        s = rows.join(q.groupBy("query_id").agg(F.count("*").alias("na")), "query_id")
+        gap = F.lag("score").over(W.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")) - F.col("score")
+        s = s.withColumn("gap", gap).withColumn("score", F.col("score") + F.when(F.col("gap") < 0.01, 0.05 * F.col("n_shared") / F.col("na")).otherwise(0.0))
+        return sorted((r.query_id, r["rank"], r.memory_id, round(r.score, 9)) for r in fusion.top(s.select("query_id", "memory_id", "score"), 10).collect())
+
+    every = sparse.keyword_scores(q, post)
+    assert final(found) == final(every) and found.count() < every.count() / 3
