@@ -74,3 +74,14 @@ def test_chunked_code_table(spark):
     rows = [(1, "int a;\nint b;", "c"), (2, None, "python"), (3, "x", "unknown")]
     got = [tuple(r) for r in chunks.chunked_code(spark.createDataFrame(rows, "id long, code string, language string"), "id", "code", "language").collect()]
     assert sorted(got) == [(1, 0, 1, 2, 10), (3, 0, 1, 1, 1)]
+
+
+def test_a_source_is_read_once(monkeypatch):
+    """However many items are cut at whatever depth."""
+    seen = []
+    kept = chunks.bare
+    monkeypatch.setattr(chunks, "bare", lambda *a: seen.append(1) or kept(*a))
+    source = "\n".join("f() {\n" + "\n".join(f"g{k}() {{\n  'it' + \"}}\" // {{\n  x({k});\n}}" for k in range(40)) + "\n}" for _ in range(20))
+    found = chunks.code_chunks(source, 50, 10, 100, "javascript")
+    assert len(seen) == 1 and len(found) > 100
+    assert found[0][0] == 0 and all(a[1] == b[0] for a, b in zip(found, found[1:])) and found[-1][1] == source.count("\n") + 1
