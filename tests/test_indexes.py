@@ -151,3 +151,12 @@ def test_queries_agree_with_retrieval(spark):
     asked = frame.filter("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), F.col("E1").alias("q"))
     want = found(retrieval.single_space(asked, frame, "E1", 10))
     assert len(want) == 10 and all(len(v) == 10 for v in want.values())
+
+
+def test_lists_without_structure_are_exact_below_few(spark):
+    """Random vectors: rounds over short lists miss neighbours, blocks of products don't."""
+    r = np.random.default_rng(8)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(r.normal(size=(700, 64)))], "memory_id long, E1 array<double>").persist()
+    exact = graph.knn(table, 5, F.col("E1"))
+    share = lambda few: neighbours.recall(neighbours.nn_descent(table, 5, F.col("E1"), pool=5, rounds=2, few=few), exact).first()["recall"]
+    assert share(0) < 0.9 and share(700) == 1.0
