@@ -30,6 +30,21 @@ def test_no_row_for_every_pair_is_shuffled(spark):
     assert not [x for x in plan.split("hashpartitioning(")[1:] if "memory_id" in x.split(")")[0]]
 
 
+@pytest.mark.parametrize("how", ["bm25", "keyword"])
+def test_a_scan_serves_several_blocks_and_hands_out_the_best_alone(spark, monkeypatch, how):
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefghij", range(10, 0, -1), k=rng.randrange(1, 25))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "memory_id long, content string").repartition(2).persist()
+    q = sparse.postings(docs.filter("memory_id % 25 = 0")).select(F.col("memory_id").alias("query_id"), "term", "w").persist()
+    mine = sparse.best(q, docs, how, 5, len(texts))
+    assert mine._jdf.queryExecution().analyzed().toString().count("MapInPandas") == 1
+    assert mine.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5 * docs.rdd.getNumPartitions()
+    monkeypatch.setattr(sparse, "SCAN", 2)
+    own = lambda df: sorted((r.query_id, r["rank"], r.memory_id, round(r.score, 6)) for r in fusion.top(df, 5).collect())
+    assert own(sparse.best(q, docs, how, 5, len(texts))) == own(mine)
+
+
 def test_bonus_of_close_scores_from_few_rows(spark, monkeypatch):
     """Many documents of like scores: as with all rows, though few leave the tasks."""
     from pyspark.sql import Window as W
