@@ -52,6 +52,30 @@ def test_statistics_and_ranks(sides, long):
         same(mine, theirs(fusion.ranked(long), WEIGHTS), "query_id", "memory_id")
 
 
+@pytest.mark.parametrize("agg", ["max", "sum", "mean", "weighted"])
+def test_scores_of_whole_rankings(sides, long, monkeypatch, agg):
+    for name, value in (("BLOCK", 4), ("RUN", 7), ("RANKED", 120)):
+        monkeypatch.setattr(retrieval, name, value)
+    spaces = (*SPACES, "E8")  # as E10
+    mine = retrieval.over_ranks(*sides, spaces, wide.of_ranks(spaces, agg, WEIGHTS))
+    twice = long.unionByName(long.filter("space = 'E10'").withColumn("space", F.lit("E8")))
+    same(mine, fusion.aggregate(fusion.normalise(twice, "rank"), agg, WEIGHTS | {"E8": 1.0}), "query_id", "memory_id")
+
+
+def test_best_of_whole_rankings(sides, long):
+    for times, theirs in ((None, fusion.weighted_rrf), ("E5", fusion.score_weighted_rrf)):
+        mine = retrieval.over_ranks(*sides, SPACES, wide.of_reciprocal_ranks(WEIGHTS, times), 5)
+        both = theirs(fusion.ranked(long), WEIGHTS).withColumn("score", F.round("score", 12))
+        same(mine.withColumn("score", F.round("score", 12)), fusion.top(both, 5).drop("rank"), "query_id", "memory_id")
+
+
+@pytest.mark.parametrize("name", ["aggregate_rank_max", "aggregate_rank_weighted", "fusion_weighted_rrf"])
+def test_rankings_travel_by_runs_of_memories(spark, name):
+    """No window sorts a row for every query and memory."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and plan.count("Window [") <= (name == "fusion_weighted_rrf")
+
+
 def test_best_of_a_score(sides, long, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK", 4)
     monkeypatch.setattr(retrieval, "ROWS", 7)
