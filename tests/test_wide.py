@@ -112,3 +112,17 @@ def test_two_blocks_meet_once(spark):
     rows = graph.knn(m, 3, F.col("v"), block=50)._jdf.queryExecution().optimizedPlan().toString()
     assert "least" in rows and "CoGroup" not in rows
     assert {tuple(r) for r in graph.knn(m, 3, F.col("v"), block=50).select("source", "target").collect()} == {tuple(r) for r in graph.knn(m, 3, F.col("v"), target=F.col("v"), block=70).select("source", "target").collect()}
+
+
+def test_a_tile_of_products_fits_a_cache():
+    """Products of a block's rows are read several times; beyond the cache a pair takes twice as long."""
+    import inspect
+
+    assert inspect.signature(graph.nearest_columns).parameters["tile"].default * graph.BLOCK * 4 <= 2**23
+
+
+@pytest.mark.parametrize("name", ["unified_neighbors", "memory_neighbors"])
+def test_neighbours_of_the_stated_set_need_no_whole_graph(spark, name):
+    """Memories are scanned for the queries' lists, no two blocks of memories meet."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
