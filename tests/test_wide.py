@@ -126,3 +126,13 @@ def test_neighbours_of_the_stated_set_need_no_whole_graph(spark, name):
     """Memories are scanned for the queries' lists, no two blocks of memories meet."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_nearest_hands_out_what_a_task_has_not_seen_better(sides, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROWS", 6)
+    q, m = sides
+    long_ = retrieval.similarities(q, m, SPACES).withColumn("sim", F.round("sim", 12))
+    same(retrieval.nearest(q, m, SPACES, 4).drop("rank"), fusion.top(long_, 4, ("query_id", "space"), "sim").drop("rank"), "query_id", "memory_id", "space")
+    held, own = np.full((1, 2), -np.inf), np.arange(4)[::-1]
+    assert [x.tolist() for x in retrieval.first(np.array([[0.5, 0.9, 0.9, 0.9]]), held, own)][1] == [3, 2]
+    assert not len(retrieval.first(np.array([[0.5, 0.8, 0.7, -np.inf]]), held, own)[0])
