@@ -136,3 +136,25 @@ def test_nearest_hands_out_what_a_task_has_not_seen_better(sides, monkeypatch):
     held, own = np.full((1, 2), -np.inf), np.arange(4)[::-1]
     assert [x.tolist() for x in retrieval.first(np.array([[0.5, 0.9, 0.9, 0.9]]), held, own)][1] == [3, 2]
     assert not len(retrieval.first(np.array([[0.5, 0.8, 0.7, -np.inf]]), held, own)[0])
+
+
+def test_similar_takes_the_queries_lengths_once(monkeypatch):
+    x = np.random.default_rng(6).normal(size=(40, 64)).round(1)
+    x[[4, 30]], x[7, :16] = 0, 0
+    spaces = ("E1", "E5", "E7", "E8", "E9", "E10", "E11", ("E7", "E9"))
+    run, norm, taken = retrieval.similar(x[:10], spaces), np.linalg.norm, []
+    monkeypatch.setattr(np.linalg, "norm", lambda y, **a: taken.append(len(y)) or norm(y, **a))
+    for m in (x[:15], x[15:30], x[30:]):
+        found = {s: y.copy() for s, y in run(m).items()}
+        assert set(taken) == {len(m)}
+        for s in spaces:
+            assert found[s] == pytest.approx(retrieval.products(s)(x[:10], m), abs=1e-14), s
+        taken.clear()
+
+
+def test_tiles_fit_a_cache_and_hold_every_row(sides):
+    rows = sides[1].toPandas()
+    for n in (1, 1000, 10**9):
+        seen = [(len(r), own, m) for r, own, m in retrieval.tiles(iter([rows[:25], rows[25:25], rows[25:]]), n)]
+        assert all(len(m) == k and (k == 1 or k * n <= retrieval.TILE) for k, _, m in seen)
+        assert np.concatenate([own for _, own, _ in seen]).tolist() == rows["memory_id"].tolist()
