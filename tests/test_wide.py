@@ -158,3 +158,49 @@ def test_tiles_fit_a_cache_and_hold_every_row(sides):
         seen = [(len(r), own, m) for r, own, m in retrieval.tiles(iter([rows[:25], rows[25:25], rows[25:]]), n)]
         assert all(len(m) == k and (k == 1 or k * n <= retrieval.TILE) for k, _, m in seen)
         assert np.concatenate([own for _, own, _ in seen]).tolist() == rows["memory_id"].tolist()
+
+
+@pytest.fixture(scope="module")
+def apart(spark):
+    """As ``sides``, far from 0, and with queries whose vectors have no length in a space."""
+    x = np.random.default_rng(8).normal(1, 0.05, size=(90, 64))
+    x[[7, 17]], x[37, :16] = 0, 0
+    m = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "memory_id long, E1 array<double>").repartition(5)
+    return m.filter("memory_id % 10 = 7").select(F.col("memory_id").alias("query_id"), F.col("E1").alias("q")).persist(), m.persist()
+
+
+@pytest.mark.parametrize("block, tile", [(1000, 2**17), (4, 20), (1000, 1)])
+def test_moments_are_those_of_all_pairs(sides, apart, monkeypatch, block, tile):
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    monkeypatch.setattr(retrieval, "TILE", tile)
+    spaces = ("E8", *SPACES)
+    for q, m in (sides, apart):
+        pairs = retrieval.wide(q, m, spaces).toPandas()
+        found = retrieval.moments(q, m, spaces).toPandas().set_index("query_id")
+        assert sorted(found.index) == sorted(set(pairs["query_id"]))
+        for i, own in pairs.groupby("query_id"):
+            assert found.loc[i, "n"] == len(own)
+            for a in spaces:
+                for name in ("min", "max", "mean"):
+                    assert found.loc[i, {"min": "low", "max": "high"}.get(name, name) + f"_{a}"] == pytest.approx(getattr(own[a], name)(), abs=1e-11)
+                for b in (x for x in spaces if x >= a):
+                    assert found.loc[i, f"of_{a}_{b}"] == pytest.approx(np.cov(own[a], own[b], bias=True)[0, 1] * len(own), abs=1e-9)
+
+
+def test_correlations_of_moments(sides, long, apart):
+    same(wide.correlated(retrieval.moments(*sides, SPACES), SPACES), fusion.correlations(long), "query_id", "a", "b")
+    found = {(r.query_id, r.a, r.b): r.r for r in wide.correlated(retrieval.moments(*apart, SPACES), SPACES).collect()}
+    assert np.isnan(found[7, "E1", "E5"]) and np.isnan(found[37, "E1", "E7"]) and not np.isnan(found[37, "E1", "E10"])
+
+
+def test_weights_adapted_to_moments(sides, long, apart):
+    same(wide.adapted(retrieval.moments(*sides, SPACES), SPACES, WEIGHTS), fusion.suppressed(long, WEIGHTS), "query_id", "space")
+    mine = wide.adapted(retrieval.moments(*apart, SPACES), SPACES, WEIGHTS)
+    same(mine, wide.suppressed(retrieval.wide(*apart, SPACES), SPACES, WEIGHTS), "query_id", "space")
+    assert {r.w for r in mine.collect()} >= {0.5, 0.125}
+
+
+@pytest.mark.parametrize("name", ["cross_space_correlation", "pattern_detection", "degenerate_suppression"])
+def test_no_pair_leaves_a_task_to_be_correlated(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "corr(" not in plan and "var_samp" not in plan and "mean_E1" in plan
