@@ -206,20 +206,22 @@ def test_no_pair_leaves_a_task_to_be_correlated(spark, name):
     assert "MapInPandas" in plan and "corr(" not in plan and "var_samp" not in plan and "mean_E1" in plan
 
 
+@pytest.mark.parametrize("how", ["none", "minmax", "zscore"])
 @pytest.mark.parametrize("agg", ["max", "sum", "mean", "weighted"])
-def test_scores_leave_a_task_without_their_spaces(sides, apart, monkeypatch, agg):
+def test_scores_leave_a_task_without_their_spaces(sides, apart, monkeypatch, how, agg):
     monkeypatch.setattr(retrieval, "TILE", 50)
     for q, m in (sides, apart):
-        theirs = wide.aggregate(retrieval.wide(q, m, SPACES), SPACES, agg, WEIGHTS)
-        same(retrieval.scored(q, m, SPACES, wide.of_scores(SPACES, agg, WEIGHTS)), theirs, "query_id", "memory_id")
+        theirs = wide.aggregate(wide.normalise(retrieval.wide(q, m, SPACES), SPACES, how), SPACES, agg, WEIGHTS)
+        own = q if how == "none" else q.join(wide.bounds(retrieval.moments(q, m, SPACES), SPACES, how), "query_id")
+        same(retrieval.scored(own, m, SPACES, wide.of_scores(SPACES, how, agg, WEIGHTS)), theirs, "query_id", "memory_id")
 
 
 def test_scores_are_rounded_half_up():
     x = {"E1": np.array([[0.0078125, 0.1234564, 0.0, 1.0, 0.9999996]])}
-    assert wide.of_scores(("E1",), "max", None, 6)(x, None)[0].tolist() == [0.007813, 0.123456, 0.0, 1.0, 1.0]
+    assert wide.of_scores(("E1",), "none", "max", None, 6)(x, None)[0].tolist() == [0.007813, 0.123456, 0.0, 1.0, 1.0]
 
 
-@pytest.mark.parametrize("name", ["aggregate_none_max"])
+@pytest.mark.parametrize("name", ["aggregate_none_max", "aggregate_minmax_mean", "aggregate_minmax_sum", "aggregate_zscore_mean", "aggregate_zscore_weighted"])
 def test_a_pair_is_one_score(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan and "round(" not in plan and "Join" not in plan and "E10" not in plan
