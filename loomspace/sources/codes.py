@@ -4,9 +4,9 @@ Codebooks are fitted by k-means a part on a bounded sample (``SAMPLE`` rows, the
 encoded. A search makes a table of part products a query (parts * 256 numbers) and adds up looked-up numbers per row, so a scan
 reads the codes, an eighth of a byte a bit of the vectors, and the vectors of the candidates alone.
 
-``search`` re-ranks the ``held`` best candidates by their vectors: recall is to be measured. ``search_exact`` keeps every row whose
-product with the decoded vector, plus the length of what decoding loses, reaches the k-th best product less that loss: by Cauchy's
-inequality no row of the best k is left out.
+``search`` re-ranks the ``held`` best candidates by their vectors: recall is to be measured. ``search_exact`` meets every row whose
+product with the decoded vector, plus the length of what decoding loses, reaches the least product of the k best by codes: by Cauchy's
+inequality no row of the best k is left out. Codes and vectors lie in one row there, as those candidates are many.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion
 from ..operators.neighbours import mapped, units
-from ..operators.retrieval import ROWS, blocks
+from ..operators.retrieval import ROWS, TILE, blocks, first
+from ..session import written
 
 SAMPLE = 20_000
 LEVELS = 256
+MANY = 16  #: where so great a share of the pairs is met, one in so many, a product of matrices is the way
 
 
 def book(x: np.ndarray, levels: int = LEVELS, rounds: int = 10) -> np.ndarray:
@@ -86,38 +88,42 @@ class CodeIndex:
     def codes(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/codes")
 
-    def _scan(self, ids: np.ndarray, q: np.ndarray, take) -> DataFrame:
-        """What ``take`` leaves of each batch: it gets products (query, row), the rows' losses and ids."""
-        tables, at = [], 0
-        for c in self.books:
-            tables.append(q[:, at : at + c.shape[1]] @ c.T)
-            at += c.shape[1]
+    def _best(self, ids: np.ndarray, q: np.ndarray, n: int) -> DataFrame:
+        """The n best by their codes, of each task; a row without length counts as 0."""
+        books = self.books
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for start in range(0, len(batch), ROWS):
-                    rows = batch.iloc[start : start + ROWS].sort_values("memory_id")
-                    code = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-                    near = sum(t[:, code[:, k]] for k, t in enumerate(tables))
-                    own = rows["memory_id"].to_numpy()
-                    near[ids[:, None] == own[None]] = -np.inf
-                    i, j, value = take(near, rows["lost"].to_numpy()[None], rows["none"].to_numpy()[None])
-                    yield pd.DataFrame({"query_id": ids[i], "memory_id": own[j], "sim": value})
-
-        return self.codes().mapInPandas(run, "query_id long, memory_id long, sim double")
-
-    def _best(self, ids: np.ndarray, q: np.ndarray, n: int, less: float) -> DataFrame:
-        """The n best by product minus ``less`` times what decoding loses; a row without length counts as 0."""
-
-        def take(near, lost, none):
-            value = np.where(none & np.isfinite(near), -1.0, near - less * lost)
-            order = np.argsort(-value, axis=1, kind="stable")[:, :n]
-            i = np.repeat(np.arange(len(ids)), order.shape[1])
-            own = value[i, order.ravel()]
-            keep = np.isfinite(own)
-            return i[keep], order.ravel()[keep], own[keep]
-
-        return fusion.top(self._scan(ids, q, take), n, ("query_id",), "sim")
+            near, held = _products(q, books), np.full((len(ids), n), -np.inf)
+            for rows in _tiles(batches, len(ids)):
+                value, own = near(rows), rows["memory_id"].to_numpy("int64")
+                value[:, rows["none"].to_numpy()] = -1.0
+                value[ids[:, None] == own[None]] = -np.inf
+                i, j, value = first(value, held, own)
+                yield pd.DataFrame({"query_id": ids[i], "memory_id": own[j], "sim": value})
+
+        return fusion.top(self.codes().mapInPandas(run, "query_id long, memory_id long, sim double"), n, ("query_id",), "sim")
+
+    def _reach(self, rows: DataFrame, ids: np.ndarray, q: np.ndarray, bar: np.ndarray, k: int) -> DataFrame:
+        """The k best of each task among rows that reach ``bar`` or what the task has found, by their products with the decoded vectors and what
+        decoding loses; those alone are met by their vectors, in the scan, so that no candidate is shuffled."""
+        books, known = self.books, q.any(axis=1)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            near, held = _products(q, books), np.full((len(ids), k), -np.inf)
+            for part in _tiles(batches, len(ids)):
+                own, none, v = part["memory_id"].to_numpy("int64"), part["none"].to_numpy(), units(part["v"])
+                value = near(part) + part["lost"].to_numpy()[None]
+                value[:, none] = -1.0
+                low = np.maximum(bar, np.where(known, 2 * held.min(axis=1) - 1, -np.inf))
+                met = (value + 1e-9 >= low[:, None]) & (ids[:, None] != own[None])
+                i, j = np.nonzero(met)
+                cos = (q @ v.T)[i, j] if len(i) * MANY > met.size else np.einsum("ij,ij->i", q[i], v[j])
+                sim = np.full(met.shape, -np.inf)
+                sim[i, j] = mapped(cos, known[i] & ~none[j])
+                i, j, sim = first(sim, held, own)
+                yield pd.DataFrame({"query_id": ids[i], "memory_id": own[j], "score": sim})
+
+        return fusion.top(rows.mapInPandas(run, "query_id long, memory_id long, score double"), k)
 
     def _asked(self, queries: DataFrame):
         for block in blocks(queries.select("query_id", "q")):
@@ -142,27 +148,49 @@ class CodeIndex:
         """(query_id, memory_id, score, rank): the best k of the ``held`` best by codes."""
         out = None
         for block, ids, q in self._asked(queries):
-            own = self._reranked(self._best(ids, q, held, 0.0), block, memories, vector, k)
+            own = self._reranked(self._best(ids, q, held), block, memories, vector, k)
             out = own if out is None else out.unionByName(own)
         return out if out is not None else _none(self.spark)
 
     def search_exact(self, queries: DataFrame, memories: DataFrame, vector: Column, k: int = 10) -> DataFrame:
         """The best k of all memories."""
         out = None
+        rows = written(self.codes().join(memories.select("memory_id", vector.alias("v")), "memory_id"))  # read by every block
         for block, ids, q in self._asked(queries):
-            low = self._best(ids, q, k, 1.0).groupBy("query_id").agg(F.count("*").alias("n"), F.min("sim").alias("sim")).toPandas().set_index("query_id")  # a row a query
-            bar = np.array([low["sim"].get(i, -np.inf) if low["n"].get(i, 0) >= k else -np.inf for i in ids.tolist()])
+            few = self._reranked(self._best(ids, q, k), block, memories, vector, k)
+            low = few.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).toPandas().set_index("query_id")  # a row a query
+            bar = np.array([2 * low["score"].get(i, -np.inf) - 1 if low["n"].get(i, 0) >= k else -np.inf for i in ids.tolist()])
             bar[~q.any(axis=1)] = -np.inf
-
-            def reach(near, lost, none, bar=bar):
-                value = np.where(none & np.isfinite(near), -1.0, near + lost)
-                i, j = np.nonzero(np.isfinite(value) & (value + 1e-9 >= bar[:, None]))
-                return i, j, value[i, j]
-
-            own = self._reranked(self._scan(ids, q, reach), block, memories, vector, k)
+            own = self._reach(rows, ids, q, bar, k)
             out = own if out is None else out.unionByName(own)
         return out if out is not None else _none(self.spark)
 
 
+def _tiles(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    """Rows of codes in the order of ids, so many at once that they and ``n`` queries are a tile of pairs."""
+    step = min(ROWS, max(1, TILE // max(1, n)))
+    for batch in batches:
+        batch = batch.sort_values("memory_id")
+        for at in range(0, len(batch), step):
+            yield batch.iloc[at : at + step]
+
+
+def _products(q: np.ndarray, books: list[np.ndarray]):
+    """Products of queries with the decoded vectors of rows of codes."""
+    tables, at = [], 0
+    for c in books:
+        tables.append(q[:, at : at + c.shape[1]] @ c.T)
+        at += c.shape[1]
+
+    def run(rows: pd.DataFrame) -> np.ndarray:
+        code = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
+        out = np.zeros((len(q), len(rows)))
+        for k, table in enumerate(tables):
+            out += table[:, code[:, k]]
+        return out
+
+    return run
+
+
 def _none(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "query_id long, memory_id long, score double, rank int")

@@ -131,6 +131,20 @@ def test_codes_search_the_same(spark, table, asked, tmp_path):
     assert (codes.encoded(x, again.books) == codes.encoded(x, index.books)).all()
 
 
+def test_exact_search_by_codes_shuffles_no_candidates(spark, tmp_path, monkeypatch):
+    """Vectors without structure: nearly all pairs are candidates, of which each task hands out its best."""
+    r = np.random.default_rng(4)
+    rows = [(k, r.normal(size=64).tolist()) for k in range(600)] + [(601, [0.0] * 64), (602, None)]
+    frame = spark.createDataFrame(rows, ROW).repartition(3)
+    asked = frame.filter("memory_id % 100 = 1").select(F.col("memory_id").alias("query_id"), F.col("E1").alias("q"))
+    index = codes.CodeIndex.build(frame, F.col("E1"), str(tmp_path / "codes"))
+    sizes, top = [], codes.fusion.top
+    monkeypatch.setattr(codes.fusion, "top", lambda df, *a, **b: sizes.append(df.count()) or top(df, *a, **b))
+    got = found(index.search_exact(asked, frame, F.col("E1"), 5))
+    assert len(got) == 7 and max(sizes) <= 7 * 120
+    same(got, {q: own for q, own in exact(frame, 5).items() if q in got})
+
+
 def test_codes_lose_less_with_more_parts(spark, tmp_path):
     frame = spark.createDataFrame(clustered(500, 12, 7), ROW)
     lost = [codes.CodeIndex.build(frame, F.col("E1"), str(tmp_path / f"c{p}"), parts=p).codes().agg(F.avg("lost")).first()[0] for p in (2, 4, 12)]
