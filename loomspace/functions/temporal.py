@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,6 +110,19 @@ def badges(e2: Column, e3: Column, e4: Column) -> Column:
     return F.array_compact(F.array(F.when(e2 > 0.8, "same session"), day, F.when(e4 > 0.6, "same sequence")))
 
 
+def badge_bits(e2: np.ndarray, e3: np.ndarray, e4: np.ndarray) -> np.ndarray:
+    """The badges of pairs as bits; similarities count to 12 places."""
+    more = lambda x, limit: x > limit + 5e-13
+    bits = ((e2, 0.8), (e3, 0.7), (e3, 0.6), (e4, 0.6))
+    return sum((np.where(more(x, limit), np.int32(1 << k), np.int32(0)) for k, (x, limit) in enumerate(bits)), np.int32(0))
+
+
+def badges_of(bits: Column) -> Column:
+    """As ``badges``, of the bits."""
+    has = lambda k: bits.bitwiseAND(F.lit(1 << k)) != 0
+    return F.array_compact(F.array(F.when(has(0), "same session"), F.when(has(1), "same day").when(has(2), "same period"), F.when(has(3), "same sequence")))
+
+
 def recency_encoding(ts: Column, dim: int = 512) -> Column:
     """Unit vector of sin / cos of ts / 86400^(2k / dim)."""
     t = F.unix_seconds(ts).cast("double")
