@@ -16,6 +16,7 @@ DATA = "/root/testdata/sf0.001"
 SCANNED = [
     "embedder_masks",
     "matching_spaces",
+    "relevance_score",
 ]
 
 
