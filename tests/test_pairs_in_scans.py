@@ -17,6 +17,7 @@ SCANNED = [
     "embedder_masks",
     "matching_spaces",
     "relevance_score",
+    "matrix_weighted_score",
 ]
 
 
