@@ -120,8 +120,8 @@ def presets(spark, d):
 
 @register("relevant_filter", S + " SELECT query_id, count(DISTINCT memory_id) AS n FROM s JOIN hi USING (space) WHERE sim >= high GROUP BY query_id")
 def relevant(spark, d):
-    x = scores(spark, d).filter(F.col("sim") >= ws.looked_up(F.col("space"), ws.HIGH))
-    return x.groupBy("query_id").agg(F.count_distinct("memory_id").alias("n"))
+    n = added(spark, d, ["hits"], lambda s, other: ((wide.masked(s, SPACES) != 0) & other).sum(axis=1, keepdims=True))
+    return n.filter("hits > 0").select("query_id", F.col("hits").cast("long").alias("n"))
 
 
 @register("overlap_with", "WITH a AS (SELECT source, list_distinct(list(lang)) AS ls FROM documents GROUP BY source) SELECT x.source AS a, y.source AS b, round(len(list_intersect(x.ls, y.ls))::DOUBLE / len(list_distinct(list_concat(x.ls, y.ls))), 6) AS jaccard FROM a x JOIN a y ON x.source < y.source")

@@ -18,6 +18,7 @@ SCANNED = [
     "matching_spaces",
     "relevance_score",
     "matrix_weighted_score",
+    "relevant_filter",
 ]
 
 
