@@ -19,6 +19,7 @@ SCANNED = [
     "relevance_score",
     "matrix_weighted_score",
     "relevant_filter",
+    "result_coherence",
 ]
 
 
