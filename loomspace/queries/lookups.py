@@ -113,9 +113,8 @@ def _matrix_sql(m):
 
 @register("search_matrix_presets", s_sql((*SPACES, "E11")) + ", p AS (SELECT query_id, memory_id, " + ", ".join(f"greatest(0, max(sim) FILTER (WHERE space = '{s}')) AS {s}" for s in (*SPACES, "E11")) + " FROM s GROUP BY ALL), x AS (" + " UNION ALL ".join(f"SELECT query_id, memory_id, '{n}' AS preset, {_matrix_sql(m)} AS score FROM p" for n, m in MATRICES.items()) + ") SELECT preset, query_id, memory_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY preset, query_id ORDER BY score DESC, memory_id) AS n FROM x) WHERE n <= 5")
 def presets(spark, d):
-    s = scores(spark, d, (*SPACES, "E11"))
-    x = [fusion.top(fusion.matrix_score(s, m), 5).withColumn("preset", F.lit(n)) for n, m in MATRICES.items()]
-    return reduce(DataFrame.unionByName, x).select("preset", "query_id", "memory_id", F.round("score", 6).alias("score"))
+    x = retrieval.bests(asked(spark, d), t.vectors(spark, d).select("memory_id", "E1"), (*SPACES, "E11"), {n: wide.of_matrix(m) for n, m in MATRICES.items()}, 5)
+    return x.select(F.col("name").alias("preset"), "query_id", "memory_id", F.round("score", 6).alias("score"))
 
 
 @register("relevant_filter", S + " SELECT query_id, count(DISTINCT memory_id) AS n FROM s JOIN hi USING (space) WHERE sim >= high GROUP BY query_id")

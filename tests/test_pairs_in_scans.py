@@ -20,6 +20,7 @@ SCANNED = [
     "matrix_weighted_score",
     "relevant_filter",
     "result_coherence",
+    "search_matrix_presets",
 ]
 
 
