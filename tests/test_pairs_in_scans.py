@@ -21,6 +21,7 @@ SCANNED = [
     "relevant_filter",
     "result_coherence",
     "search_matrix_presets",
+    "semantic_fusion",
 ]
 
 
