@@ -22,6 +22,7 @@ SCANNED = [
     "result_coherence",
     "search_matrix_presets",
     "semantic_fusion",
+    "search_by_tokens",
 ]
 
 
