@@ -23,6 +23,7 @@ SCANNED = [
     "search_matrix_presets",
     "semantic_fusion",
     "search_by_tokens",
+    "synergy_boost",
 ]
 
 
