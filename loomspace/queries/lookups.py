@@ -54,9 +54,8 @@ def language(spark, d):
 
 @register("temporal_badges", PAIRS + f" SELECT query_id, memory_id, array_to_string(list_filter([CASE WHEN {SIM['E7']} > 0.8 THEN 'same session' END, CASE WHEN {SIM['E9']} > 0.7 THEN 'same day' WHEN {SIM['E9']} > 0.6 THEN 'same period' END, CASE WHEN {SIM['E11']} > 0.6 THEN 'same sequence' END], lambda x: x IS NOT NULL), ', ') AS badges FROM w WHERE {SIM['E7']} > 0.8 OR {SIM['E9']} > 0.6 OR {SIM['E11']} > 0.6")
 def badges(spark, d):
-    p = retrieval.pairs(asked(spark, d), t.vectors(spark, d).select("memory_id", "E1"))
-    b = p.select("query_id", "memory_id", tf.badges(retrieval.dense("E7"), retrieval.dense("E9"), retrieval.dense("E11")).alias("b"))
-    return b.filter(F.size("b") > 0).select("query_id", "memory_id", F.array_join("b", ", ").alias("badges"))
+    b = retrieval.reached(asked(spark, d), t.vectors(spark, d), ("E7", "E9", "E11"), lambda s: tf.badge_bits(s["E7"], s["E9"], s["E11"]))
+    return b.select("query_id", "memory_id", F.array_join(tf.badges_of(F.col("mask")), ", ").alias("badges"))
 
 
 def labelled(spark, d, space, score):

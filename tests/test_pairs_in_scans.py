@@ -24,6 +24,7 @@ SCANNED = [
     "semantic_fusion",
     "search_by_tokens",
     "synergy_boost",
+    "temporal_badges",
 ]
 
 
