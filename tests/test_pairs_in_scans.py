@@ -25,6 +25,7 @@ SCANNED = [
     "search_by_tokens",
     "synergy_boost",
     "temporal_badges",
+    "threshold_hits",
 ]
 
 
