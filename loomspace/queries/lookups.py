@@ -17,7 +17,7 @@ from ..plans import weights as ws
 from ..sources import tables as t
 from . import register
 from .graphs import knn, knn_sql
-from .search import PAIRS, S, added, s_sql, scores, shown, SIM, SPACES, TOP
+from .search import PAIRS, S, added, s_sql, shown, SIM, SPACES, TOP
 from .search import pairs as wide_pairs
 from .sparse import docs
 from .vectors import M, asked

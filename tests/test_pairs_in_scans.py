@@ -26,6 +26,7 @@ SCANNED = [
     "synergy_boost",
     "temporal_badges",
     "threshold_hits",
+    "weighted_agreement",
 ]
 
 
