@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +52,30 @@ def combined(e1: Column, e11: Column, jaccard: Column, at_least: float = 0.3) ->
     return (0.30 * e1 + 0.35 * e11 + 0.35 * jaccard) * F.when(n == 3, 1.10).when(n == 2, 1.05).otherwise(1.0)
 
 
+class Shared:
+    """For ``retrieval.best`` of queries with entities ``qs`` and memories with entities ``es``, each one once: as ``combined``, over E1 and E11, of
+    pairs that share an entity; a batch meets the queries by the entities of both."""
+
+    def __init__(self) -> None:
+        self.block = None
+
+    def __call__(self, sims: dict[str, np.ndarray], block: pd.DataFrame, rows: pd.DataFrame) -> np.ndarray:
+        if self.block is not block:
+            self.block, own = block, defaultdict(list)
+            for i, es in enumerate(block["qs"]):
+                for e in es:
+                    own[e].append(i)
+            self.held, self.size = {e: np.array(i) for e, i in own.items()}, block["qs"].map(len).to_numpy()
+        cells, many = [np.zeros(0, "int64")], len(rows)
+        for j, es in enumerate(rows["es"]):
+            cells += [self.held[e] * many + j for e in es if e in self.held]
+        both = np.bincount(np.concatenate(cells), minlength=len(block) * many).reshape(len(block), many)
+        jaccard = both / np.maximum(self.size[:, None] + rows["es"].map(len).to_numpy()[None] - both, 1)
+        n = (sims["E1"] >= 0.3).astype(int) + (sims["E11"] >= 0.3) + (jaccard >= 0.3)
+        score = (0.30 * sims["E1"] + 0.35 * sims["E11"] + 0.35 * jaccard) * np.array([1.0, 1.0, 1.05, 1.10])[n]
+        return np.where(both > 0, score, -np.inf)
+
+
 def transe(h: Column, r: Column, t: Column) -> Column:
     """-||h + r - t||."""
     return -F.sqrt(v.total(F.zip_with(F.zip_with(h, r, lambda a, b: a + b), t, lambda a, b: (a - b) * (a - b))))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as v
 from ..operators import entities as en
-from ..operators import fusion, retrieval
+from ..operators import retrieval
+from ..session import written
 from ..sources import tables as t
 from . import register
 from .search import PAIRS, SIM, TOP, best, shown
@@ -41,11 +42,9 @@ def importance(spark, d):
 @register("search_by_entities", PAIRS + ", " + E[5:] + f", sets AS (SELECT memory_id, list(entity) AS es FROM en GROUP BY memory_id), s0 AS (SELECT query_id, memory_id, {SIM['E1']} AS e1, {SIM['E11']} AS e11 FROM w), j AS (SELECT query_id, s0.memory_id, e1, e11, len(list_intersect(a.es, b.es))::DOUBLE / len(list_distinct(list_concat(a.es, b.es))) AS jac FROM s0 JOIN sets a ON a.memory_id = query_id JOIN sets b ON b.memory_id = s0.memory_id WHERE list_has_any(a.es, b.es)), x AS (SELECT query_id, memory_id, (0.30 * e1 + 0.35 * e11 + 0.35 * jac) * CASE (e1 >= 0.3)::INT + (e11 >= 0.3)::INT + (jac >= 0.3)::INT WHEN 3 THEN 1.10 WHEN 2 THEN 1.05 ELSE 1 END::DOUBLE AS score FROM j)" + TOP.format("x", 10))
 def by_entities(spark, d):
     own = docs(spark, d).select("memory_id", tx.mentions(F.col("content")).alias("es")).filter(F.size("es") > 0)
-    p = retrieval.pairs(asked(spark, d), t.vectors(spark, d).select("memory_id", "E1")).select("query_id", "memory_id", retrieval.dense("E1").alias("e1"), retrieval.dense("E11").alias("e11"))
-    q = own.select(F.col("memory_id").alias("query_id"), F.col("es").alias("qs"))
-    s = p.join(q, "query_id").join(own, "memory_id").filter(en.match(F.col("qs"), F.col("es")))
-    score = en.combined(F.col("e1"), F.col("e11"), v.jaccard(F.col("qs"), F.col("es")))
-    return shown(fusion.top(s.select("query_id", "memory_id", score.alias("score")), 10))
+    m = written(t.vectors(spark, d).select("memory_id", "E1").join(own, "memory_id"))  # read for the queries and by each block of them
+    q = m.filter("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), F.col("E1").alias("q"), F.col("es").alias("qs"))
+    return shown(retrieval.best(q, m, ("E1", "E11"), en.Shared(), 10))
 
 
 _REL = ", ".join(f"('{r}', {en.relation_vector(r, 64)!r}::DOUBLE[])" for r in en.RELATIONS)

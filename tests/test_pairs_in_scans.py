@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspace.catalog import QUERIES
 from loomspace.functions import temporal as tf
 from loomspace.functions import vectors as v
-from loomspace.operators import fusion, retrieval, wide
+from loomspace.operators import entities, fusion, retrieval, wide
 from loomspace.plans import weights as ws
 
 SPACES = ("E1", "E5", "E7", "E8", "E9", "E10")
@@ -27,6 +27,7 @@ SCANNED = [
     "temporal_badges",
     "threshold_hits",
     "weighted_agreement",
+    "search_by_entities",
 ]
 
 
@@ -105,3 +106,15 @@ def test_sums_of_a_query(sides, long):
     want = fusion.coherence(long).join(fusion.agreement(long).groupBy("query_id").agg(F.count(F.when(F.col("mask") != 0, 1)).alias("hits")), "query_id")
     assert rows(mine.select("query_id", (F.col("total") / F.col("n")).alias("coherence"), F.col("hits").cast("long").alias("hits")), "query_id") == rows(want, "query_id")
     assert {r.n for r in mine.collect()} == {69} and ws.HIGH["E1"] == 0.75
+
+
+def test_best_by_shared_entities(spark, sides, long):
+    names, r = ["ada", "berlin", "c-3", "d_4", "e"], np.random.default_rng(6)
+    es = spark.createDataFrame([(i, [x for x in names if r.random() < 0.4]) for i in range(70)], "memory_id long, es array<string>").filter(F.size("es") > 0)
+    m = sides[1].join(es, "memory_id")
+    q = sides[0].join(es.select(F.col("memory_id").alias("query_id"), F.col("es").alias("qs")), "query_id")
+    s = retrieval.long(retrieval.pairs(*sides), ("E1", "E11")).withColumn("sim", F.round("sim", 12)).groupBy("query_id", "memory_id").pivot("space", ["E1", "E11"]).max("sim")
+    s = s.join(q.select("query_id", "qs"), "query_id").join(es, "memory_id").filter(entities.match(F.col("qs"), F.col("es")))
+    score = F.round(entities.combined(F.col("E1"), F.col("E11"), v.jaccard(F.col("qs"), F.col("es"))), 12)
+    want = rows(fusion.top(s.select("query_id", "memory_id", score.alias("score")), 6), "query_id", "rank")
+    assert rows(retrieval.best(q, m, ("E1", "E11"), entities.Shared(), 6), "query_id", "rank") == want and want
