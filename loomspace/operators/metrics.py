@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import retrieval
+
+NO_LABEL = -(2**63)
+
 
 def per_query(ranked: DataFrame, k: int) -> DataFrame:
     """(query_id, precision, recall, mrr, ndcg, ap) of (query_id, rank from 0, grade): grades above 0 are relevant. The ideal order
@@ -26,6 +32,23 @@ def per_query(ranked: DataFrame, k: int) -> DataFrame:
     )
 
 
+def of_rankings(queries: DataFrame, memories: DataFrame, space: str, label: str, k: int) -> DataFrame:
+    """As ``per_query``, of the queries' whole rankings by a space, in which memories with the query's label, a whole number, are relevant. A task
+    that has a query's ranking makes a row of it."""
+
+    def run(query: int, asked: dict, ids: np.ndarray, ranks: dict, sims: dict, labels: np.ndarray) -> pd.DataFrame:
+        rank, known = np.sort(ranks[space][labels == asked[label]]), asked[label] != NO_LABEL
+        rank = rank if known else rank[:0]
+        n, within = len(rank), rank[rank < k]
+        gain = lambda place: float((1 / np.log2(place + 1)).sum())
+        out = {"recall": len(within) / n, "mrr": 1 / (rank[0] + 1), "ndcg": gain(within + 1) / gain(np.arange(1, min(n, k) + 1)), "ap": (np.arange(1, n + 1) / (rank + 1)).sum() / n} if n else dict.fromkeys(("recall", "mrr", "ndcg", "ap"), 0.0)
+        return pd.DataFrame([{"query_id": query, "precision": len(within) / k if known else None, **out}] if len(ids) else [], columns=["query_id", "precision", *out])
+
+    labelled = lambda x: x.withColumn(label, F.coalesce(F.col(label).cast("long"), F.lit(NO_LABEL)))
+    schema = "query_id long, precision double, recall double, mrr double, ndcg double, ap double"
+    return retrieval.of_rankings(labelled(queries), labelled(memories), (space,), run, schema, label)
+
+
 def contingency(rows: DataFrame, cluster: str, label: str) -> DataFrame:
     return rows.groupBy(F.col(cluster).alias("c"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
 

@@ -5,27 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import temporal as tf
-from ..operators import fusion, metrics, retrieval
+from ..operators import fusion, metrics
 from ..sources import tables as t
 from . import register
-from .vectors import M, asked
+from .vectors import M
 
 RK = M + ", q AS (SELECT memory_id AS query_id, e AS q, label AS ql FROM m WHERE memory_id % 100 = 0), s AS (SELECT query_id, memory_id, (list_cosine_similarity(q, e) + 1) / 2 AS sim, (ql = label)::INT AS grade FROM q JOIN m ON memory_id <> query_id), r AS (SELECT query_id, memory_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, memory_id) - 1 AS rank FROM s)"
 
 
-def judged(spark, d):
-    """Rankings in E1 of the stated queries, all memories; equal labels are relevant."""
-    m = t.vectors(spark, d)
-    s = retrieval.pairs(asked(spark, d), m.select("memory_id", "E1")).select("query_id", "memory_id", retrieval.dense("E1").alias("sim"))
-    own = m.select("memory_id", "label")
-    r = fusion.ranked(s, ("query_id",))
-    x = r.join(own, "memory_id").join(own.select(F.col("memory_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
-    return x.select("query_id", "memory_id", "rank", (F.col("label") == F.col("ql")).cast("int").alias("grade"))
-
-
 @register("retrieval_metrics", RK + ", x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rank) AS ideal, sum(grade) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM r) SELECT query_id, round(sum(CASE WHEN rank < 10 THEN grade ELSE 0 END) / 10.0::DOUBLE, 6) AS precision, round(sum(CASE WHEN rank < 10 THEN grade ELSE 0 END)::DOUBLE / sum(grade), 6) AS recall, round(1.0::DOUBLE / (min(CASE WHEN grade > 0 THEN rank END) + 1), 6) AS mrr, round(sum(CASE WHEN rank < 10 THEN (pow(2, grade) - 1) / log2(rank + 2) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN (pow(2, grade) - 1) / log2(ideal + 1) ELSE 0 END), 6) AS ndcg, round(sum(CASE WHEN grade > 0 THEN seen::DOUBLE / (rank + 1) ELSE 0 END) / sum(grade), 6) AS ap FROM x GROUP BY query_id")
 def retrieval_metrics(spark, d):
-    x = metrics.per_query(judged(spark, d), 10)
+    m = t.vectors(spark, d).select("memory_id", "E1", F.col("label").cast("long").alias("label"))
+    q = m.filter("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), F.col("E1").alias("q"), "label")
+    x = metrics.of_rankings(q, m, "E1", "label", 10)
     return x.select("query_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg", "ap")))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspace.operators import fusion, graph, retrieval, wide
+from loomspace.operators import fusion, graph, metrics, retrieval, wide
 from loomspace.catalog import QUERIES
 
 SPACES = ("E1", "E5", "E7", "E10")
@@ -225,3 +225,17 @@ def test_scores_are_rounded_half_up():
 def test_a_pair_is_one_score(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan and "round(" not in plan and "Join" not in plan and "E10" not in plan
+
+
+def test_vectors_travel_to_rankings_and_not_similarities(sides, monkeypatch):
+    """What comes together for whole rankings is a row of vectors a part of the queries and run of memories; metrics of a ranking are a row a query."""
+    q, m = sides
+    labelled = lambda x, c: x.withColumn("label", F.when(F.col(c) != 13, F.col(c) % 3))
+    sim = retrieval.similarities(q, m, ("E1",)).withColumn("sim", F.round("sim", 12))
+    r = fusion.ranked(sim, ("query_id",)).join(labelled(m, "memory_id").select("memory_id", "label"), "memory_id").join(labelled(q, "query_id").select("query_id", F.col("label").alias("ql")), "query_id")
+    want = metrics.per_query(r.select("query_id", "rank", (F.col("label") == F.col("ql")).cast("int").alias("grade")), 5)
+    for name, value in (("BLOCK", 4), ("RUN", 7), ("RANKED", 120)):
+        monkeypatch.setattr(retrieval, name, value)
+    same(metrics.of_rankings(labelled(q, "query_id"), labelled(m, "memory_id"), "E1", "label", 5), want, "query_id")
+    plan = retrieval.of_rankings(q, m, ("E1", "E7"), lambda *a: None, "query_id long")._jdf.queryExecution().toString()
+    assert "low#" not in plan and "v#" in plan.split("FlatMapGroupsInPandas")[1]
