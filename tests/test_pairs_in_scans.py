@@ -118,3 +118,14 @@ def test_best_by_shared_entities(spark, sides, long):
     score = F.round(entities.combined(F.col("E1"), F.col("E11"), v.jaccard(F.col("qs"), F.col("es"))), 12)
     want = rows(fusion.top(s.select("query_id", "memory_id", score.alias("score")), 6), "query_id", "rank")
     assert rows(retrieval.best(q, m, ("E1", "E11"), entities.Shared(), 6), "query_id", "rank") == want and want
+
+
+def test_chosen_pairs_do_not_go_through_the_driver(sides):
+    """What is broadcast are a block's queries, and not the pairs that were chosen for them."""
+    q, m = sides
+    chosen = q.select("query_id").crossJoin(m.select("memory_id")).filter("(query_id + memory_id) % 3 = 0 and query_id <> memory_id")
+    met = retrieval.met(chosen, q, m)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("leftHint=(strategy=broadcast)") + plan.count("rightHint=(strategy=broadcast)") == 2 * plan.count("(strategy=merge)") > 2
+    same = lambda x: sorted((r.query_id, r.memory_id, tuple(r.q), tuple(r.E1)) for r in x.collect())
+    assert same(met.select("query_id", "memory_id", "q", "E1")) == same(chosen.join(q, "query_id").join(m, "memory_id"))
